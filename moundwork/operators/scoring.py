@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,12 @@ def heuristic_score(features: DataFrame, name: str = "score") -> DataFrame:
         + add(F.col("fatigue_score") > 0.7, 0.2)
     )
     return features.withColumn(name, F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.1), raw)), 6))
+
+
+# Fixed values: (upper bound of low, upper bound of medium) per scheme.
+BUCKET_SCHEMES = {"calibrated": (0.1, 0.3), "service": (0.3, 0.6), "served": (0.2, 0.5)}
+
+
+def risk_bucket(score: Column, scheme: str = "calibrated") -> Column:
+    low, medium = BUCKET_SCHEMES[scheme]
+    return F.when(score < low, "low").when(score < medium, "medium").when(score.isNotNull(), "high")

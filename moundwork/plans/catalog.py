@@ -7,7 +7,7 @@ import importlib
 from moundwork.plans.registry import CATALOG
 
 SECTIONS = (
-    "check_tables", "appearance_queries", "rolling_queries",
+    "check_tables", "appearance_queries", "rolling_queries", "label_queries",
 )
 
 

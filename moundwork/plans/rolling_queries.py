@@ -389,7 +389,8 @@ FROM (SELECT pitcher_id, game_date, coalesce(gap, 0) AS rest_days,
     count(*) FILTER (gap < 3) OVER {closed(30)} AS short_rest_appearances,
     count(*) FILTER (pitches_thrown > 100) OVER {closed(30)} AS high_workload_days,
     {', '.join(f"avg(pitches_thrown) OVER {closed(n)} * 0.7::DOUBLE + count(*) OVER {closed(n)} / {n}.0::DOUBLE * 30 * 0.3::DOUBLE AS workload_intensity_{n}d" for n in (7, 14))},
-    coalesce(regr_slope(avg_vel, no) OVER {closed(30)}, 0) AS velocity_trend, coalesce(regr_slope(avg_spin, no) OVER {closed(30)}, 0) AS spin_rate_trend,
+    CASE WHEN count(*) OVER {closed(30)} < 2 THEN 0 ELSE regr_slope(avg_vel, no) OVER {closed(30)} END AS velocity_trend,
+    CASE WHEN count(*) OVER {closed(30)} < 2 THEN 0 ELSE regr_slope(avg_spin, no) OVER {closed(30)} END AS spin_rate_trend,
     stddev_samp(fast) OVER {closed(30)} AS pitch_mix_volatility
   FROM (SELECT *, CAST(row_number() OVER ({W}) AS DOUBLE) AS no FROM line) x JOIN (SELECT pitcher_id AS fid, game_date AS fday,
     avg(CASE WHEN pitch_type IN {listed(op.FASTBALL_CODES)} THEN 1.0::DOUBLE ELSE 0 END) AS fast FROM pitches GROUP BY 1, 2) f
