@@ -28,13 +28,15 @@ def value_positions(
     value: str,
     keys: Sequence[str] = (),
     measures: dict[str, Column] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with its totals, the totals below it, and the key's totals.
 
-    For every measure ``m`` (``n`` counts rows) the result has ``m``, ``m_before`` (sum over
-    smaller values of the same key) and ``m_total``. Null values are left out.
+    For every measure ``m`` the result has ``m``, ``m_before`` (sum over smaller values of the
+    same key) and ``m_total``; ``n`` counts rows (or sums ``weight`` of rows counted before).
+    Null values are left out.
     """
-    measures = {"n": F.count(F.lit(1)), **(measures or {})}
+    measures = {"n": F.sum(weight) if weight else F.count(F.lit(1)), **(measures or {})}
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         *[agg.alias(name) for name, agg in measures.items()]
@@ -54,11 +56,11 @@ def value_positions(
         *[F.sum(name).alias(f"_b_{name}") for name in measures]
     ).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
+        F.col("_bucket").alias("_join_bucket"),
         *[F.coalesce(F.sum(f"_b_{name}").over(below), F.lit(0)).alias(f"_s_{name}") for name in measures],
         *[F.sum(f"_b_{name}").over(whole).alias(f"{name}_total") for name in measures],
     )
-    match = F.col("_bucket") == F.col("_k_bucket")
+    match = F.col("_bucket") == F.col("_join_bucket")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = (
@@ -78,10 +80,10 @@ def value_positions(
 
 
 def percentiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per key; one column per entry of ``probs``."""
-    placed = value_positions(df, value, keys)
+    placed = value_positions(df, value, keys, weight=weight)
     before, upto = F.col("n_before"), F.col("n_before") + F.col("n")
 
     def at(slot: Column) -> Column:
@@ -138,15 +140,18 @@ def global_row_number(
     Ties on ``value`` are ordered by ``spread`` through a second set of bucketed totals; only the
     rows of one (value, spread) pair are ordered in a window, by ``last``.
     """
-    outer = with_positions(df, value).withColumnsRenamed(
-        {"n": "_n1", "n_before": "_b1", "n_total": "row_total"}
+    pairs = df.groupBy(value, spread).agg(F.count(F.lit(1)).alias("_n"))
+    outer = value_positions(pairs, value, weight="_n")
+    first = F.col("n_total") - F.col("n_before") - F.col("n") if descending else F.col("n_before")
+    outer = outer.select(value, first.alias("_start"), F.col("n_total").alias("row_total"))
+    inner = value_positions(pairs, spread, [value], weight="_n")
+    starts = inner.join(outer, value).select(
+        F.col(value).alias("_v"), F.col(spread).alias("_s"), (F.col("_start") + F.col("n_before")).alias("_start"),
+        "row_total",
     )
-    inner = with_positions(outer, spread, [value]).withColumnsRenamed(
-        {"n": "_n2", "n_before": "_b2", "n_total": "_t2"}
-    )
-    start = F.col("row_total") - F.col("_b1") - F.col("_n1") if descending else F.col("_b1")
     within = F.row_number().over(Window.partitionBy(value, spread).orderBy(last))
-    return inner.withColumn(name, start + F.col("_b2") + within).drop("_n1", "_b1", "_n2", "_b2", "_t2")
+    rows = df.join(starts, (F.col(value) == F.col("_v")) & (F.col(spread) == F.col("_s")))
+    return rows.withColumn(name, F.col("_start") + within).drop("_v", "_s", "_start")
 
 
 def ntile(position: Column, total: Column, parts: int) -> Column:
