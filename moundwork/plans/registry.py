@@ -107,6 +107,7 @@ def _shape(name: str, kind: str) -> Column:
 
 
 def _shape_sql(name: str, kind: str) -> str:
+    name = f'"{name}"'
     shaped = {
         "n": f"CAST({name} AS BIGINT)",
         "r": f"round(CAST({name} AS DOUBLE) + CAST({OFF_TIE} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",

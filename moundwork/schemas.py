@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(),
+    "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Fields written as ``name type [not null]``, separated by commas (needs no session)."""
+    fields = []
+    for part in text.split(","):
+        name, kind, *rest = part.split()
+        fields.append(T.StructField(name, _TYPES[kind], nullable=not rest))
+    return T.StructType(fields)
 
 
 PITCHERS = _struct(
