@@ -8,7 +8,7 @@ from moundwork.plans.registry import CATALOG
 
 SECTIONS = (
     "check_tables", "appearance_queries", "rolling_queries", "label_queries",
-    "aggregate_queries", "text_queries", "source_queries",
+    "aggregate_queries", "text_queries", "source_queries", "quality_queries",
 )
 
 
