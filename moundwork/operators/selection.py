@@ -111,3 +111,12 @@ def oversample(df: DataFrame, label: str, ratio: float = 0.3) -> DataFrame:
     return (
         df.withColumn("_f", counts).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_f")
     )
+
+
+def error_sample(scored: DataFrame, label: str = "y", score: str = "score", threshold: float = 0.5, n: int = 20, seed: int = 42) -> DataFrame:
+    """``n`` false positives and ``n`` false negatives in hash order."""
+    order = hash_order(seed, "pitcher_id", "as_of_date")
+    flagged = F.col(score) >= threshold
+    fp = scored.where(flagged & (F.col(label) == 0)).orderBy(order).limit(n).withColumn("kind", F.lit("false_positive"))
+    fn = scored.where(~flagged & (F.col(label) == 1)).orderBy(order).limit(n).withColumn("kind", F.lit("false_negative"))
+    return fp.unionByName(fn)
