@@ -9,7 +9,7 @@ from moundwork.plans.registry import CATALOG
 SECTIONS = (
     "check_tables", "appearance_queries", "rolling_queries", "label_queries",
     "aggregate_queries", "text_queries", "source_queries", "quality_queries",
-    "scoring_queries", "evaluation_queries",
+    "scoring_queries", "evaluation_queries", "stream_queries", "training_queries",
 )
 
 
