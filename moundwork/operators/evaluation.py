@@ -23,38 +23,77 @@ TOP_COUNTS = (5, 10, 20, 50)
 ROC_BANDS = ((0.9, "Excellent"), (0.8, "Good"), (0.7, "Fair"), (0.6, "Poor"))
 PR_BANDS = ((0.8, "Excellent"), (0.6, "Good"), (0.4, "Fair"))
 BRIER_BANDS = ((0.1, "Excellent"), (0.2, "Good"), (0.3, "Fair"))
-ALL = "_all"
-
-
-def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(keys)) if keys else (df.withColumn(ALL, F.lit(1)), [ALL])
-
 
 def score_curve(scored: DataFrame, score: str = "score", label: str = "y", keys: Sequence[str] = ()) -> DataFrame:
-    """Per key and distinct score: rows and positives at it, below it, and in total."""
-    return ranking.value_positions(scored, score, keys, {"pos": F.sum(F.col(label).cast("bigint"))})
+    """Per key and distinct score: rows and positives at it, below it, and in total.
 
+    This is the only pass over the rows; every ranking metric is an aggregate of it.
+    """
+    counted = scored.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos"))
+    return ranking.value_positions(counted, score, keys, {"pos": F.sum("_pos")}, weight="_n")
 
-def ranking_metrics(scored: DataFrame, score: str = "score", label: str = "y", keys: Sequence[str] = ()) -> DataFrame:
-    """roc_auc, average_precision and the trapezoid PR area per key."""
-    curve = score_curve(scored, score, label, keys)
+
+def _ranking_aggregates() -> dict[str, Column]:
+    """Areas and sizes from the columns of ``score_curve``."""
     n, pos, total, positives = F.col("n"), F.col("pos"), F.col("n_total"), F.col("pos_total")
     neg = n - pos
     neg_below = F.col("n_before") - F.col("pos_before")
-    negatives = total - positives
-    auc = F.sum(pos * neg_below + pos * neg * 0.5) / F.nullif(F.max(positives * negatives), F.lit(0))
+    auc = F.sum(pos * neg_below + pos * neg * 0.5) / F.nullif(F.max(positives * (total - positives)), F.lit(0))
     flagged = total - F.col("n_before")
     hits = positives - F.col("pos_before")
     precision = hits / flagged
     above_flagged, above_hits = flagged - n, hits - pos
     above_precision = F.when(above_flagged > 0, above_hits / above_flagged).otherwise(1.0)
     step = pos / positives
-    return curve.groupBy(*keys).agg(
-        auc.alias("roc_auc"),
-        F.sum(step * precision).alias("average_precision"),
-        F.sum(step * (precision + above_precision) * 0.5).alias("pr_auc_trapezoid"),
-        F.max(total).alias("samples"), F.max(positives).alias("positives"),
-    )
+    return {
+        "roc_auc": auc, "average_precision": F.sum(step * precision),
+        "pr_auc_trapezoid": F.sum(step * (precision + above_precision) * 0.5),
+        "samples": F.max(total), "positives": F.max(positives),
+    }
+
+
+def _top_share_aggregates(score: str, percents: Sequence[int]) -> dict[str, Column]:
+    """Flagged rows, their positives and the score threshold at percentile 100 - k.
+
+    A score is at or above the interpolated percentile exactly when its last row stands at or
+    behind the percentile's upper neighbour.
+    """
+    out = {}
+    for k in percents:
+        place = F.lit(1 - k / 100) * (F.col("n_total") - 1)
+        flag = F.col("n_before") + F.col("n") > F.ceil(place)
+        at = lambda slot: F.max(F.when((F.col("n_before") <= slot) & (slot < F.col("n_before") + F.col("n")), F.col(score)))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out |= {
+            f"flagged_{k}": F.sum(F.when(flag, F.col("n")).otherwise(0)), f"hits_{k}": F.sum(F.when(flag, F.col("pos")).otherwise(0)),
+            f"threshold_{k}": low + (high - low) * F.max(place - F.floor(place)),
+        }
+    return out
+
+
+def _calibration_aggregates(score: str, bins: int = 10) -> dict[str, Column]:
+    p, n, pos = F.col(score), F.col("n"), F.col("pos")
+    out = {"brier": F.sum(n * p * p - p * pos * 2 + pos) / F.max("n_total")}
+    place = uniform_bin(p, bins)
+    for b in range(bins):
+        here = place == b
+        for name, x in (("n", n), ("p", n * p), ("y", pos)):
+            out[f"_{name}{b}"] = F.sum(F.when(here, x))
+    return out
+
+
+def _ece_columns(bins: int = 10) -> dict[str, Column]:
+    n = [F.coalesce(F.col(f"_n{b}"), F.lit(0)) for b in range(bins)]
+    gap = [F.coalesce(F.abs(F.col(f"_y{b}") - F.col(f"_p{b}")), F.lit(0.0)) for b in range(bins)]
+    filled = reduce(lambda a, x: a + (x > 0).cast("int"), n, F.lit(0))
+    mean = reduce(lambda a, i: a + F.when(n[i] > 0, gap[i] / n[i]).otherwise(0.0), range(bins), F.lit(0.0))
+    return {"ece": mean / filled, "ece_weighted": reduce(lambda a, x: a + x, gap, F.lit(0.0)) / reduce(lambda a, x: a + x, n, F.lit(0))}
+
+
+def ranking_metrics(scored: DataFrame, score: str = "score", label: str = "y", keys: Sequence[str] = ()) -> DataFrame:
+    """roc_auc, average_precision and the trapezoid PR area per key."""
+    curve = score_curve(scored, score, label, keys)
+    return curve.groupBy(*keys).agg(*[c.alias(n) for n, c in _ranking_aggregates().items()])
 
 
 def brier(scored: DataFrame, score: str = "score", label: str = "y", keys: Sequence[str] = ()) -> DataFrame:
@@ -112,24 +151,24 @@ def topk_fraction_metrics(
     scored: DataFrame, score: str = "score", label: str = "y", keys: Sequence[str] = (), percents: Sequence[int] = TOP_PERCENTS
 ) -> DataFrame:
     """precision, recall and lift at the score percentile 100 - k, for each k; rows per (key, k)."""
-    df, by = _keyed(scored, keys)
-    counted = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_pos"))
-    marks = ranking.percentiles(counted, score, {f"t{k}": 1 - k / 100 for k in percents}, by, weight="_n")
-    picks = []
-    for k in percents:
-        flag = F.col(score) >= F.col(f"t{k}")
-        picks += [F.sum(F.when(flag, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for c in ("_n", "_pos")]
-        picks.append(F.max(f"t{k}").alias(f"t{k}"))
-    sums = counted.join(marks, by).groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_pos").alias("pos"), *picks)
-    rows = F.inline(F.array(*[
-        F.struct(
-            F.lit(k).alias("k_pct"), F.col(f"t{k}").alias("threshold"), F.col(f"_n_{k}").alias("flagged"),
-            (F.col(f"_pos_{k}") / F.col(f"_n_{k}")).alias("precision"), (F.col(f"_pos_{k}") / F.col("pos")).alias("recall"),
-            F.when(F.col("pos") > 0, F.col(f"_pos_{k}") / F.col(f"_n_{k}") / (F.col("pos") / F.col("n"))).otherwise(0.0).alias("lift"),
-        )
+    curve = score_curve(scored, score, label, keys)
+    sums = curve.groupBy(*keys).agg(
+        F.max("n_total").alias("n"), F.max("pos_total").alias("pos"),
+        *[c.alias(n) for n, c in _top_share_aggregates(score, percents).items()],
+    )
+    return sums.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k_pct"), F.col(f"threshold_{k}").alias("threshold"), F.col(f"flagged_{k}").alias("flagged"), *_top_ratios(k))
         for k in percents
-    ]))
-    return sums.select(*keys, rows)
+    ])))
+
+
+def _top_ratios(k: int) -> list[Column]:
+    hits, flagged = F.col(f"hits_{k}"), F.col(f"flagged_{k}")
+    base = F.col("pos") / F.col("n")
+    return [
+        (hits / flagged).alias("precision"), (hits / F.nullif(F.col("pos"), F.lit(0))).alias("recall"),
+        F.when(F.col("pos") > 0, hits / flagged / base).otherwise(0.0).alias("lift"),
+    ]
 
 
 def topk_count_metrics(scored: DataFrame, score: str = "score", label: str = "y", counts: Sequence[int] = TOP_COUNTS) -> DataFrame:
@@ -170,20 +209,20 @@ def with_lead_days(scored: DataFrame, injuries: DataFrame, horizon: int = 21, da
 def alert_budget(scored: DataFrame, score: str = "score", label: str = "y", percents: Sequence[int] = TOP_PERCENTS) -> DataFrame:
     """Per budget: precision, recall, alerts per day, hits per 100 alerts, median lead of hits.
 
-    ``scored`` carries ``lead_days``, a small integer, so the exact median needs one counter per day.
+    ``scored`` carries ``lead_days``. Rows are counted once per (score, date, lead); thresholds,
+    totals and alerts all come from those counts, and the median has one counter per lead day.
     """
-    counted = scored.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    counted = scored.groupBy(score, "as_of_date", "lead_days").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")
+    )
     marks = ranking.percentiles(counted, score, {f"t{k}": 1 - k / 100 for k in percents}, weight="_n")
     row = marks.select(F.struct(*[f"t{k}" for k in percents])).scalar()
-    totals = scored.agg(F.struct(F.countDistinct("as_of_date").alias("days"), F.sum(label).alias("pos"))).scalar()
+    totals = counted.agg(F.struct(F.countDistinct("as_of_date").alias("days"), F.sum("_pos").alias("pos"))).scalar()
     budgets = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_t.t{k}").alias("t")) for k in percents]))
-    alerts = scored.withColumn("_t", row).select(
-        score, label, "lead_days", budgets.alias("b")
-    ).where(F.col(score) >= F.col("b.t"))
-    hit = F.col(label) == 1
+    alerts = counted.withColumn("_t", row).select(score, "lead_days", "_n", "_pos", budgets.alias("b")).where(F.col(score) >= F.col("b.t"))
     out = alerts.groupBy(F.col("b.k").alias("k_pct")).agg(
-        F.count(F.lit(1)).alias("alerts"), F.count_if(hit).alias("hits"),
-        F.percentile(F.when(hit, F.col("lead_days")), 0.5).alias("median_lead_days"),
+        F.sum("_n").alias("alerts"), F.sum("_pos").alias("hits"),
+        F.percentile(F.when(F.col("_pos") > 0, F.col("lead_days")), F.lit(0.5), F.greatest(F.col("_pos"), F.lit(1))).alias("median_lead_days"),
     ).withColumn("_tot", totals)
     return out.withColumns({
         "precision": F.col("hits") / F.col("alerts"), "recall": F.col("hits") / F.col("_tot.pos"),
@@ -192,15 +231,19 @@ def alert_budget(scored: DataFrame, score: str = "score", label: str = "y", perc
 
 
 def all_metrics(scored: DataFrame, score: str = "score", label: str = "y", keys: Sequence[str] = ()) -> DataFrame:
-    """One row per key with ranking, calibration and threshold metrics."""
-    df, by = _keyed(scored, keys)
-    top10 = topk_fraction_metrics(df, score, label, by, (10,)).select(
-        *by, F.col("precision").alias("precision_top_10"), F.col("recall").alias("recall_top_10"), F.col("lift").alias("lift_top_10")
+    """One row per key with ranking, calibration and threshold metrics, from one score curve."""
+    curve = score_curve(scored, score, label, keys)
+    aggregates = {**_ranking_aggregates(), **_top_share_aggregates(score, (10,)), **_calibration_aggregates(score)}
+    sums = curve.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]).withColumns(
+        {"n": F.col("samples"), "pos": F.col("positives")}
+    )
+    precision, recall, lift = _top_ratios(10)
+    return sums.select(
+        *keys, "roc_auc", "average_precision", "pr_auc_trapezoid", "samples", "positives",
+        (F.col("positives") / F.col("samples")).alias("positive_rate"), "brier",
+        *[c.alias(n) for n, c in _ece_columns().items()],
+        precision.alias("precision_top_10"), recall.alias("recall_top_10"), lift.alias("lift_top_10"),
     )
-    out = ranking_metrics(df, score, label, by)
-    for part in (brier(df, score, label, by), calibration_error(df, score, label, by), top10):
-        out = out.join(part, by)
-    return out.withColumn("positive_rate", F.col("positives") / F.col("samples")).drop(*([] if keys else [ALL]))
 
 
 def rolling_origin_backtest(scored: DataFrame, block: str = "block", first: int = 3, score: str = "score", label: str = "y") -> DataFrame:
@@ -257,23 +300,31 @@ def time_series_folds(df: DataFrame, splits: int = 5, day: str = "as_of_date", l
     )
 
 
-def promotion_gate(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Promote when ranking improves and calibration does not get worse; one-row frames."""
+def model_metrics(scored: DataFrame, scores: dict[str, str], label: str = "y") -> DataFrame:
+    """``all_metrics`` of several score columns in one pass, a row per model name."""
+    both = F.inline(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.col(c).cast("double").alias("_score")) for name, c in scores.items()
+    ]))
+    return all_metrics(scored.select(label, both), "_score", label, ["model"])
+
+
+def promotion_gate(metrics: DataFrame, new: str = "new", old: str = "old") -> DataFrame:
+    """Promote when ranking improves and calibration does not get worse (``model_metrics`` rows)."""
     picked = ("average_precision", "recall_top_10", "brier", "ece", "roc_auc", "precision_top_10")
-    both = new.select(*[F.col(c).alias(f"new_{c}") for c in picked]).withColumn(
-        "_old", old.select(F.struct(*picked)).scalar()
-    )
+    row = metrics.agg(*[
+        F.max(F.when(F.col("model") == model, F.col(c))).alias(f"{side}_{c}")
+        for side, model in (("new", new), ("old", old)) for c in picked
+    ])
     n = lambda c: F.col(f"new_{c}")
-    o = lambda c: F.col(f"_old.{c}")
+    o = lambda c: F.col(f"old_{c}")
     checks = {
         "pr_auc_up": n("average_precision") > o("average_precision"), "recall_up": n("recall_top_10") > o("recall_top_10"),
         "brier_ok": n("brier") <= o("brier"), "ece_ok": n("ece") <= o("ece"),
         "meets_targets": (n("roc_auc") > 0.75) & (n("precision_top_10") > 0.6) & (n("recall_top_10") > 0.7) & (n("brier") < 0.15) & (n("ece") < 0.05),
     }
-    out = both.withColumns(checks).withColumn(
+    return row.withColumns(checks).withColumn(
         "promote", F.col("pr_auc_up") & F.col("recall_up") & F.col("brier_ok") & F.col("ece_ok")
     )
-    return out.drop("_old")
 
 
 def band(value: Column, bands, otherwise: str, upper: bool = False) -> Column:

@@ -182,8 +182,7 @@ SELECT *, pr_auc_up AND recall_up AND brier_ok AND ece_ok AS promote FROM (SELEC
   n.average_precision > o.average_precision AS pr_auc_up, n.recall_top_10 > o.recall_top_10 AS recall_up, n.brier <= o.brier AS brier_ok, n.ece <= o.ece AS ece_ok,
   n.roc_auc > 0.75 AND n.precision_top_10 > 0.6 AND n.recall_top_10 > 0.7 AND n.brier < 0.15 AND n.ece < 0.05 AS meets_targets FROM metrics_all n, metrics_load o)""", "metrics_all metrics_load")
 def _(t):
-    base = y0(t)
-    return op.promotion_gate(op.all_metrics(base), op.all_metrics(base, "load_score"))
+    return op.promotion_gate(op.model_metrics(y0(t), {"new": "score", "old": "load_score"}))
 
 
 @query("rate_metrics", "roc_auc:r average_precision:r brier:r roc_rating:s pr_rating:s calibration_rating:s", """

@@ -9,6 +9,7 @@ from moundwork.operators import evaluation, labels, rolling, scoring, training
 from moundwork.plans.aggregate_queries import FEATURES
 from moundwork.plans.label_queries import labelled
 from moundwork.plans.registry import query
+from moundwork.session import written_once
 
 TRAIN_END, CALIBRATION_END = "1999-06-30", "2000-06-30"
 TREES, DEPTH = 10, 4
@@ -19,7 +20,11 @@ def grid_rows(t):
     grid = rolling.snapshot_grid(t.appearances, step=14)
     features = rolling.training_features(t.appearances, t.pitches, grid, min_pitches=3)
     flagged = labels.label_forward(features, t.injuries, (21,), day="as_of_date").withColumnRenamed("label_21d", "y")
-    return flagged.join(t.pitchers.select("pitcher_id", "role"), "pitcher_id")
+    return written_once(flagged.join(t.pitchers.select("pitcher_id", "role"), "pitcher_id"), "training-rows")
+
+
+def snapshot_rows(t):
+    return written_once(labelled(t), "labelled-snapshots")
 
 
 def three_blocks(df):
@@ -40,7 +45,7 @@ def _(t):
 
 @query("scale_features", "pitcher_id:n as_of_date:d scaled_load:r scaled_fatigue:r")
 def _(t):
-    rows = training.assemble_features(labelled(t), FEATURES)
+    rows = training.assemble_features(snapshot_rows(t), FEATURES)
     train, _, test = three_blocks(rows)
     scaled = vector_to_array("scaled")
     return training.scaler().fit(train).transform(test).withColumns({"scaled_load": scaled[0], "scaled_fatigue": scaled[4]})
@@ -48,7 +53,7 @@ def _(t):
 
 @query("select_k_best", "place:n feature:s")
 def _(t):
-    best = training.select_k_best(labelled(t), list(FEATURES), 3)
+    best = training.select_k_best(snapshot_rows(t), list(FEATURES), 3)
     return t.spark.createDataFrame(list(enumerate(best, 1)), "place int, feature string")
 
 
@@ -85,7 +90,7 @@ def _(t):
 
 @query("isotonic_calibration", "role:s samples:n raw_brier:r calibrated_brier:r")
 def _(t):
-    rows = labelled(t).join(t.pitchers.select("pitcher_id", "role"), "pitcher_id").withColumn("risk_score_raw", F.col("score"))
+    rows = snapshot_rows(t).join(t.pitchers.select("pitcher_id", "role"), "pitcher_id").withColumn("risk_score_raw", F.col("score"))
     _, held, test = three_blocks(rows)
     out = training.apply_calibration(training.fit_isotonic(held), test)
     error = lambda c: F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y")))
@@ -96,7 +101,7 @@ def _(t):
 @query("backtest_with_model", "block:s samples:n positives:n roc_auc:r average_precision:r brier:r ece:r")
 def _(t):
     """Logistic baseline refitted per season on all earlier seasons."""
-    rows = training.assemble_features(labelled(t), FEATURES).withColumn("block", F.year("as_of_date").cast("string"))
+    rows = training.assemble_features(snapshot_rows(t), FEATURES).withColumn("block", F.year("as_of_date").cast("string"))
     span = rows.agg(F.min("block").alias("a"), F.max("block").alias("b")).first()
     blocks = [str(year) for year in range(int(span["a"]), int(span["b"]) + 1)]
 
