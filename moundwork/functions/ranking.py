@@ -6,6 +6,10 @@ percent) would pull every row into one task. Here the rows are first counted per
 into ordered buckets, and running totals are formed inside each bucket and shifted by the totals
 of the buckets before it. Bucket edges come from the values with the smallest hashes: they only
 steer the split, are the same on every evaluation, and never change a result.
+
+The counts are used three times (edges, bucket totals, running totals). They are written to the
+shared folder once, so the rows behind them are read and computed once, and a lost executor
+recomputes nothing upstream.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moundwork.session import written_once
+
 MAX_BUCKETS = 256
 
 
@@ -29,18 +35,22 @@ def value_positions(
     keys: Sequence[str] = (),
     measures: dict[str, Column] | None = None,
     weight: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per (keys, value) with its totals, the totals below it, and the key's totals.
 
     For every measure ``m`` the result has ``m``, ``m_before`` (sum over smaller values of the
     same key) and ``m_total``; ``n`` counts rows (or sums ``weight`` of rows counted before).
-    Null values are left out.
+    Null values are left out. ``stored`` says that ``df`` is a written table already holding one
+    row per (keys, value), so that it is not written again.
     """
     measures = {"n": F.sum(weight) if weight else F.count(F.lit(1)), **(measures or {})}
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         *[agg.alias(name) for name, agg in measures.items()]
     )
+    if not stored:
+        counted = written_once(counted, "value-counts")
     edges = (
         counted.select(value).distinct()
         .orderBy(F.xxhash64(value), value)
@@ -140,11 +150,11 @@ def global_row_number(
     Ties on ``value`` are ordered by ``spread`` through a second set of bucketed totals; only the
     rows of one (value, spread) pair are ordered in a window, by ``last``.
     """
-    pairs = df.groupBy(value, spread).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = written_once(df.groupBy(value, spread).agg(F.count(F.lit(1)).alias("_n")), "pair-counts")
     outer = value_positions(pairs, value, weight="_n")
     first = F.col("n_total") - F.col("n_before") - F.col("n") if descending else F.col("n_before")
     outer = outer.select(value, first.alias("_start"), F.col("n_total").alias("row_total"))
-    inner = value_positions(pairs, spread, [value], weight="_n")
+    inner = value_positions(pairs, spread, [value], weight="_n", stored=True)
     starts = inner.join(outer, value).select(
         F.col(value).alias("_v"), F.col(spread).alias("_s"), (F.col("_start") + F.col("n_before")).alias("_start"),
         "row_total",

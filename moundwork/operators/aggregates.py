@@ -15,6 +15,7 @@ from moundwork.functions import ranking
 from moundwork.functions import windows as w
 from moundwork.operators import lookups, rolling
 from moundwork.operators.rolling import as_day
+from moundwork.session import written_once
 
 
 def season_counts(df: DataFrame, day: str = "game_date") -> DataFrame:
@@ -315,7 +316,7 @@ def iqr_outliers(df: DataFrame, features: Sequence[str], reach: float = 1.5) ->
     gathered into one buffer.
     """
     long = unpivot(df, [], features)
-    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    counted = written_once(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n")), "feature-counts")
     marks = _weighted_quartiles(counted)
     low = F.col("q1") - (F.col("q3") - F.col("q1")) * reach
     high = F.col("q3") + (F.col("q3") - F.col("q1")) * reach

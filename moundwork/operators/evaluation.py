@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from moundwork.functions import ranking
 from moundwork.functions import windows as w
 from moundwork.operators.rolling import as_day
+from moundwork.session import written_once
 
 TOP_PERCENTS = (5, 10, 20)
 TOP_COUNTS = (5, 10, 20, 50)
@@ -212,9 +213,9 @@ def alert_budget(scored: DataFrame, score: str = "score", label: str = "y", perc
     ``scored`` carries ``lead_days``. Rows are counted once per (score, date, lead); thresholds,
     totals and alerts all come from those counts, and the median has one counter per lead day.
     """
-    counted = scored.groupBy(score, "as_of_date", "lead_days").agg(
+    counted = written_once(scored.groupBy(score, "as_of_date", "lead_days").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")
-    )
+    ), "alert-counts")
     marks = ranking.percentiles(counted, score, {f"t{k}": 1 - k / 100 for k in percents}, weight="_n")
     row = marks.select(F.struct(*[f"t{k}" for k in percents])).scalar()
     totals = counted.agg(F.struct(F.countDistinct("as_of_date").alias("days"), F.sum("_pos").alias("pos"))).scalar()
@@ -424,7 +425,7 @@ def anova_f(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
 
 def drift_psi(reference: DataFrame, current: DataFrame, features: Sequence[str], parts: int = 10, trigger: float = 0.2) -> DataFrame:
     """Population stability index over the reference's deciles, per feature."""
-    ref = _counted(reference, features, "ref")
+    ref = written_once(_counted(reference, features, "ref"), "reference-counts")
     probs = {f"e{i}": i / parts for i in range(1, parts)}
     edges = ranking.percentiles(ref, "value", probs, ["feature"], weight="ref")
     both = ref.unionByName(_counted(current, features, "cur"), allowMissingColumns=True)

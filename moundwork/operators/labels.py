@@ -50,11 +50,12 @@ def label_forward(
 
 
 def label_with_blackout(
-    games: DataFrame, injuries: DataFrame, blackout: int = 3, horizon: int = 21, keep: bool = False
+    games: DataFrame, injuries: DataFrame, blackout: int = 3, horizon: int = 21, keep: bool = False,
+    day: str = DAY,
 ) -> DataFrame:
     """1/0 label with games 0..blackout days before an injury set to null (and dropped)."""
     out = with_injury_windows(
-        games, injuries, {"_near": (0, blackout), "_ahead": (1, horizon)}
+        games, injuries, {"_near": (0, blackout), "_ahead": (1, horizon)}, day
     ).withColumn(
         "injury_within_21d", F.when(~F.col("_near"), F.col("_ahead").cast("int"))
     ).withColumnRenamed("_near", "blackout_violation").drop("_ahead")

@@ -23,8 +23,12 @@ def parse_injury_text(df: DataFrame, column: str) -> DataFrame:
     df = compute_once(df, {"_low": F.lower(original)})
     df = compute_once(df, {
         "_loc1": text.injury_location(low), "_type1": text.injury_type(low), "severity": text.severity(low),
-        "_medical": text.medical_term_location(low), "_context": text.context_location(low),
-        "_pattern": text.pattern_type(low), "_size": F.length(original),
+        "_medical": text.medical_term_location(low), "_size": F.length(original),
+    })
+    no_place = (F.col("_loc1") == unknown) & (F.col("_medical") == unknown)
+    df = compute_once(df, {
+        "_context": F.when(no_place, text.context_location(low)).otherwise(unknown),
+        "_pattern": F.when(F.col("_type1") == unknown, text.pattern_type(low)).otherwise(unknown),
     })
     direct = (F.col("_loc1") != unknown) | (F.col("_type1") != unknown) | (F.col("severity") != unknown)
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from moundwork.operators import evaluation as op
 from moundwork.operators import rolling
 from moundwork.plans.aggregate_queries import FEATURES
-from moundwork.plans.label_queries import CUT, labelled, scores_of
+from moundwork.plans.label_queries import CUT, labelled, scores_of, stored_labelled, stored_scores
 from moundwork.plans.registry import query, sql_table
+from moundwork.session import written_once
 
 EDGES = [repr(i * 0.1) for i in range(1, 10)]
 BIN = " + ".join(f"CAST(score > {e}::DOUBLE AS INTEGER)" for e in EDGES)
@@ -24,6 +25,11 @@ def y0(t):
     return base.join(t.pitchers.select("pitcher_id", "role"), "pitcher_id")
 
 
+def stored(t):
+    """``y0`` written once, for metrics with more than one pass over the rows."""
+    return written_once(y0(t).select("pitcher_id", "as_of_date", "score", "y"), "scored-labels")
+
+
 def ranking_sql(key: str, score: str = "score", source: str = "y0") -> str:
     """Rank-sum AUC with average ranks, average precision and trapezoid area, straight from rows."""
     return f"""
@@ -97,7 +103,7 @@ def _(t):
 @query("decile_table", "decile:n samples:n predicted:r observed:r", """
 SELECT decile, count(*) AS samples, avg(score) AS predicted, avg(y) AS observed FROM (SELECT *, ntile(10) OVER (ORDER BY score, pitcher_id, as_of_date) AS decile FROM y0) GROUP BY 1""", "y0")
 def _(t):
-    return op.decile_table(y0(t))
+    return op.decile_table(stored(t))
 
 
 CONFUSION = "tp:n fp:n fn:n tn:n accuracy:r precision:r recall:r specificity:r f1:r"
@@ -124,14 +130,14 @@ def _(t):
 @query("topk_count_metrics", "k:n precision:r recall:r", " UNION ALL ".join(f"""
 SELECT {k} AS k, sum(y) / {k}.0::DOUBLE AS precision, sum(y) / CAST((SELECT sum(y) FROM y0) AS DOUBLE) AS recall FROM (SELECT y FROM y0 ORDER BY score DESC, pitcher_id, as_of_date LIMIT {k})""" for k in op.TOP_COUNTS), "y0")
 def _(t):
-    return op.topk_count_metrics(y0(t))
+    return op.topk_count_metrics(stored(t))
 
 
 @query("lift_at_top10", "top_rows:n precision_top:r base_rate:r lift_top:r", """
 SELECT count(*) FILTER (rn <= k) AS top_rows, avg(y) FILTER (rn <= k) AS precision_top, avg(y) AS base_rate, avg(y) FILTER (rn <= k) / avg(y) AS lift_top
 FROM (SELECT y, row_number() OVER (ORDER BY score DESC, pitcher_id, as_of_date) AS rn, floor(count(*) OVER () * 0.1::DOUBLE + 1e-9) AS k FROM y0)""", "y0")
 def _(t):
-    return op.top_share_lift(y0(t))
+    return op.top_share_lift(stored(t))
 
 
 @query("lead_days", "pitcher_id:n as_of_date:d lead_days:n", """
@@ -169,7 +175,7 @@ SELECT c - 1 AS fold, n AS test_rows, p / CAST(n AS DOUBLE) AS test_positive_rat
   SELECT *, sum(n) OVER (ORDER BY c) - n AS tn, sum(p) OVER (ORDER BY c) - p AS tp FROM (SELECT c, count(*) AS n, sum(y) AS p, min(as_of_date) AS a, max(as_of_date) AS b
     FROM (SELECT *, ntile(6) OVER (ORDER BY as_of_date, pitcher_id) AS c FROM y0) GROUP BY 1)) WHERE c > 1""", "y0")
 def _(t):
-    return op.time_series_folds(y0(t))
+    return op.time_series_folds(stored(t))
 
 
 @query("subgroup_metrics", f"role:s {METRICS}", f"SELECT *, k AS role FROM ({metrics_sql('role')})", "y0")
@@ -218,7 +224,7 @@ SELECT m.*, t.*, v.*, array_to_string(list_filter([CASE WHEN roc_auc < 0.7 THEN
 FROM held_out_metrics m, (SELECT min(as_of_date) AS train_start, max(as_of_date) AS train_end, avg(y) AS train_pos_rate FROM y0 WHERE as_of_date <= DATE '{CUT}') t,
   (SELECT min(as_of_date) AS val_start, max(as_of_date) AS val_end, avg(y) AS val_pos_rate, (count(*) - sum(y)) / CAST(sum(y) AS DOUBLE) AS scale_pos_weight FROM held_out) v""", "held_out_metrics held_out y0")
 def _(t):
-    base = y0(t)
+    base = stored(t)
     day = F.lit(CUT).cast("date")
     panel = op.metrics_panel(base.where(F.col("as_of_date") <= day), base.where(F.col("as_of_date") > day))
     return panel.withColumn("advice", F.concat_ws("|", "advice"))
@@ -238,7 +244,7 @@ SELECT feature, (sum(n * pow(m - g, 2)) / (count(*) - 1)) / (sum(v * (n - 1)) /
 
 @query("anova_f", "feature:s f_value:r", "SELECT * FROM anova", "anova")
 def _(t):
-    return op.anova_f(labelled(t), "y", FEATURES)
+    return op.anova_f(stored_labelled(t, *FEATURES), "y", FEATURES)
 
 
 DRIFT = FEATURES[:4]
@@ -247,7 +253,7 @@ sql_table("drift_rows", " UNION ALL ".join(
 
 
 def halves(t):
-    base = scores_of(t)
+    base = stored_scores(t, *DRIFT)
     day = F.lit(CUT).cast("date")
     return base.where(F.col("as_of_date") <= day), base.where(F.col("as_of_date") > day)
 

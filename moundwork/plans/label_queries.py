@@ -9,6 +9,7 @@ from moundwork.operators import lookups, rolling, scoring, selection
 from moundwork.operators.appearances import labels_per_pitcher
 from moundwork.plans.registry import query, sql_table
 from moundwork.plans.rolling_queries import AS_OF
+from moundwork.session import written_once
 
 CUT = "1999-06-30"
 GAME = "pitcher_id:n game_date:d"
@@ -18,6 +19,11 @@ def scores_of(t):
     return scoring.heuristic_score(rolling.snapshot_rolling(t.appearances))
 
 
+def stored_scores(t, *features):
+    """Scores (and named features) written once, for operators that read their input repeatedly."""
+    return written_once(scores_of(t).select("pitcher_id", "as_of_date", "score", *features), "scores")
+
+
 def ahead(lo: int, hi: int, a: str = "a") -> str:
     return (f"EXISTS (SELECT 1 FROM injuries i WHERE i.pitcher_id = {a}.pitcher_id "
             f"AND i.il_start BETWEEN {a}.game_date + ({lo}) AND {a}.game_date + ({hi}))")
@@ -91,15 +97,21 @@ WHERE b.injury_within_21d IS NOT NULL""", "scores", "blackout")
 
 
 def labelled(t):
-    labels = op.label_with_blackout(t.appearances, t.injuries).select(
-        "pitcher_id", F.col("game_date").alias("as_of_date"), F.col("injury_within_21d").alias("y")
-    )
-    return op.features_with_labels(scores_of(t), labels)
+    """Scored snapshots with their label, read off the snapshots' own daily line (no join)."""
+    flagged = op.label_with_blackout(scores_of(t), t.injuries, day="as_of_date")
+    return flagged.withColumnRenamed("injury_within_21d", "y")
+
+
+def stored_labelled(t, *features):
+    return written_once(labelled(t).select("pitcher_id", "as_of_date", "score", "y", *features), "labelled")
 
 
 @query("features_with_labels", "pitcher_id:n as_of_date:d roll21d_pitch_count:n score:r y:n", "SELECT * FROM labelled_snapshots", "labelled_snapshots")
 def _(t):
-    return labelled(t)
+    labels = op.label_with_blackout(t.appearances, t.injuries).select(
+        "pitcher_id", F.col("game_date").alias("as_of_date"), F.col("injury_within_21d").alias("y")
+    )
+    return op.features_with_labels(scores_of(t), labels)
 
 
 @query("features_with_labels_by_pitcher", "pitcher_id:n roll21d_pitch_count:n injury_within_21d:n last_date:d", """
@@ -189,14 +201,14 @@ def _(t):
 SELECT *, row_number() OVER (ORDER BY score DESC, pitcher_id, as_of_date) AS position FROM scores
 QUALIFY position <= greatest(1, floor(count(*) OVER () * 0.1::DOUBLE + 1e-9))""", "scores")
 def _(t):
-    return selection.top_k_percent(scores_of(t))
+    return selection.top_k_percent(stored_scores(t))
 
 
 @query("stratified_split", "pitcher_id:n as_of_date:d y:n split:s", """
 SELECT pitcher_id, as_of_date, y, CASE WHEN row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws('|', pitcher_id, as_of_date, 42)))
   <= floor(count(*) OVER (PARTITION BY y) * 0.2::DOUBLE + 1e-9) THEN 'test' ELSE 'train' END AS split FROM labelled_snapshots""", "labelled_snapshots")
 def _(t):
-    return selection.stratified_split(labelled(t), "y", ["pitcher_id", "as_of_date"])
+    return selection.stratified_split(stored_labelled(t), "y", ["pitcher_id", "as_of_date"])
 
 
 sql_table("cut_date", """
@@ -207,7 +219,7 @@ SELECT min(as_of_date) AS cut FROM (SELECT as_of_date, sum(count(*)) OVER (ORDER
 @query("time_split", "pitcher_id:n as_of_date:d y:n split:s", """
 SELECT pitcher_id, as_of_date, y, CASE WHEN as_of_date < cut THEN 'train' ELSE 'validation' END AS split FROM labelled_snapshots, cut_date""", "labelled_snapshots cut_date")
 def _(t):
-    return selection.time_split(labelled(t))
+    return selection.time_split(stored_labelled(t))
 
 
 @query("split_by_bounds", "pitcher_id:n as_of_date:d split:s", f"""
@@ -245,7 +257,7 @@ def _(t):
 
 @query("minority_oversampling", "pitcher_id:n as_of_date:d y:n copy:n")
 def _(t):
-    return selection.oversample(labelled(t).select("pitcher_id", "as_of_date", "y"), "y", 0.5)
+    return selection.oversample(stored_labelled(t).select("pitcher_id", "as_of_date", "y"), "y", 0.5)
 
 
 @query("riskiest_pitchers", "pitcher_id:n name:s as_of_date:d roll7d_pitch_count:n roll21d_pitch_count:n score:r risk_bucket:s", """

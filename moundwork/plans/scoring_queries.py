@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from moundwork.operators import aggregates, lookups, rolling, selection
 from moundwork.operators import scoring as op
 from moundwork.plans.aggregate_queries import FEATURES
-from moundwork.plans.label_queries import CUT, labelled, scores_of
+from moundwork.plans.label_queries import CUT, scores_of, stored_labelled, stored_scores
 from moundwork.plans.registry import query, sql_table
 from moundwork.plans.rolling_queries import AS_OF, engineered
+from moundwork.session import written_once
 
 # Importances of a fitted model stand here as fixed inputs of the ranking rule.
 IMPORTANCES = {
@@ -294,7 +295,8 @@ sql_table("team_scores", "SELECT s.*, role, team FROM scores s JOIN pitchers p O
 
 
 def team_scores(t):
-    return scores_of(t).join(t.pitchers.select("pitcher_id", "team", "role"), "pitcher_id")
+    return written_once(
+        scores_of(t).select("pitcher_id", "as_of_date", "score").join(t.pitchers.select("pitcher_id", "team", "role"), "pitcher_id"), "team-scores")
 
 
 @query("dynamic_risk_bucket", f"{SNAP} team:s score:r risk_bucket:s", """
@@ -312,11 +314,11 @@ def _(t):
 @query("feature_percentile", f"{SNAP} feature:s value:r percentile:r", " UNION ALL ".join(f"""
 SELECT pitcher_id, as_of_date, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, percent_rank() OVER (ORDER BY {f}) AS percentile FROM scores""" for f in FEATURES[:3]), "scores")
 def _(t):
-    return op.feature_percentiles(scores_of(t), ["pitcher_id", "as_of_date"], FEATURES[:3])
+    return op.feature_percentiles(stored_scores(t, *FEATURES[:3]), ["pitcher_id", "as_of_date"], FEATURES[:3])
 
 
 @query("error_sample", f"{SNAP} kind:s score:r", """
 SELECT * FROM (SELECT pitcher_id, as_of_date, 'false_positive' AS kind, score FROM labelled_snapshots WHERE y = 0 AND score >= 0.5::DOUBLE ORDER BY md5(concat_ws('|', pitcher_id, as_of_date, 42)) LIMIT 20)
 UNION ALL SELECT * FROM (SELECT pitcher_id, as_of_date, 'false_negative', score FROM labelled_snapshots WHERE y = 1 AND score < 0.5::DOUBLE ORDER BY md5(concat_ws('|', pitcher_id, as_of_date, 42)) LIMIT 20)""", "labelled_snapshots")
 def _(t):
-    return selection.error_sample(labelled(t))
+    return selection.error_sample(stored_labelled(t))
