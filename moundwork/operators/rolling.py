@@ -356,6 +356,13 @@ def _anchor_days(anchors: DataFrame, days: int) -> DataFrame:
     )
 
 
+def _pitches_of_windows(pitches: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
+    """Only pitches on a day of some window, before anything is shuffled or sorted; the list of
+    days is small next to the pitches and is broadcast by its size where it fits."""
+    wanted = _anchor_days(anchors, days).select("pitcher_id", "game_date").distinct()
+    return pitches.join(wanted, ["pitcher_id", "game_date"], "left_semi")
+
+
 def ewm_features(
     pitches: DataFrame, anchors: DataFrame, spans: Sequence[int] = (7, 14, 30), min_pitches: int = 20,
     metrics: Sequence[str] = ("release_speed", "release_spin_rate"),
@@ -369,6 +376,7 @@ def ewm_features(
     """
     slot = ["pitcher_id", "game_date", "pitch_number"]
     longest = max(spans)
+    pitches = _pitches_of_windows(pitches, anchors, longest)
     sums = {f"s_{m}": F.sum(F.col(m).cast("double")) for m in metrics} | {
         f"c_{m}": F.count(m) for m in metrics
     }
@@ -431,7 +439,7 @@ def pitch_mix(
     def share_of(codes) -> Column:
         return F.count_if(F.col("pitch_type").isin(*codes))
 
-    daily = pitches.groupBy("pitcher_id", "game_date").agg(
+    daily = _pitches_of_windows(pitches, anchors, max(days)).groupBy("pitcher_id", "game_date").agg(
         F.count(F.lit(1)).alias("n"), share_of(breaking).alias("breaking_ball"),
         share_of(FASTBALL_CODES).alias("fastball"), share_of(OFFSPEED_CODES).alias("off_speed"),
     )

@@ -102,7 +102,7 @@ def _plain_sql(expr: str) -> str:
 
 sql_table("table_rows", f"""
 SELECT page_id, url, [{_plain_sql('c')} for c in cells] AS cells FROM (
-  SELECT page_id, url, list_slice(regexp_split_to_array(part, '(?i)<t[dh][^>]*>'), 2, 1000) AS cells FROM (
+  SELECT page_id, url, list_slice(regexp_split_to_array(part, '(?i)<t[dh][^>]*>'), 2, 1000000) AS cells FROM (
     SELECT page_id, url, unnest(list_slice(regexp_split_to_array(tab, '(?i)<tr[\\s>]'), 3, 1000000)) AS part FROM (
       SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<table[\\s>].*?</table>')) AS tab FROM landed_pages)))
 WHERE len(cells) >= 4""", "landed_pages")

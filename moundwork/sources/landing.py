@@ -63,7 +63,7 @@ def injury_table_rows(pages: DataFrame, min_cells: int = 4) -> DataFrame:
         "page_id", "url", "table_no", F.posexplode(F.split("_table", r"(?i)<tr[\s>]")).alias("row_no", "_row")
     ).where(F.col("row_no") >= 2)
     pieces = F.split("_row", r"(?i)<t[dh][^>]*>")
-    cells = F.transform(F.slice(pieces, 2, 1000), _plain)
+    cells = F.transform(F.slice(pieces, 2, F.size(pieces)), _plain)
     return rows.withColumn("cells", cells).where(F.size("cells") >= min_cells).drop("_row")
 
 
