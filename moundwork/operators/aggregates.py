@@ -34,7 +34,7 @@ def season_summary(pitches: DataFrame) -> DataFrame:
     )
     return per.groupBy("season").agg(
         F.sum("_n").alias("pitch_count"), F.count(F.lit(1)).alias("unique_pitchers"),
-        (F.sum("_v") / F.sum("_nv")).alias("avg_velocity"), (F.sum("_s") / F.sum("_ns")).alias("avg_spin"),
+        (F.sum("_v") / F.nullif(F.sum("_nv"), F.lit(0))).alias("avg_velocity"), (F.sum("_s") / F.nullif(F.sum("_ns"), F.lit(0))).alias("avg_spin"),
     )
 
 

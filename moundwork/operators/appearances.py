@@ -98,9 +98,9 @@ def appearances_by_last_pitch(pitches: DataFrame) -> DataFrame:
 
     return per_at_bat.groupBy(*KEYS).agg(
         F.max("last_pitch").alias("pitches_thrown"),
-        (sums["s_speed"] / sums["n_speed"]).alias("avg_vel"),
+        (sums["s_speed"] / F.nullif(sums["n_speed"], F.lit(0))).alias("avg_vel"),
         spread("speed").alias("vel_std"),
-        (sums["s_spin"] / sums["n_spin"]).alias("avg_spin"),
+        (sums["s_spin"] / F.nullif(sums["n_spin"], F.lit(0))).alias("avg_spin"),
         spread("spin").alias("spin_std"),
         F.count(F.lit(1)).alias("at_bats"),
     )

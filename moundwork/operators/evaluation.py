@@ -45,7 +45,7 @@ def _ranking_aggregates() -> dict[str, Column]:
     precision = hits / flagged
     above_flagged, above_hits = flagged - n, hits - pos
     above_precision = F.when(above_flagged > 0, above_hits / above_flagged).otherwise(1.0)
-    step = pos / positives
+    step = pos / F.nullif(positives, F.lit(0))
     return {
         "roc_auc": auc, "average_precision": F.sum(step * precision),
         "pr_auc_trapezoid": F.sum(step * (precision + above_precision) * 0.5),
@@ -182,7 +182,7 @@ def topk_count_metrics(scored: DataFrame, score: str = "score", label: str = "y"
     ranked = top.withColumn("_p", place)
     sums = ranked.agg(*[F.sum(F.when(F.col("_p") <= k, F.col(label))).alias(f"h{k}") for k in counts]).withColumn("_pos", positives)
     rows = F.inline(F.array(*[
-        F.struct(F.lit(k).alias("k"), (F.col(f"h{k}") / float(k)).alias("precision"), (F.col(f"h{k}") / F.col("_pos")).alias("recall"))
+        F.struct(F.lit(k).alias("k"), (F.col(f"h{k}") / float(k)).alias("precision"), (F.col(f"h{k}") / F.nullif(F.col("_pos"), F.lit(0))).alias("recall"))
         for k in counts
     ]))
     return sums.select(rows)
@@ -226,7 +226,7 @@ def alert_budget(scored: DataFrame, score: str = "score", label: str = "y", perc
         F.percentile(F.when(F.col("_pos") > 0, F.col("lead_days")), F.lit(0.5), F.greatest(F.col("_pos"), F.lit(1))).alias("median_lead_days"),
     ).withColumn("_tot", totals)
     return out.withColumns({
-        "precision": F.col("hits") / F.col("alerts"), "recall": F.col("hits") / F.col("_tot.pos"),
+        "precision": F.col("hits") / F.col("alerts"), "recall": F.col("hits") / F.nullif(F.col("_tot.pos"), F.lit(0)),
         "alerts_per_day": F.col("alerts") / F.col("_tot.days"), "hits_per_100": F.col("hits") * 100.0 / F.col("alerts"),
     }).drop("_tot")
 
@@ -369,7 +369,7 @@ def metrics_panel(train: DataFrame, validation: DataFrame, score: str = "score",
     )).scalar()
     held = validation.agg(F.struct(
         F.min(day).alias("start"), F.max(day).alias("end"), F.avg(label).alias("rate"),
-        (F.count_if(F.col(label) == 0) / F.count_if(F.col(label) == 1)).alias("weight"),
+        (F.count_if(F.col(label) == 0) / F.nullif(F.count_if(F.col(label) == 1), F.lit(0))).alias("weight"),
     )).scalar()
     row = all_metrics(validation, score, label).withColumns({"_t": window, "_v": held})
     advice = F.filter(F.array(
@@ -418,7 +418,9 @@ def anova_f(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
         classes = F.count(F.lit(1))
         rows.append(F.struct(
             F.lit(f).alias("feature"),
-            ((between / (classes - 1)) / (within / (total - classes))).alias("f_value"),
+            (
+                between / F.nullif(classes - 1, F.lit(0)) / F.nullif(within / F.nullif(total - classes, F.lit(0)), F.lit(0.0))
+            ).alias("f_value"),
         ))
     return per_class.agg(F.array(*rows).alias("m")).select(F.inline("m"))
 
@@ -434,8 +436,8 @@ def drift_psi(reference: DataFrame, current: DataFrame, features: Sequence[str],
         F.coalesce(F.sum("ref"), F.lit(0)).alias("r"), F.coalesce(F.sum("cur"), F.lit(0)).alias("c")
     )
     whole = Window.partitionBy("feature")
-    p = F.greatest(F.col("r") / F.sum("r").over(whole), F.lit(1e-6))
-    q = F.greatest(F.col("c") / F.sum("c").over(whole), F.lit(1e-6))
+    p = F.greatest(F.col("r") / F.nullif(F.sum("r").over(whole), F.lit(0)), F.lit(1e-6))
+    q = F.greatest(F.col("c") / F.nullif(F.sum("c").over(whole), F.lit(0)), F.lit(1e-6))
     terms = bins.withColumns({"_p": p, "_q": q})
     return terms.groupBy("feature").agg(
         F.sum((F.col("_q") - F.col("_p")) * F.log(F.col("_q") / F.col("_p"))).alias("psi")
@@ -455,13 +457,14 @@ def drift_ks(reference: DataFrame, current: DataFrame, features: Sequence[str])
         "ref": F.coalesce(F.sum("ref"), F.lit(0)), "cur": F.coalesce(F.sum("cur"), F.lit(0)),
     })
     gap = F.abs(
-        (F.col("ref_before") + F.col("ref")) / F.col("ref_total") - (F.col("cur_before") + F.col("cur")) / F.col("cur_total")
+        (F.col("ref_before") + F.col("ref")) / F.nullif(F.col("ref_total"), F.lit(0))
+        - (F.col("cur_before") + F.col("cur")) / F.nullif(F.col("cur_total"), F.lit(0))
     )
     out = line.groupBy("feature").agg(
         F.max(gap).alias("statistic"), F.max("ref_total").alias("ref_rows"), F.max("cur_total").alias("cur_rows")
     )
     en = F.sqrt(F.col("ref_rows") * F.col("cur_rows") / (F.col("ref_rows") + F.col("cur_rows")))
-    lam = (en + 0.12 + F.lit(0.11) / en) * F.col("statistic")
+    lam = (en + 0.12 + F.lit(0.11) / F.nullif(en, F.lit(0.0))) * F.col("statistic")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
         lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(k * k * lam * lam * -2.0),
@@ -473,7 +476,7 @@ def drift_ks(reference: DataFrame, current: DataFrame, features: Sequence[str])
 def mean_risk_shift(reference: DataFrame, current: DataFrame, score: str = "score", trigger: float = 0.2) -> DataFrame:
     before = reference.agg(F.avg(score)).scalar()
     return current.agg(F.avg(score).alias("current_mean")).withColumn("reference_mean", before).withColumn(
-        "relative_shift", F.col("current_mean") / F.col("reference_mean") - 1
+        "relative_shift", F.col("current_mean") / F.nullif(F.col("reference_mean"), F.lit(0.0)) - 1
     ).withColumn("shifted", F.abs("relative_shift") >= trigger)
 
 

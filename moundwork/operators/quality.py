@@ -134,7 +134,7 @@ def gate_temporal(pitches: DataFrame, as_of: str) -> DataFrame:
     counted = days.agg(
         F.count("game_date").alias("dates"), F.coalesce(F.sum(F.when(future, F.col("n"))), F.lit(0)).alias("future"),
         F.coalesce(F.sum(F.when(old, F.col("n"))), F.lit(0)).alias("old"),
-        (F.count_if(F.dayofweek("game_date").isin(1, 7)) * 100.0 / F.count("game_date")).alias("weekend"),
+        (F.count_if(F.dayofweek("game_date").isin(1, 7)) * 100.0 / F.nullif(F.count("game_date"), F.lit(0))).alias("weekend"),
     )
     return as_gate("temporal", counted, [
         more_than("valid_dates", F.col("dates"), 0), at_most("future_pitches", F.col("future"), 0),

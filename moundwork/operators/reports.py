@@ -101,7 +101,8 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 def name_parts(pitchers: DataFrame) -> DataFrame:
     """Every substring of every pitcher name with the smallest pitcher id containing it.
 
-    Names are a few words long, so a row yields few substrings; grouping them makes the later "name contains text" lookup an equality join without pair comparison.
+    Names are a few words long, so a row yields few substrings; grouping them makes the later
+    "name contains text" lookup an equality join without pair comparison.
     """
     low = F.lower("name")
     starts = pitchers.select("pitcher_id", low.alias("_n"), F.explode(F.sequence(F.lit(1), F.length(low))).alias("_i"))

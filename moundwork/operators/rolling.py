@@ -270,11 +270,11 @@ def pregame_rolling(pitches: DataFrame, days: Sequence[int] = (7, 14, 30, 60)) -
         cols |= {
             f"pitch_count_{n}d": count,
             f"games_pitched_{n}d": games,
-            f"avg_velocity_{n}d": F.when(empty, 0.0).otherwise(total["s_speed"] / total["n_speed"] + SPEED_CENTRE),
+            f"avg_velocity_{n}d": F.when(empty, 0.0).otherwise(total["s_speed"] / F.nullif(total["n_speed"], F.lit(0)) + SPEED_CENTRE),
             f"max_velocity_{n}d": F.coalesce(F.max("max_speed").over(frame), F.lit(0.0)),
             f"velocity_std_{n}d": F.when(empty, 0.0).otherwise(
                 w.sample_std(total["n_speed"], total["s_speed"], total["q_speed"])),
-            f"avg_spin_rate_{n}d": F.when(empty, 0.0).otherwise(total["s_spin"] / total["n_spin"] + SPIN_CENTRE),
+            f"avg_spin_rate_{n}d": F.when(empty, 0.0).otherwise(total["s_spin"] / F.nullif(total["n_spin"], F.lit(0)) + SPIN_CENTRE),
             f"spin_rate_std_{n}d": F.when(empty, 0.0).otherwise(
                 w.sample_std(total["n_spin"], total["s_spin"], total["q_spin"])),
             f"pitches_per_game_{n}d": F.when(empty, 0.0).otherwise(count / games),
@@ -391,7 +391,7 @@ def ewm_features(
     cols = {"_offset": F.coalesce(F.sum("_c").over(from_end.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
     cols |= {f"n_{n}": F.sum(F.when(within(n), F.col("_c")).otherwise(0)).over(whole) for n in spans}
     for m in metrics:
-        cols[f"mid_{m}"] = F.sum(f"s_{m}").over(whole) / F.sum(f"c_{m}").over(whole)
+        cols[f"mid_{m}"] = F.sum(f"s_{m}").over(whole) / F.nullif(F.sum(f"c_{m}").over(whole), F.lit(0))
     placed = slots.join(_anchor_days(anchors, longest), ["pitcher_id", "game_date"]).withColumns(cols).drop(
         "_c", *sums
     )
@@ -417,7 +417,7 @@ def ewm_features(
         mean = {}
         for n in spans:
             enough = F.col(f"n_{n}") >= min_pitches
-            total, sq = F.col(f"w_{m}_{n}"), F.col(f"ww_{m}_{n}")
+            total, sq = F.nullif(F.col(f"w_{m}_{n}"), F.lit(0.0)), F.col(f"ww_{m}_{n}")
             mid = F.col(f"wx_{m}_{n}") / total
             var = F.greatest(F.col(f"wxx_{m}_{n}") / total - mid * mid, F.lit(0.0))
             unbias = total * total / F.nullif(total * total - sq, F.lit(0.0))
@@ -563,7 +563,7 @@ def spec_features(pitches: DataFrame, appearances: DataFrame, min_samples: dict[
         cols[f"_n_{n}"] = F.sum("n").over(f)
         for metric, centre in (("speed", SPEED_CENTRE), ("spin", SPIN_CENTRE)):
             k, s, q = (F.sum(f"{p}_{metric}").over(f) for p in ("n", "s", "q"))
-            cols[f"_avg_{metric}_{n}"] = s / k + centre
+            cols[f"_avg_{metric}_{n}"] = s / F.nullif(k, F.lit(0)) + centre
             cols[f"_std_{metric}_{n}"] = w.sample_std(k, s, q)
         for family in ("fastball", "breaking", "offspeed"):
             cols[f"_{family}_{n}"] = F.sum(f"n_{family}").over(f) / F.sum("n").over(f)
@@ -600,7 +600,7 @@ def spec_features(pitches: DataFrame, appearances: DataFrame, min_samples: dict[
         "avg_spin_rate_7d": F.col("_avg_spin_7"), "avg_spin_rate_14d": F.col("_avg_spin_14"),
         "spin_rate_decline_7d": F.col("_avg_spin_7") - F.col("_avg_spin_14"),
         "spin_rate_std_7d": F.col("_std_spin_7"),
-        "spin_velocity_ratio": F.col("_avg_spin_14") / F.col("_avg_speed_14"),
+        "spin_velocity_ratio": F.col("_avg_spin_14") / F.nullif(F.col("_avg_speed_14"), F.lit(0.0)),
         "fastball_pct": F.col("_fastball_30") * 100, "breaking_pct": F.col("_breaking_30") * 100,
         "off_speed_pct": F.col("_offspeed_30") * 100,
         "pitch_mix_change_7d": mix_change(7), "pitch_mix_change_14d": mix_change(14),

@@ -34,9 +34,9 @@ def ranking_sql(key: str, score: str = "score", source: str = "y0") -> str:
     """Rank-sum AUC with average ranks, average precision and trapezoid area, straight from rows."""
     return f"""
 SELECT k, any_value(samples) AS samples, any_value(positives) AS positives,
-  (sum(pos * (rank_low + (n + 1) / 2.0::DOUBLE)) - any_value(positives) * (any_value(positives) + 1) / 2.0::DOUBLE) / (any_value(positives) * (any_value(samples) - any_value(positives))) AS roc_auc,
-  sum(pos / CAST(positives AS DOUBLE) * tp / f) AS average_precision,
-  sum(pos / CAST(positives AS DOUBLE) * (tp / f + CASE WHEN f > n THEN (tp - pos) / (f - n) ELSE 1 END) / 2) AS pr_auc_trapezoid
+  (sum(pos * (rank_low + (n + 1) / 2.0::DOUBLE)) - any_value(positives) * (any_value(positives) + 1) / 2.0::DOUBLE) / nullif(any_value(positives) * (any_value(samples) - any_value(positives)), 0) AS roc_auc,
+  sum(pos / CAST(nullif(positives, 0) AS DOUBLE) * tp / f) AS average_precision,
+  sum(pos / CAST(nullif(positives, 0) AS DOUBLE) * (tp / f + CASE WHEN f > n THEN (tp - pos) / (f - n) ELSE 1 END) / 2) AS pr_auc_trapezoid
 FROM (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY s) - n AS rank_low, CAST(sum(n) OVER (PARTITION BY k ORDER BY s DESC) AS DOUBLE) AS f,
     CAST(sum(pos) OVER (PARTITION BY k ORDER BY s DESC) AS DOUBLE) AS tp, sum(n) OVER (PARTITION BY k) AS samples, sum(pos) OVER (PARTITION BY k) AS positives
   FROM (SELECT {key} AS k, {score} AS s, count(*) AS n, sum(y) AS pos FROM {source} GROUP BY 1, 2)) GROUP BY 1"""
@@ -51,7 +51,7 @@ SELECT k, avg(g) AS ece, sum(g * n) / sum(n) AS ece_weighted FROM (SELECT {key}
 def topk_sql(key: str, ks=(5, 10, 20), score: str = "score", source: str = "y0") -> str:
     return " UNION ALL ".join(f"""
 SELECT k, {p} AS k_pct, any_value(t) AS threshold, count(*) FILTER (s >= t) AS flagged, avg(y) FILTER (s >= t) AS precision,
-  sum(y) FILTER (s >= t) / CAST(sum(y) AS DOUBLE) AS recall, avg(y) FILTER (s >= t) / avg(y) AS lift
+  sum(y) FILTER (s >= t) / CAST(nullif(sum(y), 0) AS DOUBLE) AS recall, CASE WHEN sum(y) > 0 THEN avg(y) FILTER (s >= t) / avg(y) ELSE 0 END AS lift
 FROM (SELECT {key} AS k, {score} AS s, y, quantile_cont({score}, {1 - p / 100}) OVER (PARTITION BY {key}) AS t FROM {source}) GROUP BY 1""" for p in ks)
 
 

@@ -326,3 +326,19 @@ def test_loaded_period_is_skipped(make):
     pitches = make.pitches(UNIT)
     assert loading.is_loaded(pitches, "2024-04-01", "2024-04-30")
     assert not loading.is_loaded(pitches, "2024-05-01", "2024-05-31")
+
+
+def test_metrics_without_positives_are_null(make):
+    row = only(evaluation.all_metrics(make.scored([0, 0, 0], [0.9, 0.8, 0.4])))
+    assert row.roc_auc is None and row.average_precision is None and row.recall_top_10 is None
+    assert row.lift_top_10 == 0.0 and row.brier == pytest.approx((0.81 + 0.64 + 0.16) / 3)
+
+
+def test_windows_without_any_speed(make):
+    """Missing speeds give nulls or defaults, never a failed division."""
+    pitches = make.pitches([(1, d, "FF", None, None, 1, i) for i, d in enumerate(("2024-04-01", "2024-04-03"))])
+    later = by(rolling.pregame_rolling(pitches), "game_date")[day("2024-04-03")]
+    assert later.pitch_count_7d == 1 and later.avg_velocity_7d is None
+    ewm = only(rolling.ewm_features(pitches, rolling.last_pitch_day(pitches, "2024-05-01"), min_pitches=1))
+    assert ewm.roll7d_release_speed_ewm_mean is None
+    assert only(appearances.appearances_by_last_pitch(pitches).where("game_date = '2024-04-01'")).avg_vel is None
