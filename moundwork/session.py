@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,12 +32,18 @@ def build_session(app: str = "moundwork", master: str | None = None, **extra: st
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) is a local temporary folder made, because one JVM is then the whole cluster.
+    The folder is the session's ``spark.checkpoint.dir``. A session of one machine (``local`` or
+    ``local[...]``) may go without it and gets a temporary folder that is removed at the end; on any
+    other master a missing setting is an error, because executors would each write to a disk of
+    their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         root = tempfile.mkdtemp(prefix="moundwork-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
