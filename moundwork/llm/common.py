@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import pathlib
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 # Rows of an Arrow batch; texts of a hundred thousand characters then stay well below a worker's memory.
 BATCH_ROWS = 512
+SOURCE = str(pathlib.Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +23,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python workers a few hundred rows at a time."""
+    """Hand texts to Python workers a few hundred rows at a time, and let them import this package.
+
+    The path serves workers that see the driver's source folder; elsewhere the package is installed
+    or shipped with ``--py-files``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if SOURCE not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([SOURCE, *filter(None, known)])
 
 
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:

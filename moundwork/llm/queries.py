@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundwork.llm import pii, quality_rules
+from moundwork.llm import packing, pii, quality_rules, simhash
 from moundwork.llm.common import table
 from moundwork.session import written_once
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < 4)
@@ -34,8 +40,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", *quality_rules.MEASURES, "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prints = written_once(simhash.fingerprints(docs, words=4), "prints")
+    groups = simhash.near_groups(prints, radius=4)
+    return prints.join(groups, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
 }
 ORACLES: dict[str, str | None] = {}
