@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundwork.llm import packing, pii, quality_rules, simhash
+from moundwork.llm import mixing, packing, pii, quality_rules, sharding, simhash
 from moundwork.llm.common import table
 from moundwork.session import written_once
 
@@ -54,10 +54,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = written_once(mixing.sizes(table(spark, sf_dir, "documents")), "mix-sizes")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = written_once(sharding.nodes(table(spark, sf_dir, "documents")), "shard-nodes")
+    placed = sharding.with_slots(sharding.assign(parts))
+    return placed.select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
 }
 ORACLES: dict[str, str | None] = {}
