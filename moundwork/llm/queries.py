@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundwork.llm import mixing, packing, pii, quality_rules, sharding, simhash
+from moundwork.llm import mixing, packing, page_diff, pii, quality_rules, sharding, simhash, sketches, token_files, warc
 from moundwork.llm.common import table
-from moundwork.session import written_once
+from moundwork.session import shared_folder, written_once
 
 
 def tokenizer_path() -> str:
@@ -67,6 +67,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = written_once(warc.captures(table(spark, sf_dir, "pages")), "captures")
+    resolved = warc.resolve_revisits(records)
+    fields = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
+    return resolved.select(
+        "record_id", "url", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at"), "refers_to", "verdict",
+        F.array_join(fields, "\n").alias("headers"), F.length("payload").cast("long").alias("n_chars"))
+
+
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, tokenizer_path())
+    return token_files.read_token_files(spark, folder).select(
+        "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -74,5 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op8_sketches": op8_sketches,
+    "op9_page_diff": op9_page_diff,
+    "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str | None] = {}
