@@ -15,6 +15,7 @@ import os
 import numpy as np
 
 MEMO = 400_000
+MARKS = ".,;:!?%#$&*|"
 _open: dict[str, Words] = {}
 
 
@@ -38,12 +39,12 @@ class Words:
         return len(text.split()) - 1 == gaps and "\x00" not in text and not any(s in text for s in self.specials)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without inner white space: one call for all, with line breaks between them."""
-        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.append(np.nonzero(ids == self.line_break)[0], len(ids))
         if len(ends) != len(pieces):
             return self._whole(pieces)
@@ -76,14 +77,25 @@ class Words:
         if len(self.memo) + len(missing) > MEMO:
             self.memo, self.old = {"\n": self.memo["\n"]}, self.memo
             missing = [p for p in wanted if p != "\n"]
-        new = []
+        new: set[str] = set()
+        composed = []
         for p in missing:
-            if (known := self.old.get(p)) is None:
-                new.append(p)
-            else:
-                self.memo[p] = known
+            base = p.rstrip(MARKS)
+            # The vocabulary never merges across the place where marks follow a letter.
+            parts = (base, p[len(base):]) if base != p and base[-1:].isalpha() else (p,)
+            if len(parts) == 2:
+                composed.append((p, *parts))
+            for part in parts:
+                if part in self.memo or part in new:
+                    continue
+                if (known := self.old.get(part)) is None:
+                    new.add(part)
+                else:
+                    self.memo[part] = known
         if new:
-            self.memo.update(zip(new, self._each(new)))
+            ordered = list(new)
+            self.memo.update(zip(ordered, self._each(ordered)))
+        self.memo.update((p, self.memo[base] + self.memo[tail]) for p, base, tail in composed)
 
 
 def words_of(path: str) -> Words:
