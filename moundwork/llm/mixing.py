@@ -75,8 +75,12 @@ def _chances(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     rows = rows.withColumn("sure", F.floor("copies")).withColumn("p", F.col("copies") - F.col("sure"))
     u = prefix.unit("doc_id", "mark", seed=seed)
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    # Odds over one plus odds keep the order and lie in [0, 1): an even base for the slices.
-    return rows.withColumn("place", F.when(odds.isNull(), u).otherwise(odds / (1 + odds)))
+    # Scaled by the source's own chance and mapped to [0, 1), odds keep their order and fill the range
+    # evenly (without tilted chances the place is u itself): an even base for the slices.
+    usual = F.least(F.lit(float(MOST)), F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
+    usual = usual - F.floor(usual)
+    scaled = odds * F.when(usual > 0, usual / (1 - usual)).otherwise(1.0)
+    return rows.withColumn("place", F.when(odds.isNull(), u).otherwise(scaled / (1 + scaled)))
 
 
 def _close(rows: DataFrame, gaps: DataFrame) -> DataFrame:
