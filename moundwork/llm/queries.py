@@ -44,7 +44,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = written_once(simhash.fingerprints(docs, words=4), "prints")
     groups = simhash.near_groups(prints, radius=4)
-    return prints.join(groups, "fp").select(
+    return prints.join(groups, prints["fp0"] == groups["fp"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
