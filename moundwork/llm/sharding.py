@@ -1,8 +1,9 @@
 """Shards of near equal size that keep linked documents together: balanced label propagation.
 
 Documents with equal texts are linked (all members of a group are neighbours). They start in random
-shards. In a round every group looks where most of its members are among the shards with room, and
-the members in shards that hold fewer ask to move there. A shard admits moves, group after group in
+shards. In a round every group looks where most of its members are among the shards with room (a
+group larger than a shard at as many shards as it fills), and the members elsewhere that see fewer
+of their own ask to move there. A shard admits moves, group after group in
 a random but fixed order, until its quota of bytes is used up; the others ask again in the next
 round, when the group may see another shard with room. A group larger than a shard thus fills a few
 shards instead of being spread over all. Documents without equals cannot be cut off from anything;
@@ -58,15 +59,19 @@ def _round(linked: DataFrame, room: list[float], quota: float, seed: int) -> Dat
     votes = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     rank = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
     open_ = _per_shard(room, F.col("shard")) > 0
-    wish = votes.groupBy("g").agg(
-        F.max(F.when(open_, rank)).alias("best"), F.sum("bytes").alias("group_bytes"),
-        F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))  # as many entries as shards
-    wish = written_once(wish.where(F.col("best").isNotNull() & (F.size("held") > 1)).select(F.col("g").alias("of"), "best", "group_bytes", "held"), "shard-wish")
+    wish = votes.groupBy("g").agg(  # lists of at most one entry per shard
+        F.sort_array(F.collect_list(F.when(open_, rank)), asc=False).alias("tops"), F.sum("bytes").alias("group_bytes"),
+        F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))
+    wish = wish.where((F.size("tops") > 0) & (F.size("held") > 1)).select(
+        F.col("g").alias("of"), F.slice("tops", F.lit(1), F.ceil(F.col("group_bytes") / max(1.0, quota)).cast("int")).alias("tops"), "group_bytes", "held")
+    wish = written_once(wish, "shard-wish")
     own = F.struct(F.element_at("held", F.col("shard")).alias("n"), F.xxhash64("g", "shard").alias("tie"), "shard")
+    chosen = F.get("tops", F.pmod(F.xxhash64("doc_id", "crc", F.lit(seed)), F.size("tops")).cast("int"))
+    settled = F.exists("tops", lambda t: t["shard"] == F.col("shard")) | (F.col("own.n") > F.col("chosen.n"))
     together = prefix.unit("g", seed=seed)
     alone = prefix.unit("g", "doc_id", seed=seed)
-    asked = linked.join(wish, F.col("g") == F.col("of"), "left").withColumn("own", own).select(
-        "doc_id", "size", "crc", "g", "shard", F.when(F.col("own") < F.col("best"), F.col("best.shard")).alias("to"),
+    asked = linked.join(wish, F.col("g") == F.col("of"), "left").withColumn("own", own).withColumn("chosen", chosen).select(
+        "doc_id", "size", "crc", "g", "shard", F.when(~settled, F.col("chosen.shard")).alias("to"),
         prefix.slice_of(F.when(F.col("group_bytes") > quota * LARGE, alone).otherwise(together), QUOTA_SLICES).alias("part"))
     asked = written_once(asked, "shard-asked")
     sums = asked.where("to is not null").groupBy("to", "part").agg(F.sum("size").alias("bytes"))
