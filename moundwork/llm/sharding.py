@@ -26,7 +26,9 @@ from moundwork.llm import prefix
 from moundwork.session import written_once
 
 SHARDS = 24
-ROUNDS = 6
+ROUNDS = 8
+#: Rounds in which only groups that fit easily move, before large ones fill whole shards.
+SMALL_FIRST = 2
 SEED = 42
 QUOTA_SLICES = 4096
 #: A group above this share of a shard's bytes is admitted document by document.
@@ -54,7 +56,7 @@ def _loads(placed: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _round(linked: DataFrame, room: list[float], quota: float, seed: int) -> DataFrame:
+def _round(linked: DataFrame, room: list[float], quota: float, seed: int, large: bool) -> DataFrame:
     """One round of moves; ``linked`` gets new ``shard`` values and ``moved``."""
     votes = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     rank = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
@@ -62,7 +64,10 @@ def _round(linked: DataFrame, room: list[float], quota: float, seed: int) -> Dat
     wish = votes.groupBy("g").agg(  # lists of at most one entry per shard
         F.sort_array(F.collect_list(F.when(open_, rank)), asc=False).alias("tops"), F.sum("bytes").alias("group_bytes"),
         F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))
-    wish = wish.where((F.size("tops") > 0) & (F.size("held") > 1)).select(
+    asks = (F.size("tops") > 0) & (F.size("held") > 1)
+    if not large:
+        asks = asks & (F.col("group_bytes") <= quota * LARGE)
+    wish = wish.where(asks).select(
         F.col("g").alias("of"), F.slice("tops", F.lit(1), F.ceil(F.col("group_bytes") / max(1.0, quota)).cast("int")).alias("tops"), "group_bytes", "held")
     wish = written_once(wish, "shard-wish")
     own = F.struct(F.element_at("held", F.col("shard")).alias("n"), F.xxhash64("g", "shard").alias("tie"), "shard")
@@ -86,12 +91,12 @@ def _round(linked: DataFrame, room: list[float], quota: float, seed: int) -> Dat
 def propagate(linked: DataFrame, quota: float, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """Shards of linked documents after the rounds; no round lifts a shard above ``quota`` bytes."""
     placed = written_once(linked.withColumn("shard", _random_shard(shards, seed)), "shard-linked")
-    for _ in range(rounds):
+    for n in range(rounds):
         room = [quota - load for load in _loads(placed, shards)]
-        after = written_once(_round(placed, room, quota, seed), "shard-linked")
+        after = written_once(_round(placed, room, quota, seed, n >= SMALL_FIRST), "shard-linked")
         moved = after.where("moved").limit(1).count()
         placed = after.drop("moved")
-        if not moved:
+        if not moved and n >= SMALL_FIRST:
             break
     return placed
 
