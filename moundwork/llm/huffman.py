@@ -51,51 +51,56 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ``ids``, filled up to a byte, and the bit offset of every ``EVERY``-th id."""
-    size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    begin = end - size
-    total = int(end[-1]) if len(end) else 0
-    words = total // 32 + 2
-    shifted = codes[ids] << (64 - (begin & 31) - size).astype(np.uint64)
-    word = begin >> 5
+def encode(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """Of every document (``sizes`` ids each, none empty): its bits, filled up to a byte, and the bit offsets of every ``EVERY``-th id."""
+    if not len(ids):
+        return []
+    bits = lengths[ids].astype(np.int64)
+    end = np.cumsum(bits)
+    last = np.cumsum(sizes)
+    first = last - sizes
+    total = np.diff(end[last - 1], prepend=0)
+    room = (total + 7) // 8
+    at = np.cumsum(room) - room  # first byte of each document
+    begin = end - bits - np.repeat(end[first] - bits[first], sizes)  # bits before, in the own document
+    place = begin + np.repeat(8 * at, sizes)
+    words = int(at[-1] + room[-1]) // 4 + 3
+    shifted = codes[ids] << (64 - (place & 31) - bits).astype(np.uint64)
+    word = place >> 5
     # Bits of different ids never overlap, so sums of 32-bit halves are exact in a double.
     high = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), words)
     low = np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
-    return (high + low).astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], begin[::EVERY]
+    data = (high + low).astype(np.uint64).astype(">u4").tobytes()
+    return [
+        (data[b:b + n], begin[f:l:EVERY]) for b, n, f, l in zip(at.tolist(), room.tolist(), first.tolist(), last.tolist())]
 
 
 class Decoder:
     """Table-driven decoding: the next ``width`` bits index the id and the length of its code."""
 
     def __init__(self, lengths: np.ndarray):
-        codes = canonical(lengths)
         self.width = max(1, int(lengths.max(initial=1)))
-        self.ids = np.zeros(1 << self.width, np.uint32)
-        self.sizes = np.zeros(1 << self.width, np.int64)
         used = np.nonzero(lengths)[0]
         order = used[np.lexsort((used, lengths[used]))]
         spans = 1 << (self.width - lengths[order].astype(np.int64))
         filled = np.repeat(order, spans)  # canonical codes cover the table from its start without gaps
-        self.ids[: len(filled)] = filled
-        self.sizes[: len(filled)] = lengths[filled]
-        assert not len(order) or int(codes[order[0]]) == 0
+        self.table = np.zeros(1 << self.width, np.uint32)
+        self.table[: len(filled)] = (filled.astype(np.uint32) << 5) | lengths[filled]
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """All ids; ``counts`` ids follow each checkpoint. All checkpoints are walked side by side."""
+        """All ids; ``counts`` ids (at most ``EVERY``) follow each checkpoint. All checkpoints are walked side by side."""
         data = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
-        start = np.cumsum(counts) - counts
+        windows = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
         order = np.argsort(-counts, kind="stable")
-        at, place, left = checkpoints[order].astype(np.int64), start[order], counts[order]
-        out = np.zeros(int(counts.sum()), np.uint32)
+        at, left = checkpoints[order].astype(np.int64), counts[order]
+        found = np.zeros((EVERY, len(order)), np.uint32)
         drop = np.uint32(32 - self.width)
         for step in range(int(left[0]) if len(left) else 0):
             live = int(np.searchsorted(-left, -step, side="left"))
             pos = at[:live]
-            byte = pos >> 3
-            window = (data[byte] << 24) | (data[byte + 1] << 16) | (data[byte + 2] << 8) | data[byte + 3]
-            index = (window << (pos & 7).astype(np.uint32)) >> drop
-            out[place[:live] + step] = self.ids[index]
-            pos += self.sizes[index]
-        return out
+            entry = self.table[(windows[pos >> 3] << (pos & 7).astype(np.uint32)) >> drop]
+            found[step, :live] = entry >> np.uint32(5)
+            pos += entry & np.uint32(31)
+        rows = np.empty((len(order), EVERY), np.uint32)
+        rows[order] = found.T
+        return rows[np.arange(EVERY) < counts[:, None]]

@@ -62,11 +62,12 @@ def _counts(staged: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for planes in batch.column(0):
-                more = np.bincount(_ids(planes.as_py()))
-                if len(more) > len(total):
-                    total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
-                total[: len(more)] += more
+            if not batch.num_rows:
+                continue
+            more = np.bincount(np.concatenate([_ids(planes) for planes in batch.column(0).to_pylist()]))
+            if len(more) > len(total):
+                total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
+            total[: len(more)] += more
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -95,7 +96,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = E
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = huffman.canonical(lengths)
         for batch in batches:
-            coded = [huffman.encode(_ids(p.as_py()), codes, lengths) for p in batch.column(4)]
+            if not batch.num_rows:
+                continue
+            ids = np.concatenate([_ids(planes) for planes in batch.column(4).to_pylist()])
+            coded = huffman.encode(ids, batch.column(3).to_numpy().astype(np.int64), codes, lengths)
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(i) for i in range(4)), pa.array([c[0] for c in coded], pa.binary()),
                 pa.array([c[1].astype("<u4").tobytes() for c in coded], pa.binary())],

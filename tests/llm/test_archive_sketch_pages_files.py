@@ -172,13 +172,16 @@ def test_code_lengths_are_optimal_and_limited():
 
 def test_round_trip_of_codes():
     rng = np.random.default_rng(1)
-    for n, width in ((1, 1), (63, 3), (64, 3), (65, 40), (5000, 3000)):
-        ids = rng.integers(0, width, n).astype(np.uint32)
+    for sizes, width in (([1], 1), ([63, 64, 65], 3), ([1, 1, 200, 1], 40), ([5000, 3], 3000)):
+        ids = rng.integers(0, width, sum(sizes)).astype(np.uint32)
         lengths = huffman.code_lengths(np.bincount(ids))
-        payload, points = huffman.encode(ids, huffman.canonical(lengths), lengths)
-        counts = np.full(len(points), huffman.EVERY)
-        counts[-1] = n - huffman.EVERY * (len(points) - 1)
-        assert (huffman.Decoder(lengths).decode(payload, points, counts) == ids).all()
+        at = 0
+        for n, (payload, points) in zip(sizes, huffman.encode(ids, np.array(sizes), huffman.canonical(lengths), lengths)):
+            counts = np.full(len(points), huffman.EVERY)
+            counts[-1] = n - huffman.EVERY * (len(points) - 1)
+            assert (huffman.Decoder(lengths).decode(payload, points, counts) == ids[at:at + n]).all()
+            at += n
+    assert huffman.encode(ids[:0], np.array([], int), huffman.canonical(lengths), lengths) == []
 
 
 @pytest.mark.parametrize("block", [50, 500_000])
