@@ -14,6 +14,7 @@ recomputes nothing upstream.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,12 +22,27 @@ from pyspark.sql import functions as F
 
 from moundwork.session import written_once
 
-MAX_BUCKETS = 256
+VALUES_PER_BUCKET = 50_000
 
 
-def bucket_count(df: DataFrame) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4, min(MAX_BUCKETS, configured))
+def bucket_count(values: int) -> int:
+    """Buckets for so many distinct values; their number grows with the values, a bucket does not."""
+    return max(4, math.ceil(values / VALUES_PER_BUCKET))
+
+
+def _bucket_of(value: Column, edges: Column) -> Column:
+    """How many of the ascending ``edges`` are at or below ``value``, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        reached = F.get(edges, mid) <= value
+        return F.when(acc["lo"] < acc["hi"], F.struct(
+            F.when(reached, mid + 1).otherwise(acc["lo"]).alias("lo"),
+            F.when(reached, acc["hi"]).otherwise(mid).alias("hi"))).otherwise(acc)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(edges) + F.lit(1.0))).cast("int") + 1)
+    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
 
 
 def value_positions(
@@ -54,11 +70,11 @@ def value_positions(
     edges = (
         counted.select(value).distinct()
         .orderBy(F.xxhash64(value), value)
-        .limit(bucket_count(df) - 1)
+        .limit(bucket_count(counted.count()) - 1)
         .agg(F.array_sort(F.collect_list(value)))
     ).scalar()
     placed = counted.withColumn("_edges", edges).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e <= F.col(value)))
+        "_bucket", _bucket_of(F.col(value), F.col("_edges"))
     ).drop("_edges")
     below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

@@ -232,7 +232,7 @@ def _(t):
     return op.feature_variance(labelled(t), FEATURES)
 
 
-FEED = ("release_speed", "release_spin_rate", "pitch_type", "at_bat_number")
+FEED = ("pitcher", "batter", "pitch_type", "release_speed", "release_spin_rate", "at_bat_number", "pitch_number")
 
 
 @query("feature_completeness", "feature:s null_pct:r family:s family_completeness:r", """

@@ -247,7 +247,7 @@ def _(t):
     return op.anova_f(stored_labelled(t, *FEATURES), "y", FEATURES)
 
 
-DRIFT = FEATURES[:4]
+DRIFT = FEATURES
 sql_table("drift_rows", " UNION ALL ".join(
     f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, CASE WHEN as_of_date <= DATE '{CUT}' THEN 1 ELSE 0 END AS ref FROM scores" for f in DRIFT), "scores")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from moundwork.operators import aggregates, lookups, rolling, selection
@@ -175,15 +177,19 @@ def _(t):
     return engineered(t).join(newest, "pitcher_id").withColumn("actions", F.concat_ws("|", op.recommended_actions()))
 
 
-sql_table("role_load", """
+sql_table("role_load", f"""
 SELECT p.pitcher_id, role, s.total_pitches, s.appearances, w.avg_rest_days FROM pitchers p JOIN summary21 s ON p.pitcher_id = s.pitcher_id
-JOIN series_summary w ON p.pitcher_id = w.pitcher_id""", "pitchers", "summary21", "series_summary")
+JOIN (SELECT pitcher_id, coalesce(avg(rest_days) FILTER (i > 0), 0) AS avg_rest_days FROM (
+    SELECT pitcher_id, row_number() OVER (PARTITION BY pitcher_id ORDER BY game_date) - 1 AS i,
+      game_date - lag(game_date) OVER (PARTITION BY pitcher_id ORDER BY game_date) - 1 AS rest_days
+    FROM appearances WHERE game_date BETWEEN DATE '{AS_OF}' - 21 AND DATE '{AS_OF}') GROUP BY 1) w ON p.pitcher_id = w.pitcher_id""", "pitchers", "summary21", "appearances")
 BASE = {i: f"CASE WHEN role = 'reliever' THEN {op.ROLE_BASELINES['reliever'][i]}::DOUBLE ELSE {op.ROLE_BASELINES['starter'][i]}::DOUBLE END" for i in range(3)}
 
 
 def role_load(t):
     per = aggregates.workload_summary(t.appearances, AS_OF).select("pitcher_id", "appearances", "total_pitches")
-    rest = rolling.workload_series_summary(rolling.workload_timeseries(t.appearances, "2000-01-01", "2000-12-31")).select("pitcher_id", "avg_rest_days")
+    first = (dt.date.fromisoformat(AS_OF) - dt.timedelta(days=21)).isoformat()
+    rest = rolling.workload_series_summary(rolling.workload_timeseries(t.appearances, first, AS_OF)).select("pitcher_id", "avg_rest_days")
     return t.pitchers.select("pitcher_id", "role").join(per, "pitcher_id").join(rest, "pitcher_id")
 
 
@@ -264,12 +270,13 @@ def _(t):
     return op.risk_history(scores_of(t), "2000-01-01", "2000-06-30")
 
 
-EARLY = "1995-01-25"
-sql_table("early_snapshots", f"""
+def assessed_sql(day: str) -> str:
+    """Check SQL of the assessment on one day."""
+    snapshots = f"""
 SELECT pitcher_id, count(*) AS games, sum(pitches_thrown) FILTER (ago <= 21) AS p21, sum(pitches_thrown) FILTER (ago <= 7) AS p7,
   min(ago) AS days_since, arg_min(avg_vel, ago) FILTER (ago <= 21) - arg_max(avg_vel, ago) FILTER (ago <= 21) AS d21,
-  max(game_date) AS last_appearance, max(ago) AS days_of_data FROM (SELECT *, DATE '{EARLY}' - game_date AS ago FROM appearances WHERE game_date <= DATE '{EARLY}') GROUP BY 1""", "appearances")
-ASSESSED = f"""
+  max(game_date) AS last_appearance, max(ago) AS days_of_data FROM (SELECT *, DATE '{day}' - game_date AS ago FROM appearances WHERE game_date <= DATE '{day}') GROUP BY 1"""
+    return f"""
 SELECT p.pitcher_id, p.team, coalesce(score, 0.5::DOUBLE) AS risk_score, CASE WHEN score IS NULL THEN 'medium' ELSE {bucket_sql('score', 0.3, 0.6)} END AS risk_level,
   CASE WHEN score IS NULL THEN 'low' WHEN games >= 10 THEN 'medium' ELSE 'low' END AS data_completeness, CASE WHEN score IS NULL THEN 0 ELSE days_of_data END AS days_of_data,
   last_appearance, CASE WHEN score IS NULL THEN 'Insufficient data for assessment' ELSE array_to_string(list_slice({present_sql(
@@ -277,18 +284,26 @@ SELECT p.pitcher_id, p.team, coalesce(score, 0.5::DOUBLE) AS risk_score, CASE WH
       "CASE WHEN fatigue > 0.7::DOUBLE THEN 'High fatigue score' END", "CASE WHEN days_since < 2 AND days_since != 0 THEN 'Insufficient rest' END")}, 1, 3), '|') END AS concerns
 FROM pitchers p LEFT JOIN (SELECT *, CASE WHEN games >= 5 THEN round(least(0.9::DOUBLE, 0.3::DOUBLE + CASE WHEN p21 > 250 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN d21 > 1 THEN 0.3::DOUBLE ELSE 0 END
     + CASE WHEN fatigue > 0.7::DOUBLE THEN 0.2::DOUBLE ELSE 0 END), 6) END AS score
-  FROM (SELECT *, least(coalesce(p7, 0) / 150.0::DOUBLE, 2) * 0.7::DOUBLE + CASE WHEN d21 > 1 THEN 0.3::DOUBLE ELSE 0 END AS fatigue FROM early_snapshots)) e ON p.pitcher_id = e.pitcher_id"""
-sql_table("assessed", ASSESSED, "pitchers", "early_snapshots")
+  FROM (SELECT *, least(coalesce(p7, 0) / 150.0::DOUBLE, 2) * 0.7::DOUBLE + CASE WHEN d21 > 1 THEN 0.3::DOUBLE ELSE 0 END AS fatigue FROM ({snapshots}))) e ON p.pitcher_id = e.pitcher_id"""
+# Early on most pitchers have too few games; late, all branches of the assessment are taken.
+EARLY, LATE = "1995-01-25", "2001-06-30"
+ASSESSMENT = "pitcher_id:n team:s risk_score:r risk_level:s data_completeness:s days_of_data:n last_appearance:d concerns:s"
 
 
-@query("risk_assessment", "pitcher_id:n team:s risk_score:r risk_level:s data_completeness:s days_of_data:n last_appearance:d concerns:s", "SELECT * FROM assessed", "assessed")
-def _(t):
-    return op.risk_assessment(t.pitchers, t.appearances, EARLY).withColumn("concerns", F.concat_ws("|", "primary_concerns"))
+def assessments(suffix: str, day: str):
+    sql_table(f"assessed{suffix}", assessed_sql(day), "pitchers", "appearances")
 
+    @query(f"risk_assessment{suffix}", ASSESSMENT, f"SELECT * FROM assessed{suffix}", f"assessed{suffix}")
+    def _(t):
+        return op.risk_assessment(t.pitchers, t.appearances, day).withColumn("concerns", F.concat_ws("|", "primary_concerns"))
 
-@query("risk_distribution", "risk_level:s pitchers:n", "SELECT risk_level, count(*) AS pitchers FROM assessed GROUP BY 1", "assessed")
-def _(t):
-    return op.risk_distribution(op.risk_assessment(t.pitchers, t.appearances, EARLY))
+    @query(f"risk_distribution{suffix}", "risk_level:s pitchers:n", f"SELECT risk_level, count(*) AS pitchers FROM assessed{suffix} GROUP BY 1", f"assessed{suffix}")
+    def _(t):
+        return op.risk_distribution(op.risk_assessment(t.pitchers, t.appearances, day))
+
+
+assessments("", LATE)
+assessments("_early", EARLY)
 
 
 sql_table("team_scores", "SELECT s.*, role, team FROM scores s JOIN pitchers p ON s.pitcher_id = p.pitcher_id", "scores", "pitchers")
@@ -312,9 +327,9 @@ def _(t):
 
 
 @query("feature_percentile", f"{SNAP} feature:s value:r percentile:r", " UNION ALL ".join(f"""
-SELECT pitcher_id, as_of_date, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, percent_rank() OVER (ORDER BY {f}) AS percentile FROM scores""" for f in FEATURES[:3]), "scores")
+SELECT pitcher_id, as_of_date, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, percent_rank() OVER (ORDER BY {f}) AS percentile FROM scores""" for f in FEATURES), "scores")
 def _(t):
-    return op.feature_percentiles(stored_scores(t, *FEATURES[:3]), ["pitcher_id", "as_of_date"], FEATURES[:3])
+    return op.feature_percentiles(stored_scores(t, *FEATURES), ["pitcher_id", "as_of_date"], FEATURES)
 
 
 @query("error_sample", f"{SNAP} kind:s score:r", """

@@ -172,11 +172,11 @@ def _(t):
 
 
 @query("idempotent_load_pitches", PITCH, f"""
-SELECT * FROM pitches a WHERE game_date > DATE '{CUT}' - 400 AND NOT EXISTS (SELECT 1 FROM pitches b WHERE b.game_date <= DATE '{CUT}'
+SELECT * FROM pitches a WHERE NOT EXISTS (SELECT 1 FROM pitches b WHERE b.game_date <= DATE '{CUT}'
   AND a.pitcher_id = b.pitcher_id AND a.game_date = b.game_date AND a.at_bat_id = b.at_bat_id AND a.pitch_number = b.pitch_number)
 QUALIFY row_number() OVER (PARTITION BY pitcher_id, game_date, at_bat_id, pitch_number ORDER BY pitch_type, release_speed, release_spin_rate) = 1""", "pitches")
 def _(t):
-    new = t.pitches.where(F.col("game_date") > F.date_sub(F.lit(CUT).cast("date"), 400)).select(
+    new = t.pitches.select(
         *loading.PITCH_KEY, "pitch_type", "release_speed", "release_spin_rate")
     return loading.idempotent_load(new, rolling.history_upto(t.pitches, CUT), loading.PITCH_KEY)
 
@@ -243,9 +243,13 @@ def _(t):
 
 
 
+FEED_TYPES = (("game_date", "string"), ("pitcher", "bigint"), ("batter", "bigint"), ("pitch_type", "string"), ("release_speed", "double"),
+              ("release_spin_rate", "double"), ("at_bat_number", "bigint"), ("pitch_number", "int"))
+
+
 @query("table_profile", "column:s type:s rows:n nulls:n min:s max:s distinct_values:n", " UNION ALL ".join(f"""
 SELECT '{c}' AS "column", '{ty}' AS type, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, CAST(min({c}) AS VARCHAR) AS min,
   CAST(max({c}) AS VARCHAR) AS max, count(DISTINCT {c}) AS distinct_values FROM statcast_raw"""
-    for c, ty in (("game_date", "string"), ("pitcher", "bigint"), ("at_bat_number", "bigint"), ("pitch_type", "string"), ("release_speed", "double"))), "statcast_raw")
+    for c, ty in FEED_TYPES), "statcast_raw")
 def _(t):
-    return tables.table_profile(t.statcast_raw, ["game_date", "pitcher", "at_bat_number", "pitch_type", "release_speed"])
+    return tables.table_profile(t.statcast_raw, [name for name, _ in FEED_TYPES])

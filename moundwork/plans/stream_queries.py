@@ -19,7 +19,7 @@ def paths(t, name: str) -> tuple[str, str]:
 def _(t):
     out, checkpoint = paths(t, "ingested")
     st.ingest_to(st.open_events(t.spark, t.folder), out, checkpoint)
-    return t.spark.read.parquet(out)
+    return st.read_ingested(t.spark, out)
 
 
 @query("stream_daily_appearances", "pitcher_id:n game_date:d pitches_thrown:n avg_vel:r vel_std:r avg_spin:r", f"""

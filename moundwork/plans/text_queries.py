@@ -77,7 +77,13 @@ FROM (SELECT *, {pts('direct', 0.7)} + {pts('loc1 != loc2', 0.1)} + {pts('loc2 !
 
 RECORD_KEEP = "report_id, pitcher_name, team, injury_date, source, notes, raw_text"
 sql_table("parsed", parsed_sql("full_text", "injury_reports", RECORD_KEEP), "injury_reports")
+sql_table("parsed_raw", parsed_sql("raw_text", "injury_reports", RECORD_KEEP), "injury_reports")
 sql_table("parsed_notes", parsed_sql("notes", "injury_reports", RECORD_KEEP), "injury_reports")
+def parsed(t, *columns):
+    """Whole documents classified, cut down to the wanted columns before anything is shuffled."""
+    return op.parse_injury_text(t.injury_reports, "full_text").select(*columns)
+
+
 PARSED = "report_id:n injury_location:s injury_type:s severity:s parsing_method:s confidence_score:r"
 
 
@@ -91,9 +97,9 @@ def _(t):
     return op.parse_injury_text(t.injury_reports, "notes")
 
 
-@query("parse_confidence", "report_id:n confidence_score:r", "SELECT report_id, confidence_score FROM parsed_notes", "parsed_notes")
+@query("parse_confidence", "report_id:n confidence_score:r", "SELECT report_id, confidence_score FROM parsed", "parsed")
 def _(t):
-    return op.parse_injury_text(t.injury_reports, "notes")
+    return parsed(t, "report_id", "confidence_score")
 
 
 RECORD_SCORE = f"""round(least(1, greatest(0, {pts("regexp_replace(info, '^\\s+|\\s+$', '', 'g') != ''", 0.3)} + {pts("regexp_replace(status, '^\\s+|\\s+$', '', 'g') != ''", 0.2)}
@@ -194,9 +200,10 @@ SELECT n.report_id, CASE WHEN better THEN p.injury_location ELSE n.injury_locati
   CASE WHEN better THEN p.severity ELSE n.severity END AS severity, CASE WHEN better THEN p.confidence_score ELSE n.confidence_score END AS confidence_score,
   CASE WHEN better THEN 'improved_parsing' ELSE 'raw' END AS data_quality
 FROM (SELECT n.*, (n.injury_type = 'unknown' OR n.injury_location = 'unknown') AND (p.injury_type != 'unknown' OR p.injury_location != 'unknown') AS better
-  FROM parsed_notes n JOIN parsed_stripped p ON n.report_id = p.report_id) n JOIN parsed_stripped p ON n.report_id = p.report_id""", "parsed_notes parsed_stripped")
+  FROM parsed_raw n JOIN parsed_stripped p ON n.report_id = p.report_id) n JOIN parsed_stripped p ON n.report_id = p.report_id""", "parsed_raw parsed_stripped")
 def _(t):
-    return op.reparse_unknown(op.parse_injury_text(t.injury_reports, "notes"))
+    """Records first read from the document alone, then again with their notes."""
+    return op.reparse_unknown(op.parse_injury_text(t.injury_reports, "raw_text"))
 
 
 sql_table("stripped_reports", "SELECT * REPLACE (regexp_replace(full_text, '^\\s+|\\s+$', '', 'g') AS full_text) FROM injury_reports", "injury_reports")
@@ -204,43 +211,43 @@ sql_table("parsed_stripped", parsed_sql("full_text", "stripped_reports", RECORD_
 
 
 @query("dedup_first", "report_id:n pitcher_name:s injury_date:d injury_type:s", """
-SELECT * FROM parsed_notes QUALIFY row_number() OVER (PARTITION BY pitcher_name, injury_date, injury_type ORDER BY report_id) = 1""", "parsed_notes")
+SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY pitcher_name, injury_date, injury_type ORDER BY report_id) = 1""", "parsed")
 def _(t):
-    rows = op.parse_injury_text(t.injury_reports, "notes")
+    rows = parsed(t, "report_id", "pitcher_name", "injury_date", "injury_type")
     return op.dedup_first(rows, [F.col("pitcher_name"), F.col("injury_date"), F.col("injury_type")], "report_id")
 
 
 @query("dedup_first_by_name", "report_id:n pitcher_name:s injury_date:d", """
 SELECT * FROM injury_reports QUALIFY row_number() OVER (PARTITION BY lower(pitcher_name), injury_date ORDER BY report_id) = 1""", "injury_reports")
 def _(t):
-    return op.dedup_first(t.injury_reports, [F.lower("pitcher_name"), F.col("injury_date")], "report_id")
+    return op.dedup_first(t.injury_reports.select("report_id", "pitcher_name", "injury_date"), [F.lower("pitcher_name"), F.col("injury_date")], "report_id")
 
 
 @query("dedup_best", "report_id:n pitcher_name:s injury_date:d confidence_score:r", """
-SELECT * FROM parsed_notes QUALIFY row_number() OVER (PARTITION BY lower(pitcher_name), injury_date ORDER BY confidence_score DESC, report_id) = 1""", "parsed_notes")
+SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY lower(pitcher_name), injury_date ORDER BY confidence_score DESC, report_id) = 1""", "parsed")
 def _(t):
-    return op.dedup_best(op.parse_injury_text(t.injury_reports, "notes"), "report_id")
+    return op.dedup_best(parsed(t, "report_id", "pitcher_name", "injury_date", "confidence_score"), "report_id")
 
 
 @query("union_sources", "source:s pitcher_name:s injury_type:s notes:s", f"""
-SELECT source, pitcher_name, injury_type, notes FROM parsed_notes UNION ALL
+SELECT source, pitcher_name, injury_type, notes FROM parsed UNION ALL
 SELECT 'transactions', player_name, {category_sql('lower(description)', v.LIST_INJURY_TYPES, 'Unspecified Injury')}, NULL
-FROM transactions WHERE regexp_matches(description, '(?i)IL|disabled')""", "parsed_notes transactions")
+FROM transactions WHERE regexp_matches(description, '(?i)IL|disabled')""", "parsed transactions")
 def _(t):
     from moundwork.sources import landing
     listed = landing.il_transactions(t.transactions).select("source", F.col("player_name").alias("pitcher_name"), "injury_type")
-    return op.union_sources(op.parse_injury_text(t.injury_reports, "notes"), listed)
+    return op.union_sources(parsed(t, "source", "pitcher_name", "injury_type", "notes"), listed)
 
 
-@query("confidence_filter", "report_id:n confidence_score:r", "SELECT * FROM parsed_notes WHERE confidence_score > 0.8::DOUBLE", "parsed_notes")
+@query("confidence_filter", "report_id:n confidence_score:r", "SELECT * FROM parsed WHERE confidence_score > 0.8::DOUBLE", "parsed")
 def _(t):
-    return op.confidence_filter(op.parse_injury_text(t.injury_reports, "notes"), 0.8, strict=True)
+    return op.confidence_filter(parsed(t, "report_id", "confidence_score"), 0.8, strict=True)
 
 
 @query("arm_injury_filter", "report_id:n notes:s", f"""
-SELECT report_id, notes FROM lowered WHERE {contains_any('low_notes', v.ARM_WORDS)} AND NOT {contains_any('low_notes', v.NOT_ARM_WORDS)}""", "lowered")
+SELECT report_id, notes FROM lowered WHERE {contains_any('low', v.ARM_WORDS)} AND NOT {contains_any('low', v.NOT_ARM_WORDS)}""", "lowered")
 def _(t):
-    return op.arm_injury_filter(t.injury_reports, "notes")
+    return op.arm_injury_filter(t.injury_reports, "full_text")
 
 
 @query("normalize_text", "report_id:n normal:s", "SELECT report_id, regexp_replace(lower(full_text), '[^a-z0-9 ]', ' ', 'g') AS normal FROM injury_reports", "injury_reports")
@@ -265,10 +272,21 @@ def _(t):
 @query("classification_rates", "records:n type_rate:r location_rate:r severity_rate:r mean_confidence:r", """
 SELECT count(*) AS records, 100 * avg(CASE WHEN injury_type != 'unknown' THEN 1.0::DOUBLE ELSE 0 END) AS type_rate,
   100 * avg(CASE WHEN injury_location != 'unknown' THEN 1.0::DOUBLE ELSE 0 END) AS location_rate,
-  100 * avg(CASE WHEN severity != 'unknown' THEN 1.0::DOUBLE ELSE 0 END) AS severity_rate, avg(confidence_score) AS mean_confidence FROM parsed_notes""", "parsed_notes")
+  100 * avg(CASE WHEN severity != 'unknown' THEN 1.0::DOUBLE ELSE 0 END) AS severity_rate, avg(confidence_score) AS mean_confidence FROM parsed""", "parsed")
 def _(t):
     from moundwork.operators.aggregates import classification_rates
-    return classification_rates(op.parse_injury_text(t.injury_reports, "notes"))
+    return classification_rates(parsed(t, "injury_type", "injury_location", "severity", "confidence_score"))
+
+
+REPORT_CATEGORIES = ("injury_type", "injury_location", "severity", "source")
+
+
+@query("report_category_counts", "category:s value:s records:n share_pct:r", """
+SELECT *, records * 100.0::DOUBLE / sum(records) OVER (PARTITION BY category) AS share_pct FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS category, {c} AS value, count(*) AS records FROM parsed GROUP BY 2" for c in REPORT_CATEGORIES) + ")", "parsed")
+def _(t):
+    from moundwork.operators.aggregates import category_counts
+    return category_counts(parsed(t, *REPORT_CATEGORIES), REPORT_CATEGORIES)
 
 
 @query("latest_records", "report_id:n injury_date:d pitcher_name:s", """
@@ -279,8 +297,8 @@ def _(t):
 
 
 @query("confidence_samples", "report_id:n confidence_score:r sample:s", """
-SELECT * FROM (SELECT report_id, confidence_score, 'high' AS sample FROM parsed_notes WHERE confidence_score >= 0.6::DOUBLE ORDER BY report_id LIMIT 10)
-UNION ALL SELECT * FROM (SELECT report_id, confidence_score, 'low' FROM parsed_notes WHERE confidence_score < 0.3::DOUBLE ORDER BY report_id LIMIT 10)""", "parsed_notes")
+SELECT * FROM (SELECT report_id, confidence_score, 'high' AS sample FROM parsed WHERE confidence_score >= 0.6::DOUBLE ORDER BY report_id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT report_id, confidence_score, 'low' FROM parsed WHERE confidence_score < 0.3::DOUBLE ORDER BY report_id LIMIT 10)""", "parsed")
 def _(t):
     from moundwork.operators.selection import confidence_samples
-    return confidence_samples(op.parse_injury_text(t.injury_reports, "notes"))
+    return confidence_samples(parsed(t, "report_id", "confidence_score"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from moundwork.bindings import half_even, shape_events
@@ -19,13 +20,14 @@ from moundwork.bindings import half_even, shape_events
 DELAY = "1 day"
 
 
-def open_events(spark: SparkSession, folder: str, glob: str = "events*.parquet", per_batch: int | None = None) -> DataFrame:
-    """Event files of a folder as a stream of pitch rows."""
-    known = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    reader = spark.readStream.schema(known).option("pathGlobFilter", glob)
+def open_events(spark: SparkSession, folder: str, table: str = "events.parquet", per_batch: int | None = None) -> DataFrame:
+    """The part files of a table's folder (or its single file) as a stream of pitch rows."""
+    path = f"{folder.rstrip('/')}/{table}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return shape_events(reader.parquet(folder))
+    # A pattern that matches just this path: a plain path to a stream must be a folder.
+    return shape_events(reader.parquet(f"{path[:-1]}[{path[-1]}]"))
 
 
 def run_available(writer, checkpoint: str) -> StreamingQuery:
@@ -59,13 +61,33 @@ def newest_changes(spark: SparkSession, folder: str, keys: Sequence[str]) -> Dat
     )
 
 
-def ingest_pitches(events: DataFrame, keys: Sequence[str] = ("event_id",), delay: str = DELAY) -> DataFrame:
-    """Each key once, as long as its copies arrive within the watermark delay."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+def ingest_to(events: DataFrame, folder: str, checkpoint: str, keys: Sequence[str] = ("event_id",)) -> StreamingQuery:
+    """Each key once, however late its copies or it arrive.
 
+    A micro-batch is held against the rows of earlier epochs on its own days (the target is laid out
+    by day, so the others are not read) and written to its epoch's folder, which a replay overwrites.
+    """
 
-def ingest_to(events: DataFrame, folder: str, checkpoint: str, keys: Sequence[str] = ("event_id",)) -> StreamingQuery:
-    return run_available(ingest_pitches(events, keys).writeStream.format("parquet").option("path", folder), checkpoint)
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(list(keys))
+        span = fresh.agg(F.min("game_date").alias("a"), F.max("game_date").alias("b")).first()
+        if epoch and span["a"] is not None:
+            loaded = _ingested(spark, folder, batch.schema).where(
+                (F.col("epoch") < epoch) & F.col("game_date").between(F.lit(span["a"]), F.lit(span["b"])))
+            fresh = fresh.join(loaded.select(*keys), list(keys), "left_anti")
+        fresh.write.mode("overwrite").partitionBy("game_date").parquet(f"{folder}/epoch={epoch}")
+
+    return run_available(events.writeStream.foreachBatch(handle), checkpoint)
+
+
+def _ingested(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    whole = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
+    return spark.read.schema(whole).option("basePath", folder).parquet(folder)
+
+
+def read_ingested(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("basePath", folder).parquet(folder).drop("epoch")
 
 
 def daily_appearances(events: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -105,26 +127,32 @@ def run_changes(frame: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
 
 def run_outings(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Finished outings only: session windows are emitted once the watermark passed their end."""
+    # Sessions are combined before the shuffle, so a busy pitcher sends one row per outing and task.
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     writer = outings(events).writeStream.outputMode("append").format("parquet").option("path", folder)
     return run_available(writer, checkpoint)
 
 
-def load_crossings(daily: DataFrame, limit: int, days: int = 7) -> DataFrame:
-    """Days on which the trailing load reaches ``limit`` after a day (or no day) below it."""
+def load_states(daily: DataFrame, limit: int, days: int = 7) -> DataFrame:
+    """Every day's trailing load and whether it reaches ``limit`` after a day (or no day) below it."""
     order = Window.partitionBy("pitcher_id").orderBy("_d")
     load = daily.withColumn("_d", F.unix_date("game_date")).withColumn(
         "load", F.sum("pitches_thrown").over(order.rangeBetween(-(days - 1), 0))
     )
     before = F.coalesce(F.lag("load").over(order), F.lit(0))
-    return load.withColumn("_before", before).where((F.col("load") >= limit) & (F.col("_before") < limit)).select(
-        "pitcher_id", "game_date", "load"
-    )
+    return load.withColumn("crossed", (F.col("load") >= limit) & (before < limit)).select(
+        "pitcher_id", "game_date", "load", "crossed")
+
+
+def load_crossings(daily: DataFrame, limit: int, days: int = 7) -> DataFrame:
+    return load_states(daily, limit, days).where("crossed").drop("crossed")
 
 
 def alert_writer(spark: SparkSession, folder: str, limit: int, days: int = 7) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: add the batch to the daily counts, then write new threshold crossings.
+    """foreachBatch body: add the batch to the daily counts, then write the state of every day it can change.
 
-    Counts are kept in files partitioned by day; only the days a batch can influence are read
+    A late pitch may void an alert that an earlier epoch wrote, so a day that no longer crosses the
+    limit is written as well; readers keep the newest state. Counts are kept in files partitioned by day; only the days a batch can influence are read
     back (the day filter prunes folders), and only for pitchers of the batch.
     """
     counts, alerts = f"{folder}/counts", f"{folder}/alerts"
@@ -136,7 +164,7 @@ def alert_writer(spark: SparkSession, folder: str, limit: int, days: int = 7) ->
             first = fresh.agg(F.min("game_date").alias("d")).first()["d"]
             if first is None:
                 return
-            fresh.write.mode("append").partitionBy("game_date").parquet(counts)
+            fresh.repartition("game_date").write.mode("append").partitionBy("game_date").parquet(counts)
             touched = fresh.select("pitcher_id").distinct()
             near = (
                 spark.read.parquet(counts)
@@ -145,7 +173,7 @@ def alert_writer(spark: SparkSession, folder: str, limit: int, days: int = 7) ->
                 .distinct()  # a replayed epoch wrote the same rows again
                 .groupBy("pitcher_id", "game_date").agg(F.sum("n").alias("pitches_thrown"))
             )
-            found = load_crossings(near, limit, days).where(F.col("game_date") >= F.lit(first))
+            found = load_states(near, limit, days).where(F.col("game_date") >= F.lit(first))
             found.write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
         finally:
             fresh.unpersist()
@@ -160,4 +188,4 @@ def run_alerts(spark: SparkSession, events: DataFrame, folder: str, checkpoint:
 
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{folder}/alerts"
-    return newest_changes(spark, path, ["pitcher_id", "game_date"])
+    return newest_changes(spark, path, ["pitcher_id", "game_date"]).where("crossed").drop("crossed")

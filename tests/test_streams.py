@@ -18,11 +18,8 @@ def event(i, hours, pitcher=1, value=90.0):
 
 
 def write(spark, folder, name, rows):
-    spark.createDataFrame(rows, schemas.PITCH_EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
-    import glob
-    import shutil
-    part = glob.glob(f"{folder}/{name}/*.parquet")[0]
-    shutil.copy(part, f"{folder}/events-{name}.parquet")
+    """One more part file of the folder that holds the table."""
+    spark.createDataFrame(rows, schemas.PITCH_EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
 
 
 @pytest.fixture
@@ -34,23 +31,26 @@ def inbox(spark, tmp_path):
 
 
 def batch(spark, folder):
-    return bindings.shape_events(spark.read.option("pathGlobFilter", "events*.parquet").parquet(folder))
+    return bindings.shape_events(spark.read.parquet(f"{folder}/events.parquet"))
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_ingest_drops_copies_and_replays(spark, inbox, tmp_path):
+def test_ingest_drops_copies_and_replays_and_keeps_late_rows(spark, inbox, tmp_path):
     out, cp = str(tmp_path / "o"), str(tmp_path / "c")
+    wanted = batch(spark, inbox).dropDuplicates(["event_id"])
+
+    def got():
+        return rows(st.read_ingested(spark, out).select(*wanted.columns))
+
+    for _ in range(2):
+        st.ingest_to(st.open_events(spark, inbox, per_batch=1), out, cp)
+        assert got() == rows(wanted)
+    write(spark, inbox, "z", [event(60, 360), event(99, -500), event(3, 18, pitcher=2)])  # new, very late, copy
     st.ingest_to(st.open_events(spark, inbox, per_batch=1), out, cp)
-    expected = rows(batch(spark, inbox).dropDuplicates(["event_id"]))
-    assert rows(spark.read.parquet(out)) == expected
-    st.ingest_to(st.open_events(spark, inbox, per_batch=1), out, cp)
-    assert rows(spark.read.parquet(out)) == expected
-    write(spark, inbox, "z", [event(60, 360)])
-    st.ingest_to(st.open_events(spark, inbox, per_batch=1), out, cp)
-    assert spark.read.parquet(out).count() == len(expected) + 1
+    assert len(got()) == 62 and {60, 99} <= {r.event_id for r in st.read_ingested(spark, out).collect()}
 
 
 def test_daily_aggregate_equals_batch(spark, inbox, tmp_path):
@@ -104,3 +104,20 @@ def test_alert_replay_changes_nothing(spark, inbox, tmp_path):
     before = rows(st.read_alerts(spark, out).select("pitcher_id", "game_date", "load"))
     handler(batch(spark, inbox), 0)
     assert rows(st.read_alerts(spark, out).select("pitcher_id", "game_date", "load")) == before
+
+
+def test_late_pitches_withdraw_an_alert(spark, tmp_path):
+    out = str(tmp_path / "o")
+    handler = st.alert_writer(spark, out, limit=5)
+    first = [(1, f"2024-01-0{d}") for d in (1, 1, 2, 2, 3, 3)]
+    late = [(1, "2024-01-02")] * 2
+
+    def frame(pitches):
+        return spark.createDataFrame(pitches, "pitcher_id bigint, day string").select("pitcher_id", F.to_date("day").alias("game_date"))
+
+    handler(frame(first), 0)
+    assert [str(r.game_date) for r in st.read_alerts(spark, out).collect()] == ["2024-01-03"]
+    handler(frame(late), 1)
+    daily = frame(first + late).groupBy("pitcher_id", "game_date").agg(F.count("*").alias("pitches_thrown"))
+    got = rows(st.read_alerts(spark, out).select("pitcher_id", "game_date", "load"))
+    assert got == rows(st.load_crossings(daily, 5)) and [str(r[1]) for r in got] == ["2024-01-02"]
