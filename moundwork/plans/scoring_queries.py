@@ -10,7 +10,7 @@ from moundwork.operators import aggregates, lookups, rolling, selection
 from moundwork.operators import scoring as op
 from moundwork.plans.aggregate_queries import FEATURES
 from moundwork.plans.label_queries import CUT, scores_of, stored_labelled, stored_scores
-from moundwork.plans.registry import query, sql_table
+from moundwork.plans.registry import OFF_TIE, query, sql_table
 from moundwork.plans.rolling_queries import AS_OF, engineered
 from moundwork.session import written_once
 
@@ -327,9 +327,12 @@ def _(t):
 
 
 @query("feature_percentile", f"{SNAP} feature:s value:r percentile:r", " UNION ALL ".join(f"""
-SELECT pitcher_id, as_of_date, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, percent_rank() OVER (ORDER BY {f}) AS percentile FROM scores""" for f in FEATURES), "scores")
+SELECT pitcher_id, as_of_date, '{f}' AS feature, value, percent_rank() OVER (ORDER BY value) AS percentile
+FROM (SELECT pitcher_id, as_of_date, round(CAST({f} AS DOUBLE) + {OFF_TIE}::DOUBLE, 6) AS value FROM scores)""" for f in FEATURES), "scores")
 def _(t):
-    return op.feature_percentiles(stored_scores(t, *FEATURES), ["pitcher_id", "as_of_date"], FEATURES)
+    # Ranked as shown: the last digits of a slope depend on the order of a sum.
+    shown = {f: F.round(F.col(f).cast("double") + float(OFF_TIE), 6) for f in FEATURES}
+    return op.feature_percentiles(stored_scores(t, *FEATURES).withColumns(shown), ["pitcher_id", "as_of_date"], FEATURES)
 
 
 @query("error_sample", f"{SNAP} kind:s score:r", """
