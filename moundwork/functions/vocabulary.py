@@ -210,3 +210,69 @@ NOT_ARM_WORDS = (
 RECORD_SEVERITY_WORDS = ("10-day", "15-day", "60-day", "season")
 RELATIVE_DAYS = {"yesterday": -1, "today": 0, "last week": -7, "this week": 0}
 UNKNOWN_DATES = ("tbd", "unknown", "", "null")
+
+# Keyword sets of the page reader, first match in order wins.
+PAGE_LOCATIONS = {
+    "elbow": ("elbow", "ulnar", "flexor", "extensor", "ucl", "tcl", "medial", "lateral", "epicondyle"),
+    "shoulder": ("shoulder", "rotator cuff", "labrum", "ac joint", "biceps", "deltoid", "supraspinatus", "infraspinatus"),
+    "knee": ("knee", "acl", "mcl", "meniscus", "patella", "ligament", "tendon", "cartilage"),
+    "back": ("back", "spine", "lumbar", "thoracic", "disc", "herniated", "bulging", "sciatica"),
+    "oblique": ("oblique", "side", "intercostal", "rib", "flank"),
+    "hamstring": ("hamstring", "thigh", "quadriceps", "adductor", "abductor", "groin"),
+    "forearm": ("forearm", "wrist", "hand", "finger", "thumb", "carpal", "tunnel"),
+    "ankle": ("ankle", "foot", "achilles", "heel", "plantar", "fasciitis"),
+    "hip": ("hip", "groin", "adductor", "abductor", "flexor", "labrum"),
+    "neck": ("neck", "cervical", "whiplash", "strain"),
+    "calf": ("calf", "gastrocnemius", "soleus", "achilles"),
+    "other": ("illness", "covid", "personal", "bereavement", "paternity", "mental health"),
+}
+PAGE_TYPES = {
+    "strain": ("strain", "pulled", "muscle strain", "muscle pull", "overstretched"),
+    "sprain": ("sprain", "twisted", "ligament sprain", "joint sprain"),
+    "tear": ("tear", "rupture", "torn", "complete tear", "partial tear", "full thickness"),
+    "fracture": ("fracture", "broken", "break", "stress fracture", "hairline"),
+    "surgery": ("surgery", "surgical", "operation", "procedure", "reconstruction"),
+    "inflammation": ("inflammation", "itis", "tendonitis", "bursitis", "synovitis"),
+    "soreness": ("soreness", "tightness", "discomfort", "pain", "tenderness"),
+    "dislocation": ("dislocation", "subluxation", "popped out"),
+    "contusion": ("contusion", "bruise", "hematoma"),
+    "concussion": ("concussion", "head injury", "head trauma"),
+    "infection": ("infection", "bacterial", "viral", "fungal"),
+    "other": ("unknown", "undisclosed", "personal", "illness"),
+}
+PAGE_SEVERITIES = {
+    "severe": ("season", "out for year", "torn", "rupture", "surgery", "60-day", "out indefinitely", "career ending"),
+    "moderate": ("long-term", "extended", "weeks", "month", "30-day", "significant", "major"),
+    "mild": ("10-day", "day-to-day", "soreness", "tightness", "questionable", "probable", "minor"),
+}
+PAGE_MEDICAL_TERMS = {
+    "elbow": ("ulnar", "flexor", "extensor", "epicondyle"),
+    "shoulder": ("rotator", "labrum", "supraspinatus"),
+    "knee": ("acl", "mcl", "meniscus", "patella"),
+    "back": ("herniated", "bulging", "sciatica"),
+}
+PAGE_CONTEXT_LOCATIONS = {"elbow": ("arm", "throwing"), "hamstring": ("leg", "running"), "back": ("back", "spine")}
+PAGE_PATTERN_TYPES = {"surgery": ("surgery", "operation"), "soreness": ("soreness", "tightness"), "strain": ("strain", "pulled")}
+
+# Keyword sets of the short reader.
+SHORT_LOCATIONS = {
+    "elbow": ("elbow", "ulnar", "flexor", "extensor"),
+    "shoulder": ("shoulder", "rotator cuff", "labrum"),
+    "knee": ("knee", "acl", "mcl", "meniscus"),
+    "back": ("back", "spine", "lumbar", "thoracic"),
+    "oblique": ("oblique", "side"),
+    "hamstring": ("hamstring", "thigh"),
+    "forearm": ("forearm", "wrist", "hand"),
+    "ankle": ("ankle", "foot"),
+    "hip": ("hip", "groin"),
+    "other": ("illness", "covid", "personal"),
+}
+SHORT_TYPES = {
+    "strain": ("strain",), "sprain": ("sprain",), "tear": ("tear",), "fracture": ("fracture",), "surgery": ("surgery", "surgical"),
+    "inflammation": ("inflammation",), "soreness": ("soreness",),
+}
+SHORT_SEVERITIES = {
+    "severe": ("season", "out for year", "torn"),
+    "moderate": ("60-day", "long-term", "surgery"),
+    "mild": ("10-day", "day-to-day", "soreness"),
+}

@@ -124,6 +124,12 @@ def latest_game(features: DataFrame, as_of: str) -> DataFrame:
     })
 
 
+def days_of_data(appearances: DataFrame, as_of: str) -> DataFrame:
+    """Days from each pitcher's first game to ``as_of``, for pitchers with a game until then."""
+    first = history_upto(appearances, as_of).groupBy("pitcher_id").agg(F.min("game_date").alias("first_game"))
+    return first.select("pitcher_id", F.datediff(as_day(as_of), "first_game").alias("days_of_data"))
+
+
 def rolling_workload(appearances: DataFrame, as_of: str, days: Sequence[int] = (7, 14, 30)) -> DataFrame:
     """Pitch sum, game count and mean per window anchored at each pitcher's last game.
 
@@ -481,7 +487,8 @@ def engineered_features(
     appearances: DataFrame, pitches: DataFrame, as_of: str, min_pitches: int = 20
 ) -> DataFrame:
     """The full per-pitcher feature row for one as-of date."""
-    games = latest_game(game_features(appearances), as_of)
+    pitches = history_upto(pitches, as_of)
+    games = latest_game(game_features(history_upto(appearances, as_of)), as_of)
     anchors = last_pitch_day(pitches, as_of)
     ewm = ewm_features(pitches, anchors, min_pitches=min_pitches).drop("anchor")
     mix = pitch_mix(pitches, anchors, min_pitches=min_pitches).drop("anchor")

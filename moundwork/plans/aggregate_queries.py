@@ -19,7 +19,7 @@ sql_table("long_features", " UNION ALL ".join(
 
 
 def levels(t):
-    newest = lookups.latest_snapshot(t.pitchers, scores_of(t), AS_OF)
+    newest = lookups.latest_snapshot(t.pitchers, scores_of(t, AS_OF), AS_OF)
     return newest.withColumn("risk_bucket", scoring.risk_bucket(F.col("score"), "service"))
 
 

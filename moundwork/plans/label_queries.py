@@ -15,8 +15,11 @@ CUT = "1999-06-30"
 GAME = "pitcher_id:n game_date:d"
 
 
-def scores_of(t):
-    return scoring.heuristic_score(rolling.snapshot_rolling(t.appearances))
+def scores_of(t, upto=None):
+    """Scores of all games; with ``upto`` of the games until then (no window looks ahead, so the day
+    filter stands below the windows and reaches the scan)."""
+    games = t.appearances if upto is None else rolling.history_upto(t.appearances, upto)
+    return scoring.heuristic_score(rolling.snapshot_rolling(games))
 
 
 def stored_scores(t, *features):
@@ -182,7 +185,7 @@ SELECT p.pitcher_id, name, team, role, s.* EXCLUDE (pitcher_id) FROM pitchers p
 
 @query("latest_snapshot", "pitcher_id:n name:s team:s role:s as_of_date:d roll21d_pitch_count:n score:r", "SELECT * FROM newest_scores", "newest_scores")
 def _(t):
-    return lookups.latest_snapshot(t.pitchers, scores_of(t), AS_OF)
+    return lookups.latest_snapshot(t.pitchers, scores_of(t, AS_OF), AS_OF)
 
 
 @query("latest_appearance", f"{GAME} avg_vel:r", """
@@ -265,6 +268,6 @@ SELECT *, CASE WHEN score < 0.1::DOUBLE THEN 'low' WHEN score < 0.3::DOUBLE THEN
 FROM newest_scores WHERE score IS NOT NULL ORDER BY score DESC, roll21d_pitch_count DESC, pitcher_id LIMIT 20""", "newest_scores")
 def _(t):
     """Flagship: game loads, as-of snapshot, score, bucket, and the twenty riskiest pitchers."""
-    newest = lookups.latest_snapshot(t.pitchers, scores_of(t), AS_OF).where(F.col("score").isNotNull())
+    newest = lookups.latest_snapshot(t.pitchers, scores_of(t, AS_OF), AS_OF).where(F.col("score").isNotNull())
     bucketed = newest.withColumn("risk_bucket", scoring.risk_bucket(F.col("score")))
     return bucketed.orderBy(F.desc("score"), F.desc("roll21d_pitch_count"), "pitcher_id").limit(20)

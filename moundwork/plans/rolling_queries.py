@@ -89,7 +89,7 @@ def _(t):
 @query("last_game_pitches", "pitcher_id:n game_date:d last_game_pitches:n last_3_games_pitches:n",
        "SELECT * FROM latest_features", "latest_features")
 def _(t):
-    return op.latest_game(op.game_features(t.appearances), AS_OF)
+    return op.latest_game(op.game_features(op.history_upto(t.appearances, AS_OF)), AS_OF)
 
 
 @query("workload_intensity_and_fatigue", "pitcher_id:n game_date:d workload_intensity:r fatigue_score:r",
@@ -477,7 +477,7 @@ def _(t):
 @query("days_of_data", "pitcher_id:n days_of_data:n", f"""
 SELECT pitcher_id, DATE '{AS_OF}' - min(game_date) AS days_of_data FROM appearances WHERE game_date <= DATE '{AS_OF}' GROUP BY 1""", "appearances")
 def _(t):
-    return op.latest_game(op.game_features(t.appearances), AS_OF)
+    return op.days_of_data(t.appearances, AS_OF)
 
 
 sql_table("scores", """

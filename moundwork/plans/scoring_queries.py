@@ -173,7 +173,7 @@ ACTIONS = present_sql(
 SELECT pitcher_id, score, array_to_string(list_slice(CASE WHEN len(a) = 0 AND score > 0.3::DOUBLE THEN ['Elevated risk signals - monitor closely and consider workload reduction'] ELSE a END, 1, 3), '|') AS actions
 FROM (SELECT e.pitcher_id, s.score, {ACTIONS} AS a FROM (SELECT * EXCLUDE (fatigue_score) FROM engineered) e JOIN (SELECT pitcher_id, score FROM newest_scores) s ON e.pitcher_id = s.pitcher_id)""", "engineered newest_scores")
 def _(t):
-    newest = lookups.newest_row(scores_of(t).select("pitcher_id", "as_of_date", "score"), "as_of_date", AS_OF).select("pitcher_id", "score")
+    newest = lookups.newest_row(scores_of(t, AS_OF).select("pitcher_id", "as_of_date", "score"), "as_of_date", AS_OF).select("pitcher_id", "score")
     return engineered(t).join(newest, "pitcher_id").withColumn("actions", F.concat_ws("|", op.recommended_actions()))
 
 
@@ -267,7 +267,7 @@ def _(t):
 @query("risk_history", f"{SNAP} score:r risk_level:s", f"""
 SELECT *, {bucket_sql('score', 0.3, 0.6)} AS risk_level FROM scores WHERE as_of_date BETWEEN DATE '2000-01-01' AND DATE '2000-06-30'""", "scores")
 def _(t):
-    return op.risk_history(scores_of(t), "2000-01-01", "2000-06-30")
+    return op.risk_history(scores_of(t, "2000-06-30"), "2000-01-01", "2000-06-30")
 
 
 def assessed_sql(day: str) -> str:

@@ -57,6 +57,14 @@ classify("severity_site", lambda c: text.severity(c, v.SITE_SEVERITIES), categor
 classify("medical_term_location", text.medical_term_location, terms_sql("{0}", v.MEDICAL_TERMS))
 classify("context_location", text.context_location, category_sql("{0}", v.CONTEXT_LOCATIONS))
 classify("pattern_type", text.pattern_type, category_sql("{0}", v.PATTERN_TYPES))
+for _reader in ("page", "short"):
+    for _rule in ("locations", "types", "severities"):
+        _table = getattr(v, f"{_reader}_{_rule}".upper())
+        _name = {"locations": "injury_location", "types": "injury_type", "severities": "severity"}[_rule]
+        classify(f"{_name}_{_reader}", lambda c, table=_table: text.first_category(c, table), category_sql("{0}", _table))
+classify("medical_term_location_page", lambda c: text.first_category(c, v.PAGE_MEDICAL_TERMS), category_sql("{0}", v.PAGE_MEDICAL_TERMS))
+classify("context_location_page", lambda c: text.first_category(c, v.PAGE_CONTEXT_LOCATIONS), category_sql("{0}", v.PAGE_CONTEXT_LOCATIONS))
+classify("pattern_type_page", lambda c: text.first_category(c, v.PAGE_PATTERN_TYPES), category_sql("{0}", v.PAGE_PATTERN_TYPES))
 
 
 def parsed_sql(column: str, source: str, keep: str) -> str:
