@@ -96,16 +96,17 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
-def oversample(df: DataFrame, label: str, ratio: float = 0.3) -> DataFrame:
+def oversample(df: DataFrame, label: str, ratio: float = 0.3, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Repeat minority rows until they are ``ratio`` of the majority, by a fixed copy count.
 
     Each row is exploded where it lies; only the two class counts are aggregated. The fractional
-    part of the factor is met by hash order of the row content, not by random draws.
+    part of the factor is met by a hash of ``keys`` (all columns but the label), not by random draws.
     """
     counts = df.agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")
     ).agg(F.max(F.greatest(F.lit(1.0), F.col("q") * ratio / F.nullif(F.col("p"), F.lit(0))))).scalar()
-    unit = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(1_000_000)) / 1_000_000.0
+    digest = hash_order(seed, *(keys or [c for c in df.columns if c != label]))
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     wanted = F.floor(F.col("_f")) + F.when(unit < F.col("_f") - F.floor("_f"), 1).otherwise(0)
     copies = F.when(F.col(label) == 1, F.coalesce(wanted, F.lit(1))).otherwise(1).cast("int")
     return (

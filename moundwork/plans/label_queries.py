@@ -258,7 +258,10 @@ def _(t):
     return selection.duplicates(t.pitches, ["at_bat_id", "pitch_number"])
 
 
-@query("minority_oversampling", "pitcher_id:n as_of_date:d y:n copy:n")
+@query("minority_oversampling", "pitcher_id:n as_of_date:d y:n copy:n", """
+SELECT pitcher_id, as_of_date, y, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS copy FROM (
+  SELECT l.*, CASE WHEN y = 1 THEN floor(f) + CASE WHEN CAST('0x' || left(md5(concat_ws('|', pitcher_id, as_of_date, 42)), 8) AS BIGINT) / 4294967296.0::DOUBLE < f - floor(f) THEN 1 ELSE 0 END ELSE 1 END AS copies
+  FROM labelled_snapshots l, (SELECT greatest(1, count(*) FILTER (y = 0) * 0.5::DOUBLE / count(*) FILTER (y = 1)) AS f FROM labelled_snapshots))""", "labelled_snapshots")
 def _(t):
     return selection.oversample(stored_labelled(t).select("pitcher_id", "as_of_date", "y"), "y", 0.5)
 

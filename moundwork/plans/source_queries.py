@@ -82,30 +82,18 @@ def _(t):
     return landing.feed_to_pitches(landing.select_feed(t.statcast_raw))
 
 
-def table_row_sql(key: str, shift: int, position: str, names) -> str:
-    return (f"'<tr><td>' || {pick(names, f'{key} % 3')} || '</td><td>{position}</td><td>' || {pick(REPORT_NOTES, f'({key} + {shift}) % {len(REPORT_NOTES)}')}"
-            f" || '</td><td><b>' || {pick(('10-day IL', '60-day IL', 'Active'), f'({key} + {shift}) % 3')} || '</b></td></tr>'")
+# The check SQL of pages does not read markup: it builds the cells that the binding puts there.
+LANDED_ROWS = ((0, "SP", ("John Smith", "Mary-Jones", "x")), (5, "C", ("Al Moe", "Ben Noe", "Cy Poe")), (9, "RP", ("Dan Roe", "Eli.Soe", "Fay Toe")))
 
 
-sql_table("landed_pages", f"""
-SELECT page_id, url, html || '<div class="injury-status"><table><tr><th>Player</th><th>Pos</th><th>Injury</th><th>Status</th></tr>'
-  || {table_row_sql('page_id', 0, 'SP', ('John Smith', 'Mary-Jones', 'x'))} || {table_row_sql('page_id', 5, 'C', ('Al Moe', 'Ben Noe', 'Cy Poe'))}
-  || {table_row_sql('page_id', 9, 'RP', ('Dan Roe', 'Eli.Soe', 'Fay Toe'))} || '<tr><td>totals</td><td>3</td></tr></table></div>' AS html FROM pages""")
+def landed_cells(shift: int, position: str, names) -> str:
+    return (f"[{pick(names, 'page_id % 3')}, '{position}', {pick(REPORT_NOTES, f'(page_id + {shift}) % {len(REPORT_NOTES)}')}, "
+            f"{pick(('10-day IL', '60-day IL', 'Active'), f'(page_id + {shift}) % 3')}]")
 
 
-def _plain_sql(expr: str) -> str:
-    out = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', {quoted(char)})"
-    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
-
-
-sql_table("table_rows", f"""
-SELECT page_id, url, [{_plain_sql('c')} for c in cells] AS cells FROM (
-  SELECT page_id, url, list_slice(regexp_split_to_array(part, '(?i)<t[dh][^>]*>'), 2, 1000000) AS cells FROM (
-    SELECT page_id, url, unnest(list_slice(regexp_split_to_array(tab, '(?i)<tr[\\s>]'), 3, 1000000)) AS part FROM (
-      SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<table[\\s>].*?</table>')) AS tab FROM landed_pages)))
-WHERE len(cells) >= 4""", "landed_pages")
+sql_table("table_rows", " UNION ALL ".join(f"SELECT page_id, url, {landed_cells(*row)} AS cells FROM pages" for row in LANDED_ROWS))
+sql_table("landed_texts", f"""
+SELECT page_id, html, 'Player Pos Injury Status ' || {" || ' ' || ".join(f"array_to_string({landed_cells(*row)}, ' ')" for row in LANDED_ROWS)} || ' totals 3' AS appended FROM pages""")
 
 
 @query("injury_table_rows", "page_id:n player:s position:s info:s status:s", """
@@ -118,15 +106,36 @@ def _(t):
 WORD_LIST = "[" + ", ".join(quoted(w) for w in landing.PAGE_WORDS) + "]"
 
 
+def decoded(expr: str) -> str:
+    for entity, char in (("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+        expr = f"replace({expr}, '{entity}', {quoted(char)})"
+    return expr
+
+
 @query("injury_elements", "page_id:n kind:s word:s content:s", f"""
-SELECT page_id, 'text' AS kind, w AS word, regexp_replace(c, '^\\s+|\\s+$', '', 'g') AS content FROM (
-  SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]*>')) AS c FROM landed_pages), (SELECT unnest({WORD_LIST}) AS w) WHERE contains(lower(c), w)
-UNION ALL SELECT page_id, 'table', '', unnest(regexp_extract_all(html, '(?is)<table[\\s>].*?</table>')) FROM landed_pages
-UNION ALL SELECT page_id, 'div', '', unnest(regexp_extract_all(html, '(?is)<div[^>]*class="[^"]*(?:injury|player|status)[^"]*"[^>]*>')) FROM landed_pages""", "landed_pages")
+SELECT page_id, 'text' AS kind, w AS word, regexp_replace({decoded('c')}, '^\\s+|\\s+$', '', 'g') AS content FROM (
+  SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]*>')) AS c FROM pages
+  UNION ALL SELECT page_id, unnest({' || '.join(landed_cells(*row) for row in LANDED_ROWS)} || ['Player', 'Pos', 'Injury', 'Status', 'totals', '3']) FROM pages),
+  (SELECT unnest({WORD_LIST}) AS w) WHERE contains(lower({decoded('c')}), w)
+UNION ALL SELECT page_id, unnest(['table', 'div']), '', appended FROM landed_texts""", "landed_texts")
 def _(t):
     return landing.injury_elements(t.landed_pages)
 
 
+PAGE_RECORD = """
+SELECT page_id, lines[pos] AS player_name, info[-1] AS injury_info FROM (
+  SELECT *, list_filter([CASE WHEN i != pos AND """ + contains_any('lower(lines[i])', landing.LINE_WORDS) + """ THEN lines[i] END for i in range(1, len(lines) + 1)], lambda x: x IS NOT NULL) AS info
+  FROM (SELECT page_id, lines, list_position([""" + NAME_SQL.format('l') + """ for l in lines], true) AS pos FROM (
+    SELECT page_id, list_filter(cells, lambda x: length(x) > 2) AS lines FROM table_rows)) WHERE pos > 0) WHERE len(info) > 0"""
+
+
+@query("page_records", "page_id:n player_name:s injury_info:s", PAGE_RECORD, "table_rows")
+def _(t):
+    """Pages to table rows to records: every row's cells are the lines of an element."""
+    rows = landing.injury_table_rows(t.landed_pages)
+    return landing.parse_element(rows.select("page_id", F.array_join("cells", "\n").alias("content")))
+
+
 NAMES = ("John Smith", "Mary-Jones", "john", "Al.Moe")
 sql_table("element_texts", f"""
 SELECT report_id, {pick(NAMES, 'report_id % 4')} || chr(10) || '  ' || notes || ' ' || chr(10) || raw_text AS content FROM injury_reports""", "injury_reports")

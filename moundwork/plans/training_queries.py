@@ -12,7 +12,7 @@ from moundwork.plans.registry import query
 from moundwork.session import written_once
 
 TRAIN_END, CALIBRATION_END = "1999-06-30", "2000-06-30"
-TREES, DEPTH = 10, 4
+TREES, DEPTH = 100, 6
 
 
 def grid_rows(t):
@@ -43,7 +43,11 @@ def _(t):
     return training.assemble_features(rows, columns).withColumns({"size": F.size(vector), "first_value": vector[0]})
 
 
-@query("scale_features", "pitcher_id:n as_of_date:d scaled_load:r scaled_fatigue:r")
+@query("scale_features", "pitcher_id:n as_of_date:d scaled_load:r scaled_fatigue:r", f"""
+SELECT pitcher_id, as_of_date, (coalesce({FEATURES[0]}, 0) - m0) / s0 AS scaled_load, (coalesce({FEATURES[4]}, 0) - m4) / s4 AS scaled_fatigue
+FROM labelled_snapshots, (SELECT avg(coalesce({FEATURES[0]}, 0)) AS m0, stddev_samp(coalesce({FEATURES[0]}, 0)) AS s0,
+    avg(coalesce({FEATURES[4]}, 0)) AS m4, stddev_samp(coalesce({FEATURES[4]}, 0)) AS s4 FROM labelled_snapshots WHERE as_of_date <= DATE '{TRAIN_END}')
+WHERE as_of_date > DATE '{CALIBRATION_END}'""", "labelled_snapshots")
 def _(t):
     rows = training.assemble_features(snapshot_rows(t), FEATURES)
     train, _, test = three_blocks(rows)
@@ -51,17 +55,21 @@ def _(t):
     return training.scaler().fit(train).transform(test).withColumns({"scaled_load": scaled[0], "scaled_fatigue": scaled[4]})
 
 
-@query("select_k_best", "place:n feature:s")
+@query("select_k_best", "place:n feature:s", f"""
+SELECT row_number() OVER (ORDER BY list_position([{', '.join(repr(f) for f in FEATURES)}], feature)) AS place, feature
+FROM (SELECT feature FROM anova ORDER BY f_value DESC LIMIT 3)""", "anova")
 def _(t):
     best = training.select_k_best(snapshot_rows(t), list(FEATURES), 3)
-    return t.spark.createDataFrame(list(enumerate(best, 1)), "place int, feature string")
+    in_order = sorted(best, key=FEATURES.index)  # the selector's own order is not documented
+    return t.spark.createDataFrame(list(enumerate(in_order, 1)), "place int, feature string")
 
 
 def payload(t, fit):
+    """Scores of the newest block by a model that ``fit(train, held)`` learns from the older two."""
     rows = grid_rows(t)
     columns = training.model_columns(rows)
     train, held, test = three_blocks(training.assemble_features(rows, columns))
-    model = fit(train)
+    model = fit(train, held)
     calibration = training.fit_isotonic(training.raw_scores(model, held))
     scored = training.apply_calibration(calibration, training.raw_scores(model, test))
     return scoring.score_payload(scored, training.importances(model, columns))
@@ -80,12 +88,17 @@ def flat(df):
 
 @query("fit_gbt_score_batch", PAYLOAD)
 def _(t):
-    return flat(payload(t, lambda train: training.fit_gbt(train, depth=DEPTH, trees=TREES)))
+    def fit(train, held):
+        # The held-out block ends the boosting once more trees no longer help on it.
+        marked = train.withColumn("held_out", F.lit(False)).unionByName(held.withColumn("held_out", F.lit(True)))
+        return training.fit_gbt(marked, depth=DEPTH, trees=TREES, held_out="held_out")
+
+    return flat(payload(t, fit))
 
 
 @query("fit_logistic_score_batch", PAYLOAD)
 def _(t):
-    return flat(payload(t, training.fit_logistic_balanced))
+    return flat(payload(t, lambda train, held: training.fit_logistic_balanced(train)))
 
 
 @query("isotonic_calibration", "role:s samples:n raw_brier:r calibrated_brier:r")
@@ -106,7 +119,7 @@ def _(t):
     blocks = [str(year) for year in range(int(span["a"]), int(span["b"]) + 1)]
 
     def fit(train):
-        model = training.fit_logistic_balanced(train, rounds=20)
+        model = training.fit_logistic_balanced(train)
         return lambda test: training.raw_scores(model, test).select(
             "pitcher_id", "as_of_date", "y", "block", F.col("risk_score_raw").alias("score"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moundwork.functions import text
 from moundwork.functions.barrier import compute_once
+from moundwork.sources.markup import page_parts
 
 # The feed columns worth keeping, words that mark injury text, and line words.
 FEED_COLUMNS = (
@@ -44,27 +45,10 @@ def feed_to_pitches(feed: DataFrame) -> DataFrame:
     ).dropna(subset=["pitcher_id"])
 
 
-def _plain(markup: Column) -> Column:
-    """Markup to text: tags dropped, the common entities decoded, blanks trimmed."""
-    out = F.regexp_replace(markup, "<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return text.strip(out)
-
-
 def injury_table_rows(pages: DataFrame, min_cells: int = 4) -> DataFrame:
-    """Rows of every HTML table with at least ``min_cells`` cells; each table's first row is skipped.
-
-    Splitting on opening tags keeps rows and cells whose closing tags are missing. The work is
-    row-local, so pages spread over tasks as they were read.
-    """
-    tables = F.regexp_extract_all("html", F.lit(r"(?is)<table[\s>].*?</table>"), F.lit(0))
-    rows = pages.select("page_id", "url", F.posexplode(tables).alias("table_no", "_table")).select(
-        "page_id", "url", "table_no", F.posexplode(F.split("_table", r"(?i)<tr[\s>]")).alias("row_no", "_row")
-    ).where(F.col("row_no") >= 2)
-    pieces = F.split("_row", r"(?i)<t[dh][^>]*>")
-    cells = F.transform(F.slice(pieces, 2, F.size(pieces)), _plain)
-    return rows.withColumn("cells", cells).where(F.size("cells") >= min_cells).drop("_row")
+    """Rows of every HTML table with at least ``min_cells`` cells; each table's first row is skipped."""
+    rows = page_parts(pages).where((F.col("kind") == "row") & (F.col("row_no") >= 2) & (F.size("cells") >= min_cells))
+    return rows.select("page_id", "url", "table_no", "row_no", "cells")
 
 
 def injury_rows(pages: DataFrame, min_cells: int = 4) -> DataFrame:
@@ -79,22 +63,12 @@ def injury_rows(pages: DataFrame, min_cells: int = 4) -> DataFrame:
 
 
 def injury_elements(pages: DataFrame) -> DataFrame:
-    """Page parts that may describe injuries: text nodes per matching word, tables, marked divs."""
+    """Page parts that may describe injuries: text nodes per matching word, the text of tables and of
+    divs of an injury, player or status class. One pass over the pages."""
     words = F.array(*[F.lit(w) for w in PAGE_WORDS])
-    nodes = pages.select("page_id", F.explode(F.split("html", "<[^>]*>")).alias("content"))
-    matching = F.filter(words, lambda w: F.lower("content").contains(w))
-    by_word = nodes.where(F.lower("content").rlike("|".join(PAGE_WORDS))).select(
-        "page_id", F.lit("text").alias("kind"), F.explode(matching).alias("word"), text.strip(F.col("content")).alias("content")
-    )
-    def found(kind: str, pattern: str) -> DataFrame:
-        return pages.select(
-            "page_id", F.lit(kind).alias("kind"), F.lit("").alias("word"),
-            F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("content"),
-        )
-
-    tables = found("table", r"(?is)<table[\s>].*?</table>")
-    divs = found("div", r'(?is)<div[^>]*class="[^"]*(?:injury|player|status)[^"]*"[^>]*>')
-    return by_word.unionByName(tables).unionByName(divs)
+    parts = page_parts(pages).where("kind <> 'row'")
+    hits = F.when(F.col("kind") == "text", F.filter(words, lambda w: F.lower("content").contains(w))).otherwise(F.array(F.lit("")))
+    return parts.select("page_id", "kind", F.explode(hits).alias("word"), "content")
 
 
 def parse_element(df: DataFrame, content: str = "content") -> DataFrame:
