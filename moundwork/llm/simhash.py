@@ -36,7 +36,8 @@ from moundwork.session import written_once
 
 BITS = 64
 SEED = 42
-SHARE = 3_000_000  # variants that meet in one share, and at most in memory at once
+ROUTED = 16_000_000  # variants that meet in one share
+SHARE = 3_000_000  # about half of what is in memory at once; a larger share is halved
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -195,21 +196,22 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"bit{i}") for i in range(BITS)])
     orders: dict[int, list[int]] = {}
     fixed: dict[int, int] = {}
-    dealt = fps.where("false").select("tab", "fp", F.lit(0).cast("long").alias("share"))
+    dealt = fps.where("false").select("fp", F.lit(0).cast("long").alias("spot"))
     for found in counts.collect():  # one row per table
         tab, n = found.tab, found.n
         orders[tab] = sorted(range(BITS), key=lambda i: (abs(2 * found[f"bit{i}"] - n), i))
-        fixed[tab] = k = min(BITS // 2, max(0, math.ceil(math.log2(n * ball / SHARE))))
+        fixed[tab] = k = min(BITS // 2, max(0, math.ceil(math.log2(n * ball / ROUTED))))
         spelled = F.lit(0).cast("long")
         for i, place in enumerate(orders[tab][:k]):
             spelled = spelled.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", place).bitwiseAND(F.lit(1)), i))
         reach = F.array(*[F.lit(int(m)).cast("long") for m in _flips(list(range(k)), half)])
         own = fps.where(F.col("tab") == tab).select("tab", "fp", spelled.alias("own"))
-        dealt = dealt.unionByName(own.select("tab", "fp", F.explode(F.transform(reach, lambda m: F.col("own").bitwiseXOR(m))).alias("share")))
+        spot = F.transform(reach, lambda m: F.col("own").bitwiseXOR(m) + (tab << 40))  # table and share in one number
+        dealt = dealt.unionByName(own.select("fp", F.explode(spot).alias("spot")))
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         # A group is one share of one table; its fingerprints are 8 bytes each.
-        tab, share = (int(k.as_py()) for k in key)
+        tab, share = divmod(int(key[0].as_py()), 1 << 40)
         own = np.unique(table.column("fp").to_numpy().astype(np.int64).view(np.uint64))
         everyone = np.arange(len(own))
         root, low, high, pending = everyone, [], [], 0
@@ -230,7 +232,7 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         return pa.table({
             "tab": np.full(len(linked), tab, np.int32), "a": own[root[linked]].view(np.int64), "b": own[linked].view(np.int64)})
 
-    return dealt.groupBy("tab", "share").applyInArrow(meet, "tab int, a long, b long")
+    return dealt.groupBy("spot").applyInArrow(meet, "tab int, a long, b long")
 
 
 def near_groups(prints: DataFrame, radius: int = 4, key: str = "doc_id") -> DataFrame:

@@ -36,7 +36,8 @@ def test_links_of_dense_families(spark, monkeypatch):
     base = [rng.getrandbits(64) for _ in range(60)]
     family = [base[0] ^ sum(1 << b for b in rng.sample(range(14), rng.randrange(6))) for _ in range(300)]
     fps = sorted(set(base + family + [0, 1, (1 << 64) - 1]))
-    monkeypatch.setattr(s, "SHARE", 20_000)  # many shares, and shares halved in memory
+    monkeypatch.setattr(s, "ROUTED", 100_000)  # many shares
+    monkeypatch.setattr(s, "SHARE", 10_000)  # and each halved in memory
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     links = s.ball_links(spark.createDataFrame([(0, f) for f in signed], "tab int, fp long"))
     roots = {r.node: r.root for r in components(links.select("a", "b")).collect()}
