@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundwork.llm import mixing, packing, page_diff, pii, quality_rules, sharding, simhash, sketches, token_files, warc
+from moundwork.llm import check_sql, mixing, packing, page_diff, pii, quality_rules, sharding, simhash, sketches, token_files, warc
 from moundwork.llm.common import table
 from moundwork.session import shared_folder, written_once
 
@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_page_diff": op9_page_diff,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str | None] = {}
+ORACLES: dict[str, str | None] = {"op2_quality_rules": check_sql.quality_sql()}

@@ -52,3 +52,13 @@ def test_cutoffs_hold_the_risk_and_need_enough_labels(spark, docs_of):
     assert q.select_cutoffs(measured, few).count() == 0
     assert q.select_cutoffs(measured, labels.where("false")).count() == 0
     assert q.keep_good(docs.where("false"), labels).columns == docs.columns
+
+
+def test_query_equals_check_sql(spark, folder):
+    from parity import compare, open_views
+
+    frame = queries.op2_quality_rules(spark, folder)
+    cursor = open_views(folder).execute(queries.ORACLES["op2_quality_rules"])
+    names = [d[0] for d in cursor.description]
+    problem, _ = compare([tuple(r) for r in frame.collect()], frame.columns, cursor.fetchall(), names)
+    assert problem is None, problem
