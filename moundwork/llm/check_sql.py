@@ -59,3 +59,34 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken
 FROM (SELECT m.*, b.broken, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured m LEFT JOIN broken b ON m.rn = b.rn)"""
+
+
+def revisit_sql() -> str:
+    """Archive records of the pages and their resolved revisits, as ``op7_warc_revisits`` gives them."""
+    host = r"regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\d*\.|\.$', '', 'g')"
+    port = r"regexp_extract(url, '^[^:/?#]+://(?:[^/?#@]*@)?[^/?#:]*:(\d+)', 1)"
+    path = r"regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+    query = r"list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p != '' AND NOT regexp_matches(lower(p), '^(?:phpsessid|jsessionid|sid|utm_[a-z]+)=')))"
+    return rf"""
+WITH captured AS (
+  SELECT page_id, url, coalesce(html, '') AS body, html, '"' || left(sha256(coalesce(html, '')), 16) || '"' AS tag,
+    make_timestamp((1700000000 + (page_id * 7919) % 2000 * 3600) * 1000000) AS t0 FROM pages),
+records AS (
+  SELECT page_id * 4 AS record_id, 0 AS n, url, t0 AS seen, tag, body, html FROM captured
+  UNION ALL SELECT page_id * 4 + 1, 1, url, t0 + CASE WHEN page_id % 7 = 0 THEN -INTERVAL 1 HOUR ELSE INTERVAL 5 HOUR END, tag, NULL, NULL FROM captured
+  UNION ALL SELECT page_id * 4 + 2, 2, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') || '#again', t0 + INTERVAL 30 HOUR, 'W/' || tag, NULL, NULL FROM captured
+  UNION ALL SELECT page_id * 4 + 3, 3, url, t0 + INTERVAL 60 HOUR, '"old"', NULL, NULL FROM captured),
+named AS (
+  SELECT *, CASE WHEN url IS NOT NULL AND host != '' THEN host || CASE WHEN port IN ('', CASE WHEN lower(url) LIKE 'https://%' THEN '443' ELSE '80' END) THEN '' ELSE ':' || port END
+    || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(query) = 0 THEN '' ELSE '?' || array_to_string(query, '&') END END AS page
+  FROM (SELECT *, {host} AS host, {port} AS port, {path} AS path, {query} AS query FROM records)),
+paired AS (
+  SELECT r.record_id, any_value(r.url) AS url, any_value(r.seen) AS seen, any_value(r.tag) AS tag, arg_max(o.record_id, (o.seen, o.record_id)) AS origin
+  FROM named r LEFT JOIN named o ON o.n = 0 AND r.page = o.page AND o.seen <= r.seen WHERE r.n > 0 GROUP BY 1),
+judged AS (
+  SELECT p.*, o.body, o.html, CASE WHEN origin IS NULL THEN 'no earlier response' WHEN regexp_replace(p.tag, '^W/', '') != o.tag THEN 'validator mismatch' ELSE 'resolved' END AS verdict
+  FROM paired p LEFT JOIN named o ON p.origin = o.record_id)
+SELECT record_id, url, strftime(seen, '%Y-%m-%d %H:%M:%S') AS captured_at, CASE WHEN verdict = 'resolved' THEN origin END AS refers_to, verdict,
+  CASE WHEN verdict = 'resolved' THEN array_to_string(['cache-control: max-age=60', 'content-length: ' || strlen(body), 'content-type: text/html',
+    'date: ' || strftime(seen, '%Y-%m-%d %H:%M:%S'), 'etag: ' || tag], chr(10)) END AS headers,
+  CASE WHEN verdict = 'resolved' THEN length(html) END AS n_chars FROM judged"""

@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_page_diff": op9_page_diff,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str | None] = {"op2_quality_rules": check_sql.quality_sql()}
+ORACLES: dict[str, str | None] = {"op2_quality_rules": check_sql.quality_sql(), "op7_warc_revisits": check_sql.revisit_sql()}

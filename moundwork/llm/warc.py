@@ -36,7 +36,7 @@ def canonical_url(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\d*\.|\.$", "")
     port = F.regexp_extract(url, r"^[^:/?#]+://(?:[^/?#@]*@)?[^/?#:]*:(\d+)", 1)
     port = F.when((port == "") | (port == F.when(scheme == "https", "443").otherwise("80")), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.regexp_replace(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), r"(?<=.)/+$", "")
+    path = F.regexp_replace(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), r"/+$", "")
     path = F.when(path == "", "/").otherwise(path)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike("^(?:phpsessid|jsessionid|sid|utm_[a-z]+)="))
@@ -125,7 +125,7 @@ def captures(pages: DataFrame) -> DataFrame:
     """
     digest = F.sha2(F.coalesce("html", F.lit("")), 256)
     tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
-    begin = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("page_id"), F.lit(2_000)) * 3_600)
+    begin = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("page_id") * 7_919, F.lit(2_000)) * 3_600)
 
     def record(n: int, kind: str, url: Column, hours: Column, status: int, etag: Column, payload: Column) -> Column:
         fields = [F.lit("ETag"), etag, F.lit("Date"), F.date_format(begin + F.make_dt_interval(hours=hours), "yyyy-MM-dd HH:mm:ss")]

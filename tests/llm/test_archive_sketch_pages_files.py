@@ -66,6 +66,16 @@ def test_op7_query(spark, folder):
             assert n == 1 and page % 7 == 0
 
 
+def test_op7_query_equals_check_sql(spark, folder):
+    from parity import compare, open_views
+
+    frame = queries.op7_warc_revisits(spark, folder)
+    cursor = open_views(folder).execute(queries.ORACLES["op7_warc_revisits"])
+    names = [d[0] for d in cursor.description]
+    problem, _ = compare([tuple(r) for r in frame.collect()], frame.columns, cursor.fetchall(), names)
+    assert problem is None, problem
+
+
 def test_sketches_estimate_containment_and_merge():
     rng = random.Random(3)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))
