@@ -4,8 +4,8 @@ A page becomes a list of text lines, one per block, with the places that hold me
 footers, sidebars, notices, adverts, forms, comments and the like left out by element, role or class.
 Pages of a host are ordered by URL path; a page's partner is the page before it (for the first page
 of a host, the one after). Lines are aligned by longest common subsequence, and lines the two pages
-share are boilerplate and go. Lines of an explicit article element are known to be the article: where
-a page has one, it is the text, and none of its lines are deleted, however often they recur.
+share are boilerplate and go. Lines of an explicit article element are known to be text: one that is
+deleted, because it recurs in the partner, is put back. Lines outside it are kept or deleted as on any page.
 
 Pages are dealt into ranges of (host, path, id) with one shuffle and walked in order; the last page
 of a range is also sent to the next one as a guest. A host of any size is spread over many ranges.
@@ -175,13 +175,10 @@ def _common(a: list, b: list) -> list[int]:
 
 
 def main_text(lines: list[tuple[str, bool]], partner: list[str] | None) -> str:
-    """The article's lines, or, without an article element, the lines not shared with the partner."""
-    article = [text for text, inside in lines if inside]
-    if article:
-        return "\n".join(article)
+    """The lines not shared with the partner, and every line of an article element."""
     texts = [text for text, _ in lines]
     shared = set(common_places(texts, partner)) if partner else set()
-    return "\n".join(text for i, text in enumerate(texts) if i not in shared)
+    return "\n".join(text for i, (text, inside) in enumerate(lines) if inside or i not in shared)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -155,6 +155,12 @@ def test_shared_lines_go_where_no_article_is_marked(spark, monkeypatch, per_rang
     assert got[90].text == "Only page" and (got[91].text, got[91].n_chars) == ("", 0) and got[92].text.startswith("Head & more")
 
 
+def test_an_article_puts_lines_back_and_hides_none_outside():
+    lines = page_diff.blocks("<div>Site name</div><main><p>Long story</p></main><article><p>Teaser</p></article><div>Legal line</div>")
+    assert page_diff.main_text(lines, ["Site name", "Other story", "Teaser", "Legal line"]) == "Long story\nTeaser"
+    assert page_diff.main_text(lines, None) == "Site name\nLong story\nTeaser\nLegal line"
+
+
 def test_op9_query(spark, folder):
     rows = queries.op9_page_diff(spark, folder).collect()
     assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count()
