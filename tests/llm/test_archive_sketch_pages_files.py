@@ -161,6 +161,14 @@ def test_an_article_puts_lines_back_and_hides_none_outside():
     assert page_diff.main_text(lines, None) == "Site name\nLong story\nTeaser\nLegal line"
 
 
+def test_attributes_are_whole_pairs():
+    for plain in (' href="/travel/hidden-gems"', ' title="the hidden cost"', ' data-hidden="false"', ' data-id="related"', " alt='role=menu'", " href=/a/hidden"):
+        assert not page_diff._left_out("a", plain, True), plain
+    for marked in (" hidden", ' href="/x" HIDDEN=""', ' title="a b" aria-hidden = true', " id='related'", ' style="display: none"', " role=menu"):
+        assert page_diff._left_out("a", marked, True), marked
+    assert page_diff.blocks('<article><p>See <a href="/hidden-gems">these places</a>.</article>') == [("See these places.", True)]
+
+
 def test_op9_query(spark, folder):
     rows = queries.op9_page_diff(spark, folder).collect()
     assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count()
