@@ -38,6 +38,7 @@ BITS = 64
 SEED = 42
 ROUTED = 16_000_000  # variants that meet in one share
 SHARE = 3_000_000  # about half of what is in memory at once; a larger share is halved
+BANDS, BAND_ROWS = 24, 5  # of smallest hashes, for candidates of near-duplicates
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -253,37 +254,113 @@ def near_groups(prints: DataFrame, radius: int = 4, key: str = "doc_id") -> Data
     return written_once(joined.unionByName(alone), "components")
 
 
-def text_groups(prints: DataFrame, tables: int, radius: int = 4, key: str = "doc_id") -> DataFrame:
-    """``mark`` and ``component_id`` of every distinct text, linked by any of the tables."""
-    texts = written_once(prints.groupBy("mark").agg(
-        F.min(key).alias("least"), *[F.min(f"fp{t}").alias(f"fp{t}") for t in range(tables)]), "texts")
-    rows = texts.select("mark", F.inline(F.array(*[
-        F.struct(F.lit(t).alias("tab"), F.col(f"fp{t}").alias("fp")) for t in range(tables)])))
-    distinct = written_once(rows.groupBy("tab", "fp").agg(F.min("mark").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
-    links = written_once(ball_links(distinct.select("tab", "fp"), radius), "ball-links")
-    ends = links.join(distinct.select("tab", F.col("fp").alias("a"), F.col("rep").alias("x")), ["tab", "a"])
-    ends = ends.join(distinct.select("tab", F.col("fp").alias("b"), F.col("rep").alias("y")), ["tab", "b"])
-    equal = rows.join(distinct.where("n > 1").select("tab", "fp", "rep"), ["tab", "fp"]).where("mark <> rep")
-    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(
-        equal.select(F.col("mark").alias("a"), F.col("rep").alias("b"))))
-    placed = written_once(texts.select("mark", "least").join(roots.withColumnRenamed("node", "mark"), "mark", "left"), "roots")
-    linked = placed.where("root is not null")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = linked.select("mark", "root").join(least, "root").select("mark", "component_id")
-    return joined.unionByName(placed.where("root is null").select("mark", F.col("least").alias("component_id")))
+def band_keys(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``mark`` (hash of the text) and ``buckets``: one hash per band of ``BAND_ROWS`` smallest mixed hashes.
+
+    Two texts of similarity ``s`` share a bucket with probability ``1 - (1 - s ** BAND_ROWS) ** BANDS``:
+    all but 7 in 100,000 of those at 0.8.
+    """
+    small_batches(docs.sparkSession)
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    size = 8 * BAND_ROWS
+
+    def buckets_of(text_: str) -> list[int]:
+        hashes = shingle_hashes(text_, words)
+        low = np.full(len(factors), (1 << 64) - 1, np.uint64)
+        for at in range(0, len(hashes), 1024):
+            mixed = hashes[at:at + 1024, None] * factors
+            mixed ^= mixed >> np.uint64(32)
+            np.minimum(low, (mixed * factors).min(axis=0), out=low)
+        raw = low.tobytes()
+        return [xxhash.xxh64_intdigest(raw[size * i:size * (i + 1)], i) for i in range(BANDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([buckets_of(t) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, BANDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(list(rows), pa.list_(pa.int64()))], [key, "mark", "buckets"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.select(key, "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"`{key}` {kind}, mark long, buckets array<long>")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, tables: int = 8, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of marks whose texts share at least ``least`` of their runs of ``words`` words (Jaccard)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            good = []
+            for a, b, *both in zip(*(c.to_pylist() for c in batch.columns)):
+                for mark, text_ in zip((a, b), both):
+                    if mark not in known:
+                        known[mark] = np.unique(shingle_hashes(text_, words))
+                common = len(np.intersect1d(known[a], known[b], assume_unique=True))
+                whole = len(known[a]) + len(known[b]) - common
+                good.append(common >= least * whole - 1e-9)  # two texts without words are alike
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("text_a")), "a")
+    joined = joined.join(texts.select(F.col("mark").alias("b"), F.col("text").alias("text_b")), "b")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def verified_roots(members: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame | None:
+    """``node`` and ``root`` of all marks with a similar one; None if there are none.
+
+    ``members`` holds (``bucket``, ``mark``). In every round some members of a bucket lead it: they are
+    compared with all others of the bucket that are not yet in their component, and then leave it. A
+    bucket is done once the rest is one component, so a family of near copies takes one comparison a
+    copy, and in the end every pair of a bucket has been compared or is connected. Leaders quadruple
+    from round to round.
+    """
+    links: list[DataFrame] = []
+    tested: list[DataFrame] = []
+    roots, lead = None, 1
+    while True:
+        live = members.withColumn("root", F.col("mark")) if roots is None else members.join(
+            roots.withColumnRenamed("node", "mark"), "mark", "left").select("bucket", "mark", F.coalesce("root", "mark").alias("root"))
+        crowded = live.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("mark").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+        chance = F.pmod(F.xxhash64("mark", F.lit(lead)), F.lit(1 << 30)) * F.col("n") < (lead - 1) * (1 << 30)
+        live = written_once(live.join(crowded.where("low < high").select("bucket", "n", "first"), "bucket").select(
+            "bucket", "mark", "root", ((F.col("mark") == F.col("first")) | chance).alias("leads")), "buckets")
+        if live.isEmpty():
+            return roots
+        leaders = live.where("leads").select("bucket", F.col("mark").alias("leader"), F.col("root").alias("its"))
+        pairs = live.join(leaders, "bucket").where("root <> its").select(
+            F.least("mark", "leader").alias("a"), F.greatest("mark", "leader").alias("b")).distinct()
+        for earlier in tested:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        tested.append(written_once(pairs, "pairs"))
+        if len(tested) == 1:  # members of later rounds are among those of the first
+            marks = live.select("mark").distinct()
+            texts = written_once(texts.join(marks, "mark", "left_semi").dropDuplicates(["mark"]), "candidate-texts")
+        links.append(written_once(similar_pairs(tested[-1], texts, words, least), "similar"))
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        roots = components(found)
+        members = live.where("not leads").select("bucket", "mark")
+        lead *= 4
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one row left of every group of near-duplicates: that with the smallest key.
 
-    One table of 64 bits within 4 bits finds about a third of the pairs that share nine of ten runs
-    of five words; eight tables with mixed hashes find nearly all of those and still hardly any below
-    seven of ten. Rows that repeat the key count once. Rows without a key have nothing to choose by:
-    of those with equal texts one stays.
+    Groups are the components of pairs that share at least ``least`` of their distinct runs of ``words``
+    words. Bands of smallest hashes propose pairs, exact similarity decides. Rows that repeat the key count
+    once. Rows without a key have nothing to choose by: of those with equal texts one stays.
     """
     keyed = docs.where(F.col(key).isNotNull())
-    prints = written_once(fingerprints(keyed, words, tables, key, text), "prints")
-    groups = text_groups(prints, tables, radius, key)
-    keepers = written_once(groups.select(F.col("component_id").alias("keeper")).distinct(), "keepers")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    bands = written_once(band_keys(keyed, words, key, text), "bands")
+    texts = bands.groupBy("mark").agg(F.min(key).alias("least"))
+    members = bands.select("mark", "buckets").dropDuplicates(["mark"]).select(F.explode("buckets").alias("bucket"), "mark")
+    roots = verified_roots(members, keyed.select(F.xxhash64(whole).alias("mark"), whole.alias("text")), words, least)
+    root = F.col("mark")
+    if roots is not None:
+        texts, root = texts.join(roots.withColumnRenamed("node", "mark"), "mark", "left"), F.coalesce("root", "mark")
+    keepers = written_once(texts.groupBy(root.alias("root")).agg(F.min("least").alias("keeper")).select("keeper").distinct(), "keepers")
     kept = keyed.join(keepers, keyed[key] == keepers["keeper"], "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))

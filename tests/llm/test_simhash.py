@@ -68,3 +68,40 @@ def test_one_of_each(docs_of):
     kept = s.one_of_each(docs)
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 4, 7] and kept.columns == docs.columns
     assert s.one_of_each(docs.where("false")).count() == 0
+
+
+def planted(rng, low, high):
+    """Two texts whose 5-word similarity lies in the half-open range."""
+    runs = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    while True:
+        old = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([100, 200, 400]))]
+        new, alike = list(old), 1.0
+        while alike >= high:
+            new[rng.randrange(len(new))] = f"x{rng.randrange(10**6)}"
+            a, b = runs(old), runs(new)
+            alike = len(a & b) / len(a | b)
+        if alike >= low:
+            return " ".join(old), " ".join(new)
+
+
+def test_pairs_just_above_and_below_the_threshold(docs_of):
+    rng = random.Random(4)
+    pairs = [planted(rng, 0.80, 0.85) for _ in range(60)] + [planted(rng, 0.70, 0.80) for _ in range(60)]
+    kept = s.one_of_each(docs_of([text for both in pairs for text in both]))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(240)) - set(range(1, 120, 2)))
+
+
+def test_large_families_and_neighbours_of_other_families(docs_of):
+    rng = random.Random(6)
+    texts, sets = [], []
+    for _ in range(3):  # families around one text, whose members lie on both sides of the threshold
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(50):
+            new = list(base)
+            for _ in range(rng.randrange(6)):
+                new[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(new))
+            sets.append({tuple(new[i:i + 5]) for i in range(146)})
+    links = [(a, b) for a, b in itertools.combinations(range(150), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = brute.components(links, range(150))
+    assert {r.doc_id for r in s.one_of_each(docs_of(texts)).collect()} == set(want.values())
