@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundwork.llm.common import small_batches
+from moundwork.llm.common import boxed, small_batches
 from moundwork.llm.components import components
 from moundwork.session import written_once
 
@@ -349,8 +349,9 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, key: str =
     """The documents with one row left of every group of near-duplicates: that with the smallest key.
 
     Groups are the components of pairs that share at least ``least`` of their distinct runs of ``words``
-    words. Bands of smallest hashes propose pairs, exact similarity decides. Rows that repeat the key count
-    once. Rows without a key have nothing to choose by: of those with equal texts one stays.
+    words. Bands of smallest hashes propose pairs, exact similarity decides. The row that stays is chosen by
+    key and text: of rows equal in both one stays, another text under the same key is a document of its
+    own. Rows without a key have nothing to choose by: of those with equal texts one stays.
     """
     keyed = docs.where(F.col(key).isNotNull())
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -361,6 +362,9 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, key: str =
     root = F.col("mark")
     if roots is not None:
         texts, root = texts.join(roots.withColumnRenamed("node", "mark"), "mark", "left"), F.coalesce("root", "mark")
-    keepers = written_once(texts.groupBy(root.alias("root")).agg(F.min("least").alias("keeper")).select("keeper").distinct(), "keepers")
-    kept = keyed.join(keepers, keyed[key] == keepers["keeper"], "left_semi").dropDuplicates([key])
+    first = F.min(F.struct("least", "mark"))
+    keepers = written_once(texts.groupBy(root.alias("root")).agg(first.alias("first")).select(
+        F.col("first.least").alias("key"), F.col("first.mark").alias("mark")), "keepers")
+    rows = boxed(keyed, key=keyed[key], mark=F.xxhash64(whole))
+    kept = rows.join(keepers, ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"]).select("row.*")
     return kept.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))

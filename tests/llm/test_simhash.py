@@ -105,3 +105,11 @@ def test_large_families_and_neighbours_of_other_families(docs_of):
     links = [(a, b) for a, b in itertools.combinations(range(150), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     want = brute.components(links, range(150))
     assert {r.doc_id for r in s.one_of_each(docs_of(texts)).collect()} == set(want.values())
+
+
+def test_other_text_under_the_same_key_stays(docs_of):
+    rng = random.Random(8)
+    first, other, third = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    docs = docs_of([(1, first, "en", "s"), (1, other, "en", "s"), (1, other, "en", "s"), (2, other, "en", "s"), (3, third, "en", "s"), (3, None, "en", "s"), (3, "", "en", "s")])
+    kept = sorted((r.doc_id, r.text or "") for r in s.one_of_each(docs).collect())
+    assert kept == sorted([(1, first), (1, other), (3, third), (3, "")])
