@@ -37,6 +37,15 @@ def test_added_kinds_need_checksum_or_context(docs_of):
     assert [found[i] for i in range(7)] == ["iban:5:32", "", "secret:9:41", "", "ssn:4:15", "", ""]
 
 
+def test_text_after_an_iban_and_long_secrets(docs_of):
+    found = spans(pii.find_spans(docs_of([
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban DE89370400440532013000 2024", "iban DE89 3704 0044 0532 0130 00 1",
+        "iban NO93 8601 1117 947 OK, MT84 MALT 0110 0001 2345 MTLC AST0 01S AB", "iban DE89370400440532013000X",
+        "token " + "a1" * 100, "token " + "a1" * 50_000 + " end"])))
+    assert [found[i] for i in range(7)] == [
+        "iban:5:32", "iban:5:27", "iban:5:32", "iban:5:23,iban:28:66", "", "secret:6:206", "secret:6:100006"]
+
+
 def test_redact_keeps_columns_and_other_rows(docs_of):
     docs = docs_of(["call +1 (017) 555-7713 or a@b.co", "clean text", None, "a@b.co1.2.3.4"], extra=("spans", "row", "start"))
     rows = pii.redact(docs).orderBy("doc_id").collect()
