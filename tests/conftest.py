@@ -9,6 +9,8 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
+from days import day  # noqa: E402
+
 from moundwork import schemas  # noqa: E402
 from moundwork.session import build_session  # noqa: E402
 
@@ -32,10 +34,6 @@ def folder():
     return str(TESTDATA)
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
 @pytest.fixture
 def make(spark):
     """Frames of the domain tables from short tuples."""

@@ -6,7 +6,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import day
+from days import day
 from pyspark.sql import functions as F
 
 from moundwork.functions import ranking, text
