@@ -90,3 +90,17 @@ SELECT record_id, url, strftime(seen, '%Y-%m-%d %H:%M:%S') AS captured_at, CASE
   CASE WHEN verdict = 'resolved' THEN array_to_string(['cache-control: max-age=60', 'content-length: ' || strlen(body), 'content-type: text/html',
     'date: ' || strftime(seen, '%Y-%m-%d %H:%M:%S'), 'etag: ' || tag], chr(10)) END AS headers,
   CASE WHEN verdict = 'resolved' THEN length(html) END AS n_chars FROM judged"""
+
+
+def topk_sql() -> str:
+    """The ten highest inner products of every vector whose id is divisible by 100, by all pairs."""
+    return """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+    coalesce(list_sum(list_transform(list_zip(q.parts, d.parts), lambda z: coalesce(z[1] * z[2], 0))), 0) AS score
+  FROM vectors q JOIN vectors d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10"""

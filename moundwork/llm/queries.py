@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundwork.llm import check_sql, mixing, packing, page_diff, pii, quality_rules, sharding, simhash, sketches, spelling, token_files, warc
+from moundwork.llm import check_sql, exact_topk, mixing, packing, page_diff, pii, quality_rules, sharding, simhash, sketches, spelling, token_files, warc
 from moundwork.llm.common import table
 from moundwork.session import shared_folder, written_once
 
@@ -91,6 +91,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("key") % 100 == 0)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -106,6 +110,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketches": op8_sketches,
     "op9_page_diff": op9_page_diff,
     "op10_token_files": op10_token_files,
+    "op12_exact_topk": op12_exact_topk,
     "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str | None] = {"op2_quality_rules": check_sql.quality_sql(), "op7_warc_revisits": check_sql.revisit_sql()}
+ORACLES: dict[str, str | None] = {
+    "op2_quality_rules": check_sql.quality_sql(),
+    "op7_warc_revisits": check_sql.revisit_sql(),
+    "op12_exact_topk": check_sql.topk_sql(),
+}
