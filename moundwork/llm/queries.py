@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundwork.llm import check_sql, exact_topk, mixing, packing, page_diff, pii, quality_rules, sharding, simhash, sketches, spelling, token_files, warc
+from moundwork.llm import alignment, check_sql, exact_topk, mixing, packing, page_diff, pii, quality_rules, sharding, simhash, sketches, spelling, token_files, warc
 from moundwork.llm.common import table
 from moundwork.session import shared_folder, written_once
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = alignment.aligned_chunks(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return alignment.document_scores(chunks).withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("key") % 100 == 0)
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketches": op8_sketches,
     "op9_page_diff": op9_page_diff,
     "op10_token_files": op10_token_files,
+    "op11_alignment": op11_alignment,
     "op12_exact_topk": op12_exact_topk,
     "op13_spelling": op13_spelling,
 }
