@@ -8,8 +8,8 @@ and the next character, or the prefix alone where a word ends.
 
 The frontier holds states (word, position, node, edits). A word walks its own path without an edit;
 at every node from its middle on it also tries the other edges with one replaced, inserted or deleted
-character, and from there it only follows exact edges, one join a level. A state that uses up its word
-at the end of another word is a pair. An edit in the first half of a word is one in the second half
+character, and from there it only follows exact edges, one join a level; a state goes on only where the
+next level has an edge for its next character. A state that uses up its word at the end of another word is a pair. An edit in the first half of a word is one in the second half
 of the reversed word, so every word is in the trie twice, forwards behind ``>`` and backwards behind
 ``<``, and no word fans out near the root, where all words meet.
 
@@ -69,6 +69,19 @@ def _edges(own: DataFrame) -> DataFrame:
     return grouped.select(_part("step", F.lit(0), F.col("depth")).alias("node"), "step", child.alias("child"), leaf.alias("leaf"), "n")
 
 
+def _ahead(edges: DataFrame, later: DataFrame) -> DataFrame:
+    """The edges with ``nexts``, the characters that go on from their child; an empty one where a word ends there."""
+    first = _part("step", F.length("node"), F.lit(1))
+    nexts = later.groupBy(F.col("node").alias("child")).agg(F.collect_list(first).alias("nexts"))  # an alphabet at most
+    return edges.join(nexts, "child", "left")
+
+
+def _hopeful(states: DataFrame) -> DataFrame:
+    """States at the end of a word they use up, or at a node from which their next character goes on."""
+    goes_on = F.array_contains("nexts", _part("text", F.col("at"), F.lit(1)))
+    return states.where(F.when(F.col("leaf"), F.col("at") == F.length("text")).otherwise(goes_on)).drop("nexts")
+
+
 def _standing(words: DataFrame) -> DataFrame:
     """Words (``text``, ``n``, ``half``) at a node of ``depth`` characters, with the step they take from it."""
     return words.select("text", "n", "half", "depth", _part("text", F.lit(0), F.col("depth") + 1).alias("step"))
@@ -85,17 +98,17 @@ def _parted(own: DataFrame, edges: DataFrame) -> DataFrame:
         F.when((label > 0) & (longest >= size) & (rest == _part("text", depth + 1, label - 1)), size),
         F.when((label > 0) & (longest >= size - 1) & (rest == _part("text", depth, label - 1)), size - 1),
         F.when((longest >= size + 1) & (_part("child", depth, label) == _part("text", depth + 1, label)), size + 1)))
-    return tried.select("text", "child", "leaf", "n", F.explode(ends).alias("at"))
+    return _hopeful(tried.select("text", "child", "leaf", "n", "nexts", F.explode(ends).alias("at")))
 
 
 def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States one exact edge further; where a word is used up the edge of a word that ends there."""
     step = F.concat("child", _part("text", F.col("at"), F.lit(1)))
     moving = states.select("text", "at", F.col("child").alias("node"), step.alias("step"))
-    on = moving.join(edges.select("step", F.col("node").alias("from"), "child", "leaf", "n"), "step").where(F.col("from") == F.col("node"))
+    on = moving.join(edges.select("step", F.col("node").alias("from"), "child", "leaf", "n", "nexts"), "step").where(F.col("from") == F.col("node"))
     label = F.length("child") - F.length("node")
     same = _part("child", F.length("node"), label) == _part("text", F.col("at"), label)
-    return on.where(same).select("text", "child", "leaf", "n", (F.col("at") + label).alias("at"))
+    return _hopeful(on.where(same).select("text", "child", "leaf", "n", "nexts", (F.col("at") + label).alias("at")))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -106,20 +119,21 @@ def near_words(words: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit("<"), F.reverse("word")).alias("text"), (size - half + 1).alias("half")))
     both = words.select("n", F.inline(ways)).withColumn("depth", F.lit(1))
     own = written_once(_standing(both), "trie-words")
+    edges = written_once(_edges(own), "trie-edges")
     states, pairs = None, []
-    while True:
-        edges = written_once(_edges(own), "trie-edges")
-        made = _parted(own, edges)
+    while not own.isEmpty():
+        moved = own.join(edges.where("not leaf").select("step", "child"), "step")
+        stood, own = own, written_once(_standing(moved.select("text", "n", "half", F.length("child").alias("depth"))), "trie-words")
+        later = written_once(_edges(own), "trie-edges")
+        ahead = _ahead(edges, later)
+        made = _parted(stood, ahead)
         if states is not None:
-            made = made.unionByName(_followed(states, edges))
-        ended = F.col("at") == F.length("text")
-        made = written_once(made.where(~F.col("leaf") | ended), "trie-states")
+            made = made.unionByName(_followed(states, ahead))
+        made = written_once(made, "trie-states")
         pairs.append(made.where("leaf").select("text", "child", "n"))
-        states = made.where("not leaf")
-        moved = own.join(edges.where("not leaf").select("step", "child"), "step")
-        own = written_once(_standing(moved.select("text", "n", "half", F.length("child").alias("depth"))), "trie-words")
-        if own.isEmpty():
-            break
+        states, edges = made.where("not leaf"), later
+    if not pairs:
+        return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).where("false")
     found = reduce(DataFrame.unionByName, pairs)
 
     def plain(name: str) -> Column:
