@@ -144,7 +144,8 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
         "kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop(*[f"cut_{rule}" for rule in RULES])
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    measured = signals(docs)
-    return judge(measured, select_cutoffs(measured, labels)).where("kept").select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that pass, with their own columns. Only labelled documents are measured for the cutoffs."""
+    known = labels.select(F.col(key).alias("label_key")).distinct()
+    labelled = docs.join(known, docs[key] == known["label_key"], "left_semi")
+    return judge(signals(docs), select_cutoffs(signals(labelled), labels, key)).where("kept").select("row.*")

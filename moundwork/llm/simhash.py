@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from moundwork.llm.common import boxed, small_batches
 from moundwork.llm.components import components
@@ -285,63 +286,87 @@ def band_keys(docs: DataFrame, words: int, key: str = "doc_id", text: str = "tex
     return rows.select(key, "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"`{key}` {kind}, mark long, buckets array<long>")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of marks whose texts share at least ``least`` of their runs of ``words`` words (Jaccard)."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``mark`` and ``shingles``, the distinct hashes of its runs of ``words`` words; one and the same hash for texts without words."""
+    small_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text_, words)).view(np.int64) for text_ in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x if len(x) else [0] for x in sets], pa.list_(pa.int64()))], ["mark", "shingles"])
+
+    return texts.select("mark", "text").mapInArrow(run, "mark long, shingles array<bigint>")
+
+
+def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
+    """``bucket``, ``mark`` and ``n`` (shingles of the text): the rarest shingles of every text, as many as decide.
+
+    Texts that share ``least`` of their shingles have more than ``n - ceil(least * n)`` of each in common, so
+    in any one order of all shingles their first ``n - ceil(least * n) + 1`` meet. From rare to common, texts
+    that only share a passage meet in none: what sets them apart comes first. Shingles of a single text
+    come before all others and meet nothing, so only their number counts.
+    """
+    rows = sets.select("mark", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
+    often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    own = Window.partitionBy("mark")
+    ranked = rows.join(often, "bucket").withColumns({
+        "place": F.row_number().over(own.orderBy("times", "bucket")), "shared": F.count(F.lit(1)).over(own)})
+    decisive = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    return ranked.where(F.col("place") <= decisive - (F.col("n") - F.col("shared"))).select("bucket", "mark", "n")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of marks whose sets of shingles have at least ``least`` in common (Jaccard)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
             good = []
-            for a, b, *both in zip(*(c.to_pylist() for c in batch.columns)):
-                for mark, text_ in zip((a, b), both):
-                    if mark not in known:
-                        known[mark] = np.unique(shingle_hashes(text_, words))
-                common = len(np.intersect1d(known[a], known[b], assume_unique=True))
-                whole = len(known[a]) + len(known[b]) - common
-                good.append(common >= least * whole - 1e-9)  # two texts without words are alike
+            for one, other in zip(batch.column(2), batch.column(3)):
+                x, y = one.values.to_numpy(), other.values.to_numpy()
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= least * (len(x) + len(y) - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("mark").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    joined = pairs.join(sets.select(F.col("mark").alias("a"), F.col("shingles").alias("one")), "a")
+    joined = joined.join(sets.select(F.col("mark").alias("b"), F.col("shingles").alias("other")), "b")
+    return joined.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
-def verified_roots(members: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame | None:
+def verified_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
     """``node`` and ``root`` of all marks with a similar one; None if there are none.
 
-    ``members`` holds (``bucket``, ``mark``). In every round some members of a bucket lead it: they are
-    compared with all others of the bucket that are not yet in their component, and then leave it. A
-    bucket is done once the rest is one component, so a family of near copies takes one comparison a
-    copy, and in the end every pair of a bucket has been compared or is connected. Leaders quadruple
-    from round to round.
+    ``members`` holds (``bucket``, ``mark``, ``n``), ``sets`` the shingles of the marks. In every round some
+    members of a bucket lead it: they are compared with all others of the bucket that are not yet in
+    their component and whose number of shingles allows the similarity, and then leave it. A bucket is
+    done once the rest is one component, so a family of near copies takes one comparison a copy, and in
+    the end every pair of a bucket has been compared or is connected. Leaders quadruple from round to round.
     """
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
     roots, lead = None, 1
     while True:
         live = members.withColumn("root", F.col("mark")) if roots is None else members.join(
-            roots.withColumnRenamed("node", "mark"), "mark", "left").select("bucket", "mark", F.coalesce("root", "mark").alias("root"))
+            roots.withColumnRenamed("node", "mark"), "mark", "left").select("bucket", "mark", "n", F.coalesce("root", "mark").alias("root"))
         crowded = live.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("mark").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
-        chance = F.pmod(F.xxhash64("mark", F.lit(lead)), F.lit(1 << 30)) * F.col("n") < (lead - 1) * (1 << 30)
-        live = written_once(live.join(crowded.where("low < high").select("bucket", "n", "first"), "bucket").select(
-            "bucket", "mark", "root", ((F.col("mark") == F.col("first")) | chance).alias("leads")), "buckets")
+            F.count(F.lit(1)).alias("all"), F.min("mark").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+        chance = F.pmod(F.xxhash64("mark", F.lit(lead)), F.lit(1 << 30)) * F.col("all") < (lead - 1) * (1 << 30)
+        live = written_once(live.join(crowded.where("low < high").select("bucket", "all", "first"), "bucket").select(
+            "bucket", "mark", "n", "root", ((F.col("mark") == F.col("first")) | chance).alias("leads")), "buckets")
         if live.isEmpty():
             return roots
-        leaders = live.where("leads").select("bucket", F.col("mark").alias("leader"), F.col("root").alias("its"))
-        pairs = live.join(leaders, "bucket").where("root <> its").select(
+        leaders = live.where("leads").select("bucket", F.col("mark").alias("leader"), F.col("root").alias("its"), F.col("n").alias("its_n"))
+        alike = F.least("n", "its_n") >= F.greatest("n", "its_n") * least - 1e-9
+        pairs = live.join(leaders, "bucket").where((F.col("root") != F.col("its")) & alike).select(
             F.least("mark", "leader").alias("a"), F.greatest("mark", "leader").alias("b")).distinct()
         for earlier in tested:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         tested.append(written_once(pairs, "pairs"))
-        if len(tested) == 1:  # members of later rounds are among those of the first
-            marks = live.select("mark").distinct()
-            texts = written_once(texts.join(marks, "mark", "left_semi").dropDuplicates(["mark"]), "candidate-texts")
-        links.append(written_once(similar_pairs(tested[-1], texts, words, least), "similar"))
+        links.append(written_once(similar_pairs(tested[-1], sets, least), "similar"))
         found = links[0]
         for more in links[1:]:
             found = found.unionByName(more)
         roots = components(found)
-        members = live.where("not leads").select("bucket", "mark")
+        members = live.where("not leads").select("bucket", "mark", "n")
         lead *= 4
 
 
@@ -349,7 +374,8 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, key: str =
     """The documents with one row left of every group of near-duplicates: that with the smallest key.
 
     Groups are the components of pairs that share at least ``least`` of their distinct runs of ``words``
-    words. Bands of smallest hashes propose pairs, exact similarity decides. The row that stays is chosen by
+    words. Bands of smallest hashes tell which texts have a partner at all, the rarest shingles of those
+    propose pairs, exact similarity decides. The row that stays is chosen by
     key and text: of rows equal in both one stays, another text under the same key is a document of its
     own. Rows without a key have nothing to choose by: of those with equal texts one stays.
     """
@@ -358,7 +384,11 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, key: str =
     bands = written_once(band_keys(keyed, words, key, text), "bands")
     texts = bands.groupBy("mark").agg(F.min(key).alias("least"))
     members = bands.select("mark", "buckets").dropDuplicates(["mark"]).select(F.explode("buckets").alias("bucket"), "mark")
-    roots = verified_roots(members, keyed.select(F.xxhash64(whole).alias("mark"), whole.alias("text")), words, least)
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    open_ = written_once(members.join(crowded, "bucket", "left_semi").select("mark").distinct(), "open-marks")
+    whole_texts = keyed.select(F.xxhash64(whole).alias("mark"), whole.alias("text"))
+    sets = written_once(shingle_sets(whole_texts.join(open_, "mark", "left_semi").dropDuplicates(["mark"]), words), "shingle-sets")
+    roots = verified_roots(written_once(rare_shingles(sets, least), "rare-shingles"), sets, least)
     root = F.col("mark")
     if roots is not None:
         texts, root = texts.join(roots.withColumnRenamed("node", "mark"), "mark", "left"), F.coalesce("root", "mark")

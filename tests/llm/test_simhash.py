@@ -113,3 +113,17 @@ def test_other_text_under_the_same_key_stays(docs_of):
     docs = docs_of([(1, first, "en", "s"), (1, other, "en", "s"), (1, other, "en", "s"), (2, other, "en", "s"), (3, third, "en", "s"), (3, None, "en", "s"), (3, "", "en", "s")])
     kept = sorted((r.doc_id, r.text or "") for r in s.one_of_each(docs).collect())
     assert kept == sorted([(1, first), (1, other), (3, third), (3, "")])
+
+
+def test_a_crowd_below_the_threshold_is_not_compared(spark):
+    rng = random.Random(9)
+    shared = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+
+    def compared(n):
+        texts = [" ".join(shared + [f"x{rng.randrange(10**6)}" for _ in range(50)]) for _ in range(n)]
+        sets = s.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "mark long, text string"), 5)
+        sizes = s.rare_shingles(sets, 0.8).groupBy("bucket").count().collect()
+        return sum(r["count"] * (r["count"] - 1) // 2 for r in sizes)
+
+    few, many = compared(600), compared(1200)
+    assert few <= 600 and many <= 2 * max(few, 600)
