@@ -255,7 +255,12 @@ def pregame_rolling(pitches: DataFrame, days: Sequence[int] = (7, 14, 30, 60)) -
 
     The distinct game days of the longest window (a bounded list) give the shortest gap.
     """
-    base = daily_pitch_sums(pitches).withColumn(w.DAY_NUMBER, w.day_number())
+    return pregame_from_days(daily_pitch_sums(pitches), days)
+
+
+def pregame_from_days(daily: DataFrame, days: Sequence[int] = (7, 14, 30, 60)) -> DataFrame:
+    """The same from rows of ``daily_pitch_sums``, one per pitcher and day."""
+    base = daily.withColumn(w.DAY_NUMBER, w.day_number())
     longest = max(days)
     base = base.withColumn("_days", F.array_sort(F.collect_list(w.DAY_NUMBER).over(w.days_before(longest))))
     cols: dict[str, Column] = {}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moundwork.functions import windows as w
+from moundwork.operators import refresh, scoring
 from moundwork.operators import rolling as op
-from moundwork.operators import scoring
 from moundwork.plans.registry import query, sql_table
+from moundwork.session import shared_folder
 
 AS_OF = "2001-06-30"
 FROM, TO = "2000-01-01", "2000-12-31"
@@ -198,18 +199,40 @@ PREGAME = " ".join(
     for n in (7, 14, 30, 60))
 
 
-@query("pregame_rolling", f"pitcher_id:n game_date:d {PREGAME} vel_decline_7d_vs_30d:r workload_increase_7d_vs_30d:r "
-       "vel_decline_14d_vs_30d:r workload_increase_14d_vs_30d:r", f"""
+sql_table("pregame_rows", f"""
 SELECT *, avg_velocity_7d - avg_velocity_30d AS vel_decline_7d_vs_30d, pitch_count_7d - pitch_count_30d / 4.0::DOUBLE AS workload_increase_7d_vs_30d,
   avg_velocity_14d - avg_velocity_30d AS vel_decline_14d_vs_30d, pitch_count_14d - pitch_count_30d / 2.0::DOUBLE AS workload_increase_14d_vs_30d
 FROM (SELECT pitcher_id, day AS game_date, {', '.join(pregame_sql(n) for n in (7, 14, 30, 60))}
   FROM (SELECT g.pitcher_id, g.game_date AS day, p.game_date, p.release_speed, p.release_spin_rate, g.game_date - p.game_date AS d, l.gap
     FROM line g LEFT JOIN pitches p ON p.pitcher_id = g.pitcher_id AND p.game_date BETWEEN g.game_date - 60 AND g.game_date - 1
-    LEFT JOIN line l ON l.pitcher_id = p.pitcher_id AND l.game_date = p.game_date) GROUP BY 1, 2)""", "line pitches")
+    LEFT JOIN line l ON l.pitcher_id = p.pitcher_id AND l.game_date = p.game_date) GROUP BY 1, 2)""", "line", "pitches")
+EXTRA = "vel_decline_7d_vs_30d:r workload_increase_7d_vs_30d:r vel_decline_14d_vs_30d:r workload_increase_14d_vs_30d:r"
+
+
+@query("pregame_rolling", f"pitcher_id:n game_date:d {PREGAME} {EXTRA}", "SELECT * FROM pregame_rows", "pregame_rows")
 def _(t):
     return op.pregame_rolling(t.pitches)
 
 
+FIRST_BATCH, LATE_FROM, LATE_TYPE = "2000-06-30", "2000-04-01", "SL"
+
+
+@query("incremental_rolling_features", f"pitcher_id:n game_date:d last_game_pitches:n {WORKLOAD} {PREGAME} {EXTRA}", f"""
+SELECT r.*, l.* EXCLUDE (pitcher_id, game_date) FROM pregame_rows r JOIN (
+  SELECT pitcher_id, game_date, n AS last_game_pitches, {', '.join(f"sum(n) OVER {closed(k)} AS roll{k}d_pitch_count, count(*) OVER {closed(k)} AS roll{k}d_appearances, avg(n) OVER {closed(k)} AS roll{k}d_avg_pitches_per_appearance" for k in SPANS)}
+  FROM (SELECT pitcher_id, game_date, CAST(game_date - DATE '1970-01-01' AS INTEGER) AS dn, count(*) AS n FROM pitches GROUP BY ALL)) l
+  ON r.pitcher_id = l.pitcher_id AND r.game_date = l.game_date""", "pregame_rows pitches")
+def _(t):
+    """Three batches: old days without some of their pitches, the days after, and the pitches that came late."""
+    store = refresh.FeatureStore(t.spark, shared_folder(t.spark, "features"), t.pitches)
+    old = F.col("game_date") <= F.lit(FIRST_BATCH).cast("date")
+    late = F.col("game_date").between(F.lit(LATE_FROM).cast("date"), F.lit(FIRST_BATCH).cast("date")) & (F.col("pitch_type") == LATE_TYPE)
+    store.add(t.pitches.where(old & ~late), "first")
+    store.add(t.pitches.where(~old), "second")
+    store.add(t.pitches.where(late), "late")
+    return store.features.read()
+
+
 ROWCOUNT = " ".join(f"pitches_{n}d:n innings_{n}d:r strikeouts_{n}d:n walks_{n}d:n" for n in SPANS)
 
 

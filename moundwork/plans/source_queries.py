@@ -14,7 +14,7 @@ from moundwork.plans.registry import query, sql_table
 from moundwork.plans.text_queries import NAME_SQL, category_sql, contains_any
 from moundwork.functions import vocabulary as v
 from moundwork.session import shared_folder
-from moundwork.sources import landing, loading, tables
+from moundwork.sources import landing, loading, partitions, tables
 
 PITCH = "pitcher_id:n game_date:d at_bat_id:n pitch_number:n pitch_type:s release_speed:r release_spin_rate:n"
 
@@ -212,6 +212,22 @@ def _(t):
     return loading.upsert_records(new, old, ["pitcher_name", "injury_date"])
 
 
+@query("upsert_by_month", "pitcher_name:s injury_date:d source:s notes:s updated_at:d", """
+SELECT pitcher_name, injury_date, source, notes, updated_at FROM (
+    SELECT pitcher_name, injury_date, source, notes, DATE '2024-05-01' AS updated_at, 0 AS n FROM injury_reports
+    UNION ALL SELECT pitcher_name, injury_date, source, notes, DATE '2024-06-01', 1 FROM injury_reports WHERE day(injury_date) = 3)
+QUALIFY row_number() OVER (PARTITION BY pitcher_name, injury_date ORDER BY updated_at DESC, n DESC, source DESC, notes DESC) = 1""", "injury_reports")
+def _(t):
+    """The same upsert on a stored table by month; the second batch goes to the months of its days, twice."""
+    base = t.injury_reports.select("pitcher_name", "injury_date", "source", "notes").withColumn("updated_at", F.lit("2024-05-01").cast("date"))
+    table = partitions.PartitionedTable(t.spark, shared_folder(t.spark, "injury-records"), "date_format(injury_date, 'yyyy-MM')", base.schema)
+    keys = ["pitcher_name", "injury_date"]
+    loading.upsert_batch(table, base, keys, "first")
+    for _ in range(2):
+        loading.upsert_batch(table, base.where(F.dayofmonth("injury_date") == 3).withColumn("updated_at", F.lit("2024-06-01").cast("date")), keys, "second")
+    return table.read()
+
+
 @query("register_missing_pitchers", "pitcher_id:n name:s team:s role:s total_pitches:n first_game:d last_game:d baseline_velocity:r baseline_spin_rate:n", """
 SELECT pitcher_id, 'MLB Pitcher ' || pitcher_id AS name, 'MLB' AS team, CASE WHEN count(*) > 50 THEN 'starter' ELSE 'reliever' END AS role,
   count(*) AS total_pitches, min(game_date) AS first_game, max(game_date) AS last_game, avg(release_speed) AS baseline_velocity, 2200 AS baseline_spin_rate

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moundwork.sources.partitions import PartitionedTable
+
 PITCH_KEY = ("pitcher_id", "game_date", "at_bat_id", "pitch_number")
 GAME_KEY = ("pitcher_id", "game_date")
 PITCHER_KEY = ("pitcher_id",)
@@ -36,6 +38,18 @@ def upsert_records(new: DataFrame, existing: DataFrame, keys: Sequence[str], sta
     )
 
 
+def upsert_batch(table: PartitionedTable, new: DataFrame, keys: Sequence[str], batch: str, stamp: str = "updated_at") -> None:
+    """Upsert into the partitions that hold the batch's keys; no other file is read or written.
+
+    The partition must follow from the keys, so a key's old row is in the partition of its new one.
+    """
+    if table.has(batch):
+        return
+    touched = table.parts_of(new)
+    merged = upsert_records(new, table.read(touched), keys, stamp)
+    table.replace(merged, touched, batch, spread=keys[0])
+
+
 def missing_pitcher_profiles(pitches: DataFrame, pitchers: DataFrame, above_id: int = 500_000, starter_pitches: int = 50) -> DataFrame:
     """Profiles for pitch ids without one. Ids are aggregated before the anti join."""
     per = pitches.where(F.col("pitcher_id") > above_id).groupBy("pitcher_id").agg(
