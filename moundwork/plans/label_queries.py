@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moundwork.operators import labels as op
-from moundwork.operators import lookups, rolling, scoring, selection
+from moundwork.operators import lookups, neighbours, rolling, scoring, selection
 from moundwork.operators.appearances import labels_per_pitcher
 from moundwork.plans.registry import query, sql_table
 from moundwork.plans.rolling_queries import AS_OF
@@ -266,6 +266,45 @@ def _(t):
     return selection.oversample(stored_labelled(t).select("pitcher_id", "as_of_date", "y"), "y", 0.5)
 
 
+SMOTE_RATIO = 2.0
+SMOTE_FEATURES = ("roll21d_pitch_count", "roll7d_pitch_count", "roll21d_vel_decline", "vel_trend_slope")
+sql_table("minority", f"""
+SELECT pitcher_id, as_of_date, {', '.join(f"coalesce(CAST({f} AS DOUBLE), 0) AS {f}" for f in SMOTE_FEATURES)} FROM labelled_snapshots WHERE y = 1""", "labelled_snapshots")
+sql_table("minority_neighbours", f"""
+SELECT pitcher_id, as_of_date, other, other_date, d2, row_number() OVER (PARTITION BY pitcher_id, as_of_date ORDER BY d2, other, other_date) AS rank FROM (
+  SELECT a.pitcher_id, a.as_of_date, b.pitcher_id AS other, b.as_of_date AS other_date,
+    {' + '.join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in SMOTE_FEATURES)} AS d2 FROM scaled_minority a, scaled_minority b
+  WHERE a.pitcher_id <> b.pitcher_id OR a.as_of_date <> b.as_of_date) QUALIFY rank <= 5""", "scaled_minority")
+sql_table("scaled_minority", f"""
+SELECT pitcher_id, as_of_date, {', '.join(f"coalesce(({f} - min({f}) OVER ()) / nullif(max({f}) OVER () - min({f}) OVER (), 0), 0) AS {f}" for f in SMOTE_FEATURES)}
+FROM minority""", "minority")
+
+
+@query("minority_nearest", "pitcher_id:n as_of_date:d rank:n other:n other_date:d d2:r", "SELECT * FROM minority_neighbours", "minority_neighbours")
+def _(t):
+    rows = stored_labelled(t, *SMOTE_FEATURES).where("y = 1")
+    near = neighbours.nearest_rows(rows, ["pitcher_id", "as_of_date"], SMOTE_FEATURES)
+    return near.select("*", F.col("neighbour.pitcher_id").alias("other"), F.col("neighbour.as_of_date").alias("other_date"))
+
+
+@query("smote", f"pitcher_id:n as_of_date:d copy:n other:n other_date:d {' '.join(f'{f}:r' for f in SMOTE_FEATURES)}", f"""
+SELECT c.pitcher_id, c.as_of_date, c.copy, n.other, n.other_date,
+  {', '.join(f"m.{f} + CAST('0x' || substr(c.digest, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE * (o.{f} - m.{f}) AS {f}" for f in SMOTE_FEATURES)}
+FROM (SELECT *, md5(concat_ws('|', pitcher_id, as_of_date, copy, 42)) AS digest FROM (
+    SELECT pitcher_id, as_of_date, unnest(range(1, CAST(floor(f) + CASE WHEN CAST('0x' || left(md5(concat_ws('|', pitcher_id, as_of_date, 42)), 8) AS BIGINT) / 4294967296.0::DOUBLE < f - floor(f) THEN 1 ELSE 0 END AS BIGINT) + 1)) AS copy
+    FROM minority, (SELECT greatest(0, count(*) FILTER (y = 0) * {SMOTE_RATIO}::DOUBLE / count(*) FILTER (y = 1) - 1) AS f FROM labelled_snapshots))) c
+JOIN (SELECT pitcher_id, as_of_date, count(*) AS k FROM minority_neighbours GROUP BY ALL) k ON c.pitcher_id = k.pitcher_id AND c.as_of_date = k.as_of_date
+JOIN minority_neighbours n ON c.pitcher_id = n.pitcher_id AND c.as_of_date = n.as_of_date
+  AND n.rank = 1 + floor(CAST('0x' || left(c.digest, 8) AS BIGINT) / 4294967296.0::DOUBLE * k.k)
+JOIN minority m ON c.pitcher_id = m.pitcher_id AND c.as_of_date = m.as_of_date
+JOIN minority o ON n.other = o.pitcher_id AND n.other_date = o.as_of_date""", "labelled_snapshots minority minority_neighbours")
+def _(t):
+    """New rows of the minority until it is ``SMOTE_RATIO`` of the majority."""
+    rows = stored_labelled(t, *SMOTE_FEATURES)
+    made = neighbours.smote(rows, "y", ["pitcher_id", "as_of_date"], SMOTE_FEATURES, SMOTE_RATIO)
+    return made.select("*", F.col("neighbour.pitcher_id").alias("other"), F.col("neighbour.as_of_date").alias("other_date"))
+
+
 @query("riskiest_pitchers", "pitcher_id:n name:s as_of_date:d roll7d_pitch_count:n roll21d_pitch_count:n score:r risk_bucket:s", """
 SELECT *, CASE WHEN score < 0.1::DOUBLE THEN 'low' WHEN score < 0.3::DOUBLE THEN 'medium' ELSE 'high' END AS risk_bucket
 FROM newest_scores WHERE score IS NOT NULL ORDER BY score DESC, roll21d_pitch_count DESC, pitcher_id LIMIT 20""", "newest_scores")
