@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_BITS = 18
+MAX_BITS = 18  # of a code, or one more than it takes to number the used ids, up to WIDEST
+WIDEST = 25  # the decoder reads codes from windows of 32 bits that begin on a byte
 EVERY = 64  # ids between two checkpoints
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``max_bits`` (package-merge); 0 for ids that do not occur."""
+    """Optimal code lengths (package-merge) of at most ``max_bits``, more if the ids are too many for that; 0 for ids that do not occur."""
     counts = np.asarray(counts, np.int64)
     lengths = np.zeros(len(counts), np.uint8)
     used = np.nonzero(counts)[0]
     if len(used) < 2:
         lengths[used] = 1
         return lengths
+    max_bits = max(max_bits, min(WIDEST, len(used).bit_length() + 1))
     if len(used) > 1 << max_bits:
         raise ValueError(f"{len(used)} ids need codes longer than {max_bits} bits")
     order = used[np.argsort(counts[used], kind="stable")]

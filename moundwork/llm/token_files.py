@@ -32,17 +32,17 @@ BLOCK_IDS = 500_000
 ROWS_PER_RANGE = 4_000
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """All low bytes, then all next bytes and so on: the upper ones then compress to nearly nothing."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids of two bytes where they fit, else of four."""
+    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes()
 
 
-def _ids(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def _ids(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // n}" if n else "<u2")
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``mark`` (hash of the text), ``n_ids`` and ``planes``, written once: the only pass of the tokenizer."""
+    """``key``, ``mark`` (hash of the text), ``n_ids`` and ``packed`` ids, written once: the only pass of the tokenizer."""
     small_batches(docs.sparkSession)
     closing = np.array([end], "<u4").tobytes()
 
@@ -51,11 +51,11 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_i
             ids = [np.frombuffer(data + closing, "<u4") for data in words_of(tokenizer).encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([_planes(x) for x in ids], pa.binary())], ["key", "mark", "n_ids", "planes"])
+                pa.array([_packed(x) for x in ids], pa.binary())], ["key", "mark", "n_ids", "packed"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark"))
-    return written_once(rows.mapInArrow(run, f"key {kind}, mark long, n_ids long, planes binary"), "token-ids")
+    return written_once(rows.mapInArrow(run, f"key {kind}, mark long, n_ids long, packed binary"), "token-ids")
 
 
 def _counts(staged: DataFrame) -> np.ndarray:
@@ -64,14 +64,14 @@ def _counts(staged: DataFrame) -> np.ndarray:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            more = np.bincount(np.concatenate([_ids(planes) for planes in batch.column(0).to_pylist()]))
+            more = np.bincount(np.concatenate([_ids(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]))
             if len(more) > len(total):
                 total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
             total[: len(more)] += more
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    summed = staged.select("planes").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = staged.select("packed", "n_ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = summed.collect()  # at most one row per vocabulary entry
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, np.int64)
     for r in rows:
@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = E
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.concatenate([_ids(planes) for planes in batch.column(4).to_pylist()])
+            ids = np.concatenate([_ids(*r) for r in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist())])
             coded = huffman.encode(ids, batch.column(3).to_numpy().astype(np.int64), codes, lengths)
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(i) for i in range(4)), pa.array([c[0] for c in coded], pa.binary()),
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = E
                 ["part", "key", "mark", "n_ids", "payload", "checkpoints"])
 
     kind = docs.schema[key].dataType.simpleString()
-    coded = ranged.select("part", "key", "mark", "n_ids", "planes").mapInArrow(
+    coded = ranged.select("part", "key", "mark", "n_ids", "packed").mapInArrow(
         encode, f"part int, key {kind}, mark long, n_ids long, payload binary, checkpoints binary")
     ordered = coded.repartition(ranges, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "mark")
 

@@ -238,3 +238,19 @@ def test_op10_query(spark, folder, documents):
         ids = np.array([*tokenizer.encode(documents[key].text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (rows[key].start, rows[key].n_tokens, rows[key].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_codes_for_more_ids_than_eighteen_bits_number():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 1000, 300_000)
+    counts[:10] = 10**9
+    lengths = huffman.code_lengths(counts)
+    assert lengths.min() > 0 and np.ldexp(1.0, -lengths.astype(int)).sum() <= 1 + 1e-9
+    ids = rng.integers(0, 300_000, 1000).astype(np.int64)
+    sizes = np.array([700, 300])
+    decoder = huffman.Decoder(lengths)
+    parts = huffman.encode(ids, sizes, huffman.canonical(lengths), lengths)
+    for (payload, points), own in zip(parts, np.split(ids, [700])):
+        left = np.full(len(points), huffman.EVERY)
+        left[-1] = len(own) - huffman.EVERY * (len(points) - 1)
+        assert decoder.decode(payload, points, left).tolist() == own.tolist()
