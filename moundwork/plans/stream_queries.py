@@ -31,6 +31,19 @@ def _(t):
     return st.newest_changes(t.spark, out, ["pitcher_id", "game_date"])
 
 
+@query("stream_daily_compacted", "pitcher_id:n game_date:d pitches_thrown:n avg_vel:r vel_std:r avg_spin:r", f"""
+SELECT pitcher_id, game_date, count(*) AS pitches_thrown, {half_even('avg(release_speed)', 2)} AS avg_vel,
+  coalesce({half_even('stddev_samp(release_speed)', 2)}, 0) AS vel_std, {half_even('avg(release_spin_rate)', 2)} AS avg_spin FROM pitch_events GROUP BY 1, 2""", "pitch_events")
+def _(t):
+    """The daily stream with its changes compacted and the merged epochs deleted."""
+    out, checkpoint = paths(t, "daily-compacted")
+    st.run_changes(st.daily_appearances(st.open_events(t.spark, t.folder)), out, checkpoint)
+    keys = ["pitcher_id", "game_date"]
+    st.compact(t.spark, out, keys)
+    st.drop_compacted(t.spark, out)
+    return st.newest_changes(t.spark, out, keys)
+
+
 @query("stream_rolling_workload", "pitcher_id:n first_day:d last_day:d pitches:n avg_vel:r", """
 SELECT pitcher_id, first_day, first_day + 6 AS last_day, count(*) AS pitches, avg(release_speed) AS avg_vel FROM (
   SELECT *, game_date - CAST(unnest(range(0, 7)) AS INTEGER) AS first_day FROM pitch_events) GROUP BY 1, 2""", "pitch_events")

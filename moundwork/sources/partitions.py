@@ -35,6 +35,9 @@ class Files:
     def exists(self, path: str) -> bool:
         return self.system.exists(self.path(path))
 
+    def remove(self, path: str) -> None:
+        self.system.delete(self.path(path), True)
+
     def put(self, path: str, value: dict) -> None:
         """Write a file beside ``path`` and rename it; an existing one is an error."""
         parent, _, name = path.rpartition("/")

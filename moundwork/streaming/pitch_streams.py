@@ -3,11 +3,13 @@
 Sources are file folders read as streams; ``availableNow`` with a checkpoint takes the place of a
 stored "last processed" date. Aggregates run in update mode and write each micro-batch's changed
 rows to its own ``epoch=`` folder, which a replay overwrites, so a restarted job repeats nothing.
-Readers keep the newest epoch of every key.
+Readers keep the newest epoch of every key; ``compact`` merges epochs into a base table, so that readers
+scan one base and the epochs since, however long the stream has run.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from moundwork.bindings import half_even, shape_events
+from moundwork.sources.partitions import Files
 
 DELAY = "1 day"
 
@@ -52,13 +55,68 @@ def _save_changes(folder: str) -> Callable[[DataFrame, int], None]:
     return save
 
 
-def newest_changes(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
-    """The current table behind a folder of changes."""
-    changes = spark.read.option("basePath", folder).parquet(folder)
+def _compacted(files: Files, folder: str) -> dict | None:
+    """The newest commit of a folder of changes: ``path`` of its base and ``upto``, the last epoch in it."""
+    commits = [n for n in files.names(f"{folder}/_commits") if n.endswith(".json") and n[0] != "."]
+    return files.get(f"{folder}/_commits/{max(commits)}") if commits else None
+
+
+def _finished(files: Files, folder: str, after: int) -> list[int]:
+    """Epochs behind ``after`` that are written in full."""
+    found = [int(n.removeprefix("epoch=")) for n in files.names(folder) if n.startswith("epoch=")]
+    return sorted(e for e in found if e > after and files.exists(f"{folder}/epoch={e}/_SUCCESS"))
+
+
+def _newest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in changes.columns if c not in (*keys, "epoch")]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(
-        *keys, *[F.col(f"_r.{c}").alias(c) for c in rest]
-    )
+    return changes.groupBy(*keys).agg(F.max("epoch").alias("epoch"), F.max_by(F.struct(*rest), "epoch").alias("_r")).select(
+        *keys, *[F.col(f"_r.{c}").alias(c) for c in rest], "epoch")
+
+
+def _changes(spark: SparkSession, folder: str, base: dict | None, epochs: Sequence[int]) -> DataFrame:
+    parts = [spark.read.parquet(f"{folder}/{base['path']}")] if base else []
+    if epochs:
+        later = spark.read.option("basePath", folder).parquet(*[f"{folder}/epoch={e}" for e in epochs])
+        parts.append(later.withColumn("epoch", F.col("epoch").cast("long")))
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+
+
+def newest_changes(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The current table behind a folder of changes: the last compaction and the epochs after it."""
+    files = Files(spark, folder)
+    base = _compacted(files, folder)
+    epochs = _finished(files, folder, base["upto"] if base else -1)
+    return _newest(_changes(spark, folder, base, epochs), keys).drop("epoch")
+
+
+def compact(spark: SparkSession, folder: str, keys: Sequence[str]) -> bool:
+    """Merge all finished epochs into a new base; true if there was something to merge.
+
+    The base is written beside the old one and takes its place when a commit file appears, so readers see the old
+    state or the new one, never half of either, and a run that dies leaves only a folder that nobody
+    reads. Streams may go on writing later epochs meanwhile; one compaction at a time.
+    """
+    files = Files(spark, folder)
+    base = _compacted(files, folder)
+    epochs = _finished(files, folder, base["upto"] if base else -1)
+    if not epochs:
+        return False
+    path = f"_base/{uuid.uuid4().hex}"
+    _newest(_changes(spark, folder, base, epochs), keys).write.parquet(f"{folder}/{path}")
+    files.put(f"{folder}/_commits/{epochs[-1]:012d}.json", {"path": path, "upto": epochs[-1]})
+    return True
+
+
+def drop_compacted(spark: SparkSession, folder: str) -> None:
+    """Delete the epochs and bases that the last commit has replaced; for a time when no reader from before it is at work."""
+    files = Files(spark, folder)
+    base = _compacted(files, folder)
+    if base is None:
+        return
+    old = [f"epoch={e}" for e in _finished(files, folder, -1) if e <= base["upto"]]
+    old += [f"_base/{n}" for n in files.names(f"{folder}/_base") if f"_base/{n}" != base["path"]]
+    for name in old:
+        files.remove(f"{folder}/{name}")
 
 
 def ingest_to(events: DataFrame, folder: str, checkpoint: str, keys: Sequence[str] = ("event_id",)) -> StreamingQuery:

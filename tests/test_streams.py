@@ -121,3 +121,31 @@ def test_late_pitches_withdraw_an_alert(spark, tmp_path):
     daily = frame(first + late).groupBy("pitcher_id", "game_date").agg(F.count("*").alias("pitches_thrown"))
     got = rows(st.read_alerts(spark, out).select("pitcher_id", "game_date", "load"))
     assert got == rows(st.load_crossings(daily, 5)) and [str(r[1]) for r in got] == ["2024-01-02"]
+
+
+def test_compaction_keeps_the_rows_and_bounds_the_files(spark, inbox, tmp_path, monkeypatch):
+    out, cp, keys = str(tmp_path / "o"), str(tmp_path / "c"), ["pitcher_id", "game_date"]
+
+    def run():
+        st.run_changes(st.daily_appearances(st.open_events(spark, inbox, per_batch=1)), out, cp)
+
+    def got():
+        return rows(st.newest_changes(spark, out, keys))
+
+    run()
+    before = got()
+    assert before == rows(st.daily_appearances(batch(spark, inbox)))
+    with monkeypatch.context() as patch:  # the run dies between the new base and its commit
+        patch.setattr(st.Files, "put", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            st.compact(spark, out, keys)
+    assert got() == before
+    assert st.compact(spark, out, keys) and got() == before and not st.compact(spark, out, keys)
+    assert all("/_base/" in f for f in st.newest_changes(spark, out, keys).inputFiles())
+    st.drop_compacted(spark, out)
+    assert got() == before and not list((tmp_path / "o").glob("epoch=*"))
+    write(spark, inbox, "c", [event(i, 6 * i, pitcher=1 + i % 2) for i in range(60, 70)])  # a day in the base goes on
+    run()
+    after = rows(st.daily_appearances(batch(spark, inbox)))
+    assert got() == after != before
+    assert st.compact(spark, out, keys) and got() == after
