@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import subprocess
+import sys
+
 import pytest
 from parity import compare, open_views
 
@@ -30,3 +34,22 @@ def test_entry_points():
 
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert len(driver.queries()) > 150
+
+
+def test_queries_load_without_the_corpus_part_or_its_libraries():
+    """Hidden modules must not take the other queries away."""
+    code = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[0] == HIDE or name == HIDE:
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as entry
+names = entry.queries()
+assert len(names) > 250 and "pipeline" not in names and "pipeline" not in entry.oracle_sql()
+"""
+    root = pathlib.Path(__file__).resolve().parents[1]
+    for hidden in ("corpus_pipeline", "moundwork.llm", "xxhash"):
+        found = subprocess.run([sys.executable, "-c", f"HIDE = {hidden!r}\n{code}"], cwd=root, capture_output=True, text=True)
+        assert found.returncode == 0, found.stderr
