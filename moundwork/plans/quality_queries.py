@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from moundwork.operators import gate_states, rolling
 from moundwork.operators import quality as op
-from moundwork.operators import rolling
 from moundwork.plans.label_queries import scores_of
 from moundwork.plans.registry import query, sql_table
+from moundwork.session import shared_folder
 
 GATE = "gate:s check:s season:n observed:r threshold:r severity:s passed:b"
 AS_OF = "2001-06-30"
@@ -106,6 +107,30 @@ def _(t):
     return op.quality_report(merged)
 
 
+STORED = " UNION ALL ".join([
+    """SELECT * FROM gate_row_counts WHERE "check" <> 'total_pitchers'""", "SELECT * FROM gate_data_ranges", "SELECT * FROM gate_temporal", "SELECT * FROM gate_monotonic",
+    gate_sql("missing_data", "SELECT " + ", ".join(
+        f"100 * avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS n{i}" for i, c in enumerate(("release_speed", "release_spin_rate", "pitch_type"))) + " FROM pitches",
+        [high("null_velocity_pct", "n0", 3), high("null_spin_pct", "n1", 5), high("null_pitch_type_pct", "n2", 1, "warning")]),
+    gate_sql("duplicates", "SELECT (sum(n) - count(*)) * 100.0::DOUBLE / sum(n) AS pct, count(*) FILTER (n > 1) AS g FROM (SELECT count(*) AS n FROM pitches GROUP BY pitcher_id, game_date, at_bat_id, pitch_number)",
+        [high("duplicate_pct", "pct", 0.1), high("duplicate_groups", "g", 0, "warning")])])
+
+
+@query("quality_report_incremental", GATE, STORED, "gate_row_counts gate_data_ranges gate_temporal gate_monotonic pitches")
+def _(t):
+    """Gates from states of three batches: the older days, the newer ones, and a month that was sent half and comes again."""
+    states = gate_states.GateStates(t.spark, shared_folder(t.spark, "gate-states"), t.pitches, t.appearances)
+
+    def days(low, high):
+        return [df.where(F.col("game_date").between(F.lit(low).cast("date"), F.lit(high).cast("date"))) for df in (t.pitches, t.appearances)]
+
+    pitches, games = days("1900-01-01", "2000-06-30")
+    states.put(pitches.where((F.col("game_date") < F.lit("2000-06-01").cast("date")) | (F.col("pitch_number") <= 3)), games, "first")
+    states.put(*days("2000-07-01", "2999-12-31"), "second")
+    states.put(*days("2000-06-01", "2000-06-30"), "again")
+    return states.gates(AS_OF, MIN_PITCHES, MIN_GAMES)
+
+
 def rules_sql(table: str, rules) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (NOT ({c})) AS violations, count(*) AS rows FROM {table}" for n, c in rules.items())
 
