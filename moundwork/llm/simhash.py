@@ -300,7 +300,9 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
-    """``bucket``, ``mark`` and ``n`` (shingles of the text): the rarest shingles of every text, as many as decide.
+    """``bucket`` and ``mark``: the rarest shingles of every text, as many as decide.
+
+    Further ``n``, the shingles of the text, ``shared``, those that some other text has, and ``place``, the bucket's place among these.
 
     Texts that share ``least`` of their shingles have more than ``n - ceil(least * n)`` of each in common, so
     in any one order of all shingles their first ``n - ceil(least * n) + 1`` meet. From rare to common, texts
@@ -313,7 +315,7 @@ def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
     ranked = rows.join(often, "bucket").withColumns({
         "place": F.row_number().over(own.orderBy("times", "bucket")), "shared": F.count(F.lit(1)).over(own)})
     decisive = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    return ranked.where(F.col("place") <= decisive - (F.col("n") - F.col("shared"))).select("bucket", "mark", "n")
+    return ranked.where(F.col("place") <= decisive - (F.col("n") - F.col("shared"))).select("bucket", "mark", "n", "shared", "place")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -335,9 +337,11 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def verified_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
     """``node`` and ``root`` of all marks with a similar one; None if there are none.
 
-    ``members`` holds (``bucket``, ``mark``, ``n``), ``sets`` the shingles of the marks. In every round some
-    members of a bucket lead it: they are compared with all others of the bucket that are not yet in
-    their component and whose number of shingles allows the similarity, and then leave it. A bucket is
+    ``members`` are ``rare_shingles`` of ``sets``. In every round some members of a bucket lead it: they
+    are compared with all others of the bucket that are not yet in their component, and then leave it.
+    Pairs that cannot reach ``least`` are left out: both follow one order, so they share at most as many
+    shingles up to the bucket as the one has that has fewer there, and behind it likewise; shingles of a
+    single text never count, so members of a crowd that each have some of their own drop out. A bucket is
     done once the rest is one component, so a family of near copies takes one comparison a copy, and in
     the end every pair of a bucket has been compared or is connected. Leaders quadruple from round to round.
     """
@@ -346,17 +350,19 @@ def verified_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFra
     roots, lead = None, 1
     while True:
         live = members.withColumn("root", F.col("mark")) if roots is None else members.join(
-            roots.withColumnRenamed("node", "mark"), "mark", "left").select("bucket", "mark", "n", F.coalesce("root", "mark").alias("root"))
+            roots.withColumnRenamed("node", "mark"), "mark", "left").select("bucket", "mark", "n", "shared", "place", F.coalesce("root", "mark").alias("root"))
         crowded = live.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("all"), F.min("mark").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
         chance = F.pmod(F.xxhash64("mark", F.lit(lead)), F.lit(1 << 30)) * F.col("all") < (lead - 1) * (1 << 30)
         live = written_once(live.join(crowded.where("low < high").select("bucket", "all", "first"), "bucket").select(
-            "bucket", "mark", "n", "root", ((F.col("mark") == F.col("first")) | chance).alias("leads")), "buckets")
+            "bucket", "mark", "n", "shared", "place", "root", ((F.col("mark") == F.col("first")) | chance).alias("leads")), "buckets")
         if live.isEmpty():
             return roots
-        leaders = live.where("leads").select("bucket", F.col("mark").alias("leader"), F.col("root").alias("its"), F.col("n").alias("its_n"))
-        alike = F.least("n", "its_n") >= F.greatest("n", "its_n") * least - 1e-9
-        pairs = live.join(leaders, "bucket").where((F.col("root") != F.col("its")) & alike).select(
+        leaders = live.where("leads").select("bucket", F.col("mark").alias("leader"), F.col("root").alias("its"), *[
+            F.col(c).alias(f"its_{c}") for c in ("n", "shared", "place")])
+        most = F.least("place", "its_place") + F.least(F.col("shared") - F.col("place"), F.col("its_shared") - F.col("its_place"))
+        enough = most * (1 + least) >= (F.col("n") + F.col("its_n")) * least - 1e-6
+        pairs = live.join(leaders, "bucket").where((F.col("root") != F.col("its")) & enough).select(
             F.least("mark", "leader").alias("a"), F.greatest("mark", "leader").alias("b")).distinct()
         for earlier in tested:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
@@ -366,7 +372,7 @@ def verified_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFra
         for more in links[1:]:
             found = found.unionByName(more)
         roots = components(found)
-        members = live.where("not leads").select("bucket", "mark", "n")
+        members = live.where("not leads").select("bucket", "mark", "n", "shared", "place")
         lead *= 4
 
 
