@@ -9,7 +9,9 @@ and the next character, or the prefix alone where a word ends.
 The frontier holds states (word, position, node, edits). A word walks its own path without an edit;
 at every node from its middle on it also tries the other edges with one replaced, inserted or deleted
 character, and from there it only follows exact edges, one join a level. A state that uses up its word
-at the end of another word is a pair. An edit in the first half of a word is one in the second half
+at the end of another word is a pair. What is left of a state's word is known, so the word that it
+looks for is known too: an edge carries a filter of 64 bits of the words behind it, and a state whose
+word is not in the filter cannot end in a pair and goes no further. An edit in the first half of a word is one in the second half
 of the reversed word, so every word is in the trie twice, forwards behind ``>`` and backwards behind
 ``<``, and no word fans out near the root, where all words meet.
 
@@ -60,13 +62,28 @@ def _common(a: str, b: str) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.length(a)).cast("int")
 
 
+def _bit(text: Column) -> Column:
+    """The bit of a word in the filter of an edge."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(text), F.lit(64)).cast("int"))
+
+
+def _hopeful(states: DataFrame) -> DataFrame:
+    """States whose word, with the edit made, may be one of those behind their edge."""
+    wanted = F.concat("child", _part("text", F.col("at"), F.length("text")))
+    return states.where(F.col("below").bitwiseAND(_bit(wanted)) != 0).drop("below")
+
+
 def _edges(own: DataFrame) -> DataFrame:
-    """Edges out of the nodes that the words of ``own`` stand at: ``node``, ``step``, ``child``, ``leaf``, ``n``."""
+    """Edges out of the nodes that the words of ``own`` stand at: ``node``, ``step``, ``child``, ``leaf``, ``n``.
+
+    Further ``below``, the filter of the words behind the edge, and ``shortest`` and ``longest``, their least and greatest length.
+    """
     grouped = own.groupBy("step", "depth").agg(
-        F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.min("text").alias("low"), F.max("text").alias("high"))
+        F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.min("text").alias("low"), F.max("text").alias("high"),
+        F.bit_or(_bit(F.col("text"))).alias("below"), F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"))
     leaf = F.col("words") == 1
     child = F.when(leaf, F.col("low")).otherwise(_part("low", F.lit(0), _common("low", "high")))
-    return grouped.select(_part("step", F.lit(0), F.col("depth")).alias("node"), "step", child.alias("child"), leaf.alias("leaf"), "n")
+    return grouped.select(_part("step", F.lit(0), F.col("depth")).alias("node"), "step", child.alias("child"), leaf.alias("leaf"), "n", "below", "shortest", "longest")
 
 
 def _standing(words: DataFrame) -> DataFrame:
@@ -76,26 +93,31 @@ def _standing(words: DataFrame) -> DataFrame:
 
 def _parted(own: DataFrame, edges: DataFrame) -> DataFrame:
     """States after the one edit, made where a word leaves its own path."""
-    here = own.where("depth >= half").select("text", "depth", F.col("step").alias("taken"), _part("text", F.lit(0), F.col("depth")).alias("node"))
-    tried = here.join(edges, "node").where("step <> taken")
-    depth, size, longest = F.col("depth"), F.length("child"), F.length("text")
+    here = own.where("depth >= half").select(
+        "text", "depth", F.length("text").alias("letters"), F.col("step").alias("taken"), _part("text", F.lit(0), F.col("depth")).alias("node"))
+    tried = here.join(edges, "node").where("step <> taken and shortest <= letters + 1 and longest >= letters - 1")
+    depth, size, letters = F.col("depth"), F.length("child"), F.col("letters")
     label = size - depth
     rest = _part("child", depth + 1, label - 1)  # the edge behind its first character
-    ends = F.array_compact(F.array(
-        F.when((label > 0) & (longest >= size) & (rest == _part("text", depth + 1, label - 1)), size),
-        F.when((label > 0) & (longest >= size - 1) & (rest == _part("text", depth, label - 1)), size - 1),
-        F.when((longest >= size + 1) & (_part("child", depth, label) == _part("text", depth + 1, label)), size + 1)))
-    return tried.select("text", "child", "leaf", "n", F.explode(ends).alias("at"))
+
+    def wanted(more: int) -> Column:
+        return (F.col("shortest") <= letters + more) & (F.col("longest") >= letters + more)
+
+    ends = F.array(
+        F.when(wanted(0) & (label > 0) & (letters >= size) & (rest == _part("text", depth + 1, label - 1)), size),
+        F.when(wanted(1) & (label > 0) & (letters >= size - 1) & (rest == _part("text", depth, label - 1)), size - 1),
+        F.when(wanted(-1) & (letters >= size + 1) & (_part("child", depth, label) == _part("text", depth + 1, label)), size + 1))
+    return _hopeful(tried.select("text", "child", "leaf", "n", "below", F.explode(ends).alias("at")).where("at is not null"))
 
 
 def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States one exact edge further; where a word is used up the edge of a word that ends there."""
     step = F.concat("child", _part("text", F.col("at"), F.lit(1)))
     moving = states.select("text", "at", F.col("child").alias("node"), step.alias("step"))
-    on = moving.join(edges.select("step", F.col("node").alias("from"), "child", "leaf", "n"), "step").where(F.col("from") == F.col("node"))
+    on = moving.join(edges.select("step", F.col("node").alias("from"), "child", "leaf", "n", "below"), "step").where(F.col("from") == F.col("node"))
     label = F.length("child") - F.length("node")
     same = _part("child", F.length("node"), label) == _part("text", F.col("at"), label)
-    return on.where(same).select("text", "child", "leaf", "n", (F.col("at") + label).alias("at"))
+    return _hopeful(on.where(same).select("text", "child", "leaf", "n", "below", (F.col("at") + label).alias("at")))
 
 
 def near_words(words: DataFrame) -> DataFrame:
