@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from moundwork.functions import text
 from moundwork.functions.barrier import compute_once
+from moundwork.session import written_once
 
 
 def parse_injury_text(df: DataFrame, column: str) -> DataFrame:
@@ -98,35 +99,62 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def name_parts(pitchers: DataFrame) -> DataFrame:
-    """Every substring of every pitcher name with the smallest pitcher id containing it.
+GRAM = 3
+NAMES_PER_SHARE = 10_000
 
-    Names are a few words long, so a row yields few substrings; grouping them makes the later
-    "name contains text" lookup an equality join without pair comparison.
+
+def name_grams(names: DataFrame) -> DataFrame:
+    """``gram`` and ``pitcher_id``: the distinct runs of one to ``GRAM`` characters of every name (``low``).
+
+    At most ``GRAM`` rows a character, however long the names are.
     """
-    low = F.lower("name")
-    starts = pitchers.select("pitcher_id", low.alias("_n"), F.explode(F.sequence(F.lit(1), F.length(low))).alias("_i"))
-    pieces = starts.select(
-        "pitcher_id",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("_n") - F.col("_i") + 1), lambda k: F.col("_n").substr(F.col("_i"), k)
-        )).alias("part"),
-    )
-    return pieces.groupBy("part").agg(F.min("pitcher_id").alias("pitcher_id"))
+    def runs_of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("low") - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.col("low").substr(i, F.lit(k)))
+
+    runs = F.flatten(F.array(*[runs_of(k) for k in range(1, GRAM + 1)]))
+    return names.select("pitcher_id", F.explode(F.array_distinct(runs)).alias("gram")).where("gram <> ''")
+
+
+def names_containing(needles: DataFrame, pitchers: DataFrame) -> DataFrame:
+    """``needle`` and ``found``, the smallest id of a pitcher whose lower-cased name contains it; needles that none contains are left out.
+
+    A needle of up to ``GRAM`` characters is a gram itself. A longer one is held against the names under the
+    rarest of its runs of ``GRAM`` characters; the names of a frequent run are dealt into shares, so that
+    none is one task. ``needles`` has distinct, non-empty ``needle``.
+    """
+    names = written_once(pitchers.where("name <> ''").groupBy(F.lower("name").alias("low")).agg(F.min("pitcher_id").alias("pitcher_id")), "names")
+    grams = written_once(name_grams(names), "name-grams")
+    totals = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("pitcher_id").alias("found"))
+    totals = written_once(totals.withColumn("shares", F.ceil(F.col("times") / NAMES_PER_SHARE).cast("int")), "gram-totals")
+    size = F.length("needle")
+    short = needles.where(size <= GRAM).join(totals.select(F.col("gram").alias("needle"), "found"), "needle")
+    starts = F.sequence(F.lit(1), size - GRAM + 1)
+    runs = needles.where(size > GRAM).select("needle", F.explode(F.array_distinct(
+        F.transform(starts, lambda i: F.col("needle").substr(i, F.lit(GRAM))))).alias("gram"))
+    rarest = runs.join(totals.select("gram", "times", "shares"), "gram", "left").groupBy("needle").agg(
+        F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram", "shares")).alias("r")).where("r.times > 0")
+    probes = rarest.select("needle", F.col("r.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.col("r.shares") - 1)).alias("share"))
+    dealt = grams.where(F.length("gram") == GRAM).join(totals.select("gram", "shares"), "gram").select(
+        "gram", "pitcher_id", F.pmod(F.xxhash64("pitcher_id"), F.col("shares")).cast("int").alias("share"))
+    candidates = probes.join(dealt, ["gram", "share"]).select("needle", "pitcher_id").join(names, "pitcher_id")
+    long = candidates.where(F.contains("low", "needle")).groupBy("needle").agg(F.min("pitcher_id").alias("found"))
+    return short.unionByName(long)
 
 
 def resolve_pitcher_ids(mentions: DataFrame, pitchers: DataFrame, name: str = "player_name", team: str = "team") -> DataFrame:
     """Exact (name, team), else a profile whose name contains the mention or its last word (the
     smallest id), else a surrogate id."""
     exact = pitchers.groupBy(F.col("name").alias(name), F.col("team").alias(team)).agg(F.min("pitcher_id").alias("_exact"))
-    parts = name_parts(pitchers)
-    whole = parts.select(F.col("part").alias("_whole"), F.col("pitcher_id").alias("_id_whole"))
-    tail = parts.select(F.col("part").alias("_last"), F.col("pitcher_id").alias("_id_last"))
     words = F.split(text.strip(F.col(name)), r"\s+")
     keyed = mentions.join(exact, [name, team], "left").withColumns({
         "_whole": F.when(F.col("_exact").isNull(), F.lower(name)),
         "_last": F.when(F.col("_exact").isNull(), F.lower(F.element_at(words, -1))),
     })
+    needles = keyed.select(F.explode(F.array("_whole", "_last")).alias("needle")).where("needle <> ''").distinct()
+    held = written_once(names_containing(written_once(needles, "needles"), pitchers), "names-found")
+    whole = held.select(F.col("needle").alias("_whole"), F.col("found").alias("_id_whole"))
+    tail = held.select(F.col("needle").alias("_last"), F.col("found").alias("_id_last"))
     found = keyed.join(whole, "_whole", "left").join(tail, "_last", "left")
     fuzzy = F.least("_id_whole", "_id_last")
     method = F.when(F.col("_exact").isNotNull(), "exact").when(fuzzy.isNotNull(), "fuzzy").otherwise("surrogate")
