@@ -14,8 +14,7 @@ def quality_sql() -> str:
         "exclaims": "n_exclaims / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
         "repeats": "n_repeat_words / greatest(n_words, 1)", "digits": "n_digits / greatest(word_chars, 1)",
     }
-    share = q.RISK / len(q.RULES)
-    level = q.DELTA / (len(q.RULES) * (len(q.STRATA) + 1))
+    share, error = q.RISK, q.DELTA / (len(q.STRATA) + 1)
     grid = ", ".join(
         f"('{rule}', {place}, {cut}::DOUBLE)" for rule, cuts in q.RULES.items() for place, cut in enumerate(cuts))
     values = " UNION ALL ".join(f"SELECT rn, doc_id, stratum, '{rule}' AS rule, {rule} AS value FROM measured" for rule in q.RULES)
@@ -42,16 +41,20 @@ measured AS (SELECT *, {', '.join(f'{expr} AS {rule}' for rule, expr in signals.
 signal AS ({values}),
 marks AS (SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 grid(rule, place, cut) AS (VALUES {grid}),
+levels AS (
+  SELECT s.rn, s.doc_id, stratum, place, max(value > cut) AS breaks
+  FROM signal s JOIN grid g ON s.rule = g.rule WHERE rn IN (SELECT rn FROM measured WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words))
+  GROUP BY ALL),
 cells AS (
-  SELECT stratum, g.rule, place, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND value > cut) AS k,
-    count(*) FILTER (NOT good AND value > cut) AS caught
-  FROM signal s JOIN marks m ON s.doc_id = m.doc_id JOIN grid g ON s.rule = g.rule GROUP BY ALL),
+  SELECT stratum, place, count(*) FILTER (good) AS n, count(*) FILTER (good AND breaks) AS k, count(*) FILTER (NOT good AND breaks) AS caught
+  FROM levels l JOIN marks m ON l.doc_id = m.doc_id GROUP BY ALL),
 tested AS (
   SELECT *, CASE WHEN n = 0 OR k >= n * {share}::DOUBLE THEN 1 ELSE
     list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}::DOUBLE) + (n - i) * ln(1 - {share}::DOUBLE)) for i in range(0, k + 1)]) END AS p FROM cells),
-cuts AS (
-  SELECT stratum, rule, arg_max(cut, (caught, cut)) AS cut FROM (
-    SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY place) AS worst FROM tested) WHERE worst <= {level}::DOUBLE AND caught > 0 GROUP BY 1, 2),
+chosen AS (
+  SELECT stratum, arg_max(place, (caught, -place)) AS place FROM (
+    SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY place) AS worst FROM tested) WHERE worst <= {error}::DOUBLE AND caught > 0 GROUP BY 1),
+cuts AS (SELECT stratum, rule, cut FROM chosen c JOIN grid g ON c.place = g.place),
 broken AS (
   SELECT rn, string_agg(s.rule, ',' ORDER BY list_position([{order}], s.rule)) AS broken
   FROM signal s JOIN cuts c ON s.stratum = c.stratum AND s.rule = c.rule WHERE value > cut GROUP BY 1)

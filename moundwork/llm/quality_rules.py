@@ -1,14 +1,14 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-``signals`` measures a text. A rule rejects a document when its signal is above a cutoff. Cutoffs
-are chosen per stratum (language) from a fixed grid: a cutoff is certified when the exact binomial
-test rejects "the rule throws away more than its share of good documents". A rule's share is
-``risk`` divided by the number of rules, so all rules together reject at most ``risk`` of the good
-documents of a stratum. The error ``delta`` is split over all (stratum, rule) pairs (Bonferroni); in
-a pair the cutoffs are tested from mild to strict and testing stops at the first that fails (fixed
-sequence), which needs no further correction. Of the certified cutoffs the one that catches most bad
-documents is taken, the milder on a tie, none if none catches any. With too few labels nothing is
-certified and the rule stays off.
+``signals`` measures a text. A rule rejects a document when its signal is above the rule's cutoff.
+All rules of a stratum (language) step from mild to strict together along one fixed path of levels.
+A level is certified when the exact binomial test rejects "more than ``risk`` of the good documents
+that pass the base rules break some rule at this level", so the bound holds for all rules jointly.
+The error ``delta`` is split over the strata (Bonferroni); within a stratum the levels are tested
+from mild to strict and testing stops at the first that fails (fixed sequence), which needs no
+further correction. Of the certified levels the one that catches most bad documents is taken, the
+milder on a tie, none if none catches any. At least ``least_labels()`` good labels (90) are needed
+before anything can be certified; with fewer the rules stay off in that stratum.
 
 Built-in column functions only. A null text counts as empty, a null or other language falls into the
 stratum ``other``, labels that disagree count as good (the careful side), documents without a label
@@ -18,6 +18,7 @@ only get judged. Empty tables and repeated rows are fine.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ RULES = {
     "repeats": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
     "digits": (0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
 }
+LEVELS = 8
 
 
 def signals(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -107,40 +109,48 @@ def lower_tail(k: Column, n: Column, share: float) -> Column:
     return F.when((n <= 0) | (k >= n * share), 1.0).when(k == 0, F.exp(first)).otherwise(F.least(F.lit(1.0), F.exp(summed)))
 
 
+def least_labels(risk: float = RISK, delta: float = DELTA) -> int:
+    """Good labels that a stratum needs before a level without any false rejection is certified."""
+    return math.ceil(math.log(delta / (len(STRATA) + 1)) / math.log1p(-risk))
+
+
+def _base_failed() -> Column:
+    n = F.col("n_words")
+    return (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
+
+
 def select_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with a nullable ``cut_<rule>`` each; ``measured`` carries the key in ``row``.
+    """One row per stratum with a certified level: ``cut_<rule>`` of every rule; ``measured`` carries the key in ``row``.
 
     At most ``len(STRATA) + 1`` rows, made from sums that are combined before any shuffle.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("mark_key")).agg(
         (F.max("quality") >= 1).alias("good"))
-    known = measured.select(F.col(f"row.{key}").alias("mark_key"), "stratum", *RULES).join(marks, "mark_key")
+    passing = measured.where(~_base_failed()).select(F.col(f"row.{key}").alias("mark_key"), "stratum", *RULES)
+    known = passing.join(marks, "mark_key")
     good = F.col("good")
     sums = [F.count(F.when(good, 1)).alias("n")]
-    for rule, cuts in RULES.items():
-        for i, cut in enumerate(cuts):
-            above = F.col(rule) > cut
-            sums += [F.count(F.when(above & good, 1)).alias(f"k_{rule}_{i}"), F.count(F.when(above & ~good, 1)).alias(f"b_{rule}_{i}")]
+    for level in range(LEVELS):
+        breaks = reduce(Column.__or__, [F.col(rule) > cuts[level] for rule, cuts in RULES.items()])
+        sums += [F.count(F.when(breaks & good, 1)).alias(f"k_{level}"), F.count(F.when(breaks & ~good, 1)).alias(f"b_{level}")]
     counted = known.groupBy("stratum").agg(*sums)
-    cells = F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("place"), F.lit(cut).alias("cut"), F.col(f"k_{rule}_{i}").alias("k"), F.col(f"b_{rule}_{i}").alias("caught"))
-        for rule, cuts in RULES.items() for i, cut in enumerate(cuts)])
-    grid = counted.select("stratum", "n", F.inline(cells))
-    tested = grid.withColumn("p", lower_tail(F.col("k"), F.col("n"), risk / len(RULES)))
-    in_order = Window.partitionBy("stratum", "rule").orderBy("place")
-    level = delta / (len(RULES) * (len(STRATA) + 1))
-    certified = tested.withColumn("worst", F.max("p").over(in_order)).where((F.col("worst") <= level) & (F.col("caught") > 0))
-    best = certified.groupBy("stratum", "rule").agg(F.max_by("cut", F.struct("caught", "cut")).alias("cut"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in RULES])
+    steps = F.array(*[
+        F.struct(F.lit(level).alias("level"), F.col(f"k_{level}").alias("k"), F.col(f"b_{level}").alias("caught"),
+                 *[F.lit(cuts[level]).alias(f"cut_{rule}") for rule, cuts in RULES.items()])
+        for level in range(LEVELS)])
+    path = counted.select("stratum", "n", F.inline(steps)).withColumn("p", lower_tail(F.col("k"), F.col("n"), risk))
+    in_order = Window.partitionBy("stratum").orderBy("level")
+    certified = path.withColumn("worst", F.max("p").over(in_order)).where(
+        (F.col("worst") <= delta / (len(STRATA) + 1)) & (F.col("caught") > 0))
+    order = F.struct("caught", -F.col("level"))
+    return certified.groupBy("stratum").agg(*[F.max_by(f"cut_{rule}", order).alias(f"cut_{rule}") for rule in RULES])
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Adds ``base_failed``, ``broken`` (names of the rules a document breaks) and ``kept``."""
-    n = F.col("n_words")
-    base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     marked = measured.join(F.broadcast(cutoffs), "stratum", "left")  # at most one row per stratum, five in all
     broken = F.array_compact(F.array(*[F.when(F.col(rule) > F.col(f"cut_{rule}"), F.lit(rule)) for rule in RULES]))
-    return marked.withColumn("base_failed", base).withColumn("broken", broken).withColumn(
+    return marked.withColumn("base_failed", _base_failed()).withColumn("broken", broken).withColumn(
         "kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop(*[f"cut_{rule}" for rule in RULES])
 
 
