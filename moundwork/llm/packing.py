@@ -1,14 +1,15 @@
 """Packing token pieces into sequences: first-fit decreasing in randomised groups.
 
 Every document is tokenised, closed with an end id and cut into whole sequences plus a rest. Pieces
-are spread at random (by a hash of document, place and seed) over groups of about ``GROUP`` pieces;
+are spread at random (by a hash of document, place, row and seed) over groups of about ``GROUP`` pieces;
 each group is packed on its own by first-fit decreasing, with a tournament tree of bin capacities
 that finds the first bin with room in logarithmic time. Since cutting is free, the emptiest bins of a
 group are then dissolved into the gaps of the others, so that all gaps of a group together are less
 than one sequence.
 
-Null and empty texts are documents of one end id. Repeated rows are packed as often as they come. A
-very long text spreads over the groups piece by piece. An empty table gives no pieces.
+Null and empty texts are documents of one end id. Repeated rows are packed as often as they come and
+spread over the groups like others. A very long text spreads over the groups piece by piece. An empty
+table gives no pieces.
 """
 
 from __future__ import annotations
@@ -31,12 +32,16 @@ SEED = 42
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit) and ``doc_tokens`` of every piece."""
+    """``key``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit) and ``doc_tokens`` of every piece.
+
+    Further ``place``, the number of its document's row in the task that read it.
+    """
     small_batches(docs.sparkSession)
     closing = np.array([end], "<u4").tobytes()
-    names = [key, "start", "length", "ids", "doc_tokens"]
+    names = [key, "start", "length", "ids", "doc_tokens", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             keys, rows = batch.column(0), []
             for i, ids in enumerate(words_of(tokenizer).encode(batch.column(1).to_pylist())):
@@ -46,13 +51,15 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
             if not rows:
                 continue
             place, start, size, data, total = zip(*rows)
+            places = np.array(place, np.int64) + seen
+            seen += len(keys)
             yield pa.RecordBatch.from_arrays([
                 keys.take(pa.array(place)), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
-                pa.array(data, pa.binary()), pa.array(total, pa.int64())], names)
+                pa.array(data, pa.binary()), pa.array(total, pa.int64()), pa.array(places)], names)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string")).mapInArrow(
-        run, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long")
+        run, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, place long")
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -112,7 +119,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int
 def pack(parts: DataFrame, n_groups: int, length: int = LENGTH, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The pieces, cut further where that fills a gap, with ``sequence_id`` and ``offset``."""
     small_batches(parts.sparkSession)
-    group = F.pmod(F.xxhash64(key, "start", "doc_tokens", F.crc32("ids"), F.lit(seed)), F.lit(n_groups))
+    group = F.pmod(F.xxhash64(key, "start", "doc_tokens", "place", F.crc32("ids"), F.lit(seed)), F.lit(n_groups))
     kind = parts.schema[key].dataType.simpleString()
 
     def run(group_key: tuple, table: pa.Table) -> pa.Table:
@@ -133,6 +140,12 @@ def pack(parts: DataFrame, n_groups: int, length: int = LENGTH, key: str = "doc_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, group: int = GROUP, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenise, cut and pack; the number of groups follows the number of documents."""
-    n_groups = max(1, math.ceil(docs.count() / group))
-    return pack(pieces(docs, tokenizer, length, end, key, text), n_groups, length, key)
+    """Tokenise, cut and pack. ``docs`` is a stored table: its rows are read twice and their places steer the groups.
+
+    The number of groups follows a bound on the number of pieces: a token is at least one byte, so a
+    document has at most ``bytes / length + 1`` pieces. No group has more than about ``group`` pieces,
+    however long the documents are.
+    """
+    bound = F.floor(F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) / length) + 1
+    most = docs.agg(F.sum(bound).alias("n")).first()["n"] or 0
+    return pack(pieces(docs, tokenizer, length, end, key, text), max(1, math.ceil(most / group)), length, key)

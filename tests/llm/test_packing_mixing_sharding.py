@@ -72,6 +72,15 @@ def test_packing_edges(docs_of):
     assert packing.pack_documents(docs.where("false"), queries.tokenizer_path()).count() == 0
 
 
+def test_groups_follow_the_pieces_and_equal_rows_part(docs_of):
+    docs = docs_of([(1, " ".join(["copy"] * 600), "en", "s")] * 60 + [(2, "words and more " * 30_000, "en", "s")])
+    rows = packing.pack_documents(docs, queries.tokenizer_path(), group=20).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert max(sizes.values()) <= 45 and len(sizes) > 10  # 20 pieces expected at most; a group's cuts add a few
+    copies = Counter(r.sequence_id >> 32 for r in rows if r.doc_id == 1)
+    assert sum(r.length for r in rows if r.doc_id == 1) == 60 * 601 and max(copies.values()) < 20
+
+
 def test_mixing_over_the_table(spark, folder, documents):
     sizes, source_of = {}, {k: d.source for k, d in documents.items()}
     for k, d in documents.items():
