@@ -1,7 +1,8 @@
 """Main text of web pages by differencing each page against its neighbour in URL order.
 
 A page becomes a list of text lines, one per block, with the places that hold menus, headers,
-footers, sidebars, notices, adverts, forms, comments and the like left out by element, role or class.
+footers, sidebars, notices, adverts, forms, comments and the like left out by element, role or class
+(inside an article element only by whole class names, since "share price" or "related-work" is text).
 Pages of a host are ordered by URL path; a page's partner is the page before it (for the first page
 of a host, the one after). Lines are aligned by longest common subsequence, and lines the two pages
 share are boilerplate and go. Lines of an explicit article element are known to be text: one that is
@@ -10,6 +11,8 @@ deleted, because it recurs in the partner, is put back. Lines outside it are kep
 Pages are dealt into ranges of (host, path, id) with one shuffle and walked in order; the last page
 of a range is also sent to the next one as a guest. A host of any size is spread over many ranges.
 Null html gives an empty text, null URLs form a host of their own, equal URLs are ordered by id.
+Repeated rows, also those with a null id, give a row each; an empty table gives none; a page may be of
+any length and is one row of one task; columns other than the three named ones are not read.
 """
 
 from __future__ import annotations
@@ -45,6 +48,10 @@ NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav|navbar|navigation|breadcrumbs?|cookies?|consent|"
     r"notices?|newsletter|subscribe|signup|popup|modal|overlay|social|share|sharing|related|recommend\w*|comments?|disqus|repl(?:y|ies)|"
     r"footer|masthead|login|search|pagination|pager|widget|toolbar|disclaimer|site-header|page-header)(?:$|[\s_-])", re.I)
+# Whole class names that are furniture inside an article as well; other names there may be the subject of its text.
+NAMED_INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo menu navbar navigation breadcrumb breadcrumbs sidebar notice notices "
+    "cookie-notice cookie-banner newsletter newsletter-signup comment comments comment-list reader-comments related replies disqus disqus_thread footer".split())
 
 
 def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -52,8 +59,9 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMED.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            if not NAMED_INSIDE.isdisjoint(value.lower().split()) if in_article else NAMED.search(value):
+                return True
         if name in ("class", "id") and tag == "article" and re.search(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", value, re.I):
             return True
         if name == "role" and value.lower() in ROLES:
