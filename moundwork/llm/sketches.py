@@ -1,11 +1,16 @@
 """Document fingerprints that keep every shingle hash below a fixed share of the hash range.
 
 A sketch (FracMinHash) of a text grows with the text, so the share of a small text's hashes found in
-a large text's sketch estimates how much of the small one the large one contains; sketches of parts
-merge by union. Hashes are XXH64 of runs of ``WORDS`` words, kept when below 1/``KEEP`` of the range;
-the 32 bits after that leading part are stored, which tells apart the few thousand hashes of a text.
-A text whose hashes are all above the bound keeps its smallest one, so only a text without words has
-an empty sketch.
+a large text's sketch estimates how much of the small one the large one contains. Hashes are XXH64 of
+runs of ``WORDS`` words (a shorter text is one run), kept when below ``SHARE`` of the range; their
+leading 32 bits are stored. Nothing else is ever kept, so the sketch of all shingles of several texts
+is exactly the union of their sketches.
+
+The price is that a text of few shingles may have none below the bound: its sketch is empty and says
+nothing. That happens to a text of n different shingles with probability (1 - SHARE) ** n. SHARE is
+therefore high, one text of up to five words in sixteen has an empty sketch; a corpus of long texts
+only can take a far smaller share, at an error that falls with the square root of the kept hashes.
+An empty sketch is contained in nothing but an empty one: likeness 0, or 1 for two empty ones.
 """
 
 from __future__ import annotations
@@ -23,30 +28,23 @@ from moundwork.llm.common import range_fences, range_of, small_batches
 from moundwork.llm.simhash import shingle_hashes
 
 WORDS = 5
-KEEP = 4
+SHARE = 15 / 16
 ROWS_PER_RANGE = 4_000
 
 
-def sketch(text: str | None, words: int = WORDS, keep: int = KEEP) -> np.ndarray:
+def sketch(text: str | None, words: int = WORDS, share: float = SHARE) -> np.ndarray:
     """The kept hashes, ascending and distinct, as unsigned 32-bit numbers."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return np.empty(0, np.uint32)
-    bound = (1 << 64) // keep
-    kept = hashes[hashes < np.uint64(bound)]
-    if not len(kept):
-        kept = hashes.min(keepdims=True)
-    shift = np.uint64(max(0, 32 - (keep.bit_length() - 1)))
-    return np.unique((kept >> shift).astype(np.uint32))
+    leading = (shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32)
+    return np.unique(leading[leading < share * 2.0**32])
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sketch of two texts together (but for the runs across their border)."""
+    """Sketch of the shingles of two texts together."""
     return np.union1d(a, b)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the other text has; 1 for two texts without words."""
+    """Estimated share of the smaller text's shingles that the other text has; 1 for two empty sketches, 0 for one."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from moundwork.llm import huffman, page_diff, queries, sketches, token_files, warc
@@ -76,36 +79,71 @@ def test_op7_query_equals_check_sql(spark, folder):
     assert problem is None, problem
 
 
-def test_sketches_estimate_containment_and_merge():
+def shingles(text, words=5):
+    """Leading 32 bits of the hash of every run of words, by the words of the text alone."""
+    parts = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    parts = re.findall(r"[^\x20\x09-\x0D]+", parts)
+    runs = [parts[i:i + words] for i in range(max(1, len(parts) - words + 1))] if parts else []
+    return {xxhash.xxh64_intdigest(" ".join(run).encode(), 42) >> 32 for run in runs}
+
+
+def plain_sketch(text, share=sketches.SHARE):
+    return sorted(h for h in shingles(text) if h / 2**32 < share)
+
+
+def plain_likeness(a, b):
+    a, b = set(plain_sketch(a)), set(plain_sketch(b))
+    return len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
+
+
+@pytest.mark.parametrize("share", [1 / 16, 1 / 4, sketches.SHARE, 1.0])
+def test_sketches_estimate_containment_and_merge(share):
     rng = random.Random(3)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))
     part = " ".join(long.split()[1000:1600])
-    a, b = sketches.sketch(long), sketches.sketch(part)
-    assert sketches.containment(a, b) > 0.95 and len(a) == pytest.approx(1000, rel=0.15)
-    half = " ".join(long.split()[:2000]), " ".join(long.split()[2000:])
-    merged = sketches.merge(*map(sketches.sketch, half))
-    assert set(merged) <= set(a) | set() and len(set(a) - set(merged)) <= 4
-    assert list(sketches.read(sketches.write(a))) == list(a)
+    a, b = sketches.sketch(long, share=share), sketches.sketch(part, share=share)
+    assert sketches.containment(a, b) == 1.0 and len(a) == pytest.approx(4000 * share, rel=0.15)
+    assert list(a) == plain_sketch(long, share) and list(sketches.read(sketches.write(a))) == list(a)
     empty = sketches.sketch("")
-    assert sketches.containment(empty, empty) == 1.0 and sketches.containment(empty, a) == 0.0 and len(sketches.sketch("one")) == 1
+    assert sketches.containment(empty, empty) == 1.0 and sketches.containment(empty, a) == 0.0
+
+
+def test_merged_sketches_are_those_of_all_shingles():
+    rng = random.Random(5)
+    for _ in range(300):
+        texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([1, 5, 6, 9, 400]))) for _ in range(3)]
+        merged = sketches.sketch(None)
+        for text in texts:
+            merged = sketches.merge(merged, sketches.sketch(text))
+        assert list(merged) == sorted(set().union(*map(plain_sketch, texts)))
+
+
+@pytest.mark.parametrize("words,least", [(5, 0.9), (6, 0.97), (10, 0.999), (100, 1.0)])
+def test_short_texts_are_found_in_long_ones(words, least):
+    rng = random.Random(words)
+    found = []
+    for _ in range(400):
+        long = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        at = rng.randrange(3000 - words)
+        found.append(sketches.containment(sketches.sketch(" ".join(long)), sketches.sketch(" ".join(long[at:at + words]))))
+    assert sum(found) / len(found) >= least
 
 
 @pytest.mark.parametrize("per_range", [7, 10_000])
 def test_next_documents(spark, docs_of, monkeypatch, per_range):
     monkeypatch.setattr(sketches, "ROWS_PER_RANGE", per_range)
     rng = random.Random(6)
-    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(40))) for _ in range(60)] + [None, ""]
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", "A b " * 20_000]
     keys = rng.sample(range(1000), len(texts))
     rows = {r.doc_id: r for r in sketches.compare_with_next(docs_of([(k, t, "en", "s") for k, t in zip(keys, texts)], extra=("range", "guest", "key"))).collect()}
     order = sorted(zip(keys, texts), reverse=True)
     for (key, text), (_, after) in zip(order, order[1:] + order[:1]):
         text, after = text or "", after or ""
         edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
-        a, b, c = map(sketches.sketch, (text, edited, after))
         r = rows[key]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (sketches.write(a), sketches.write(b))
-        assert (r.near_edited, r.near_next) == (sketches.containment(a, b), sketches.containment(a, c))
+        assert [sketches.read(f).tolist() for f in (r.fingerprint, r.edited_fingerprint)] == [plain_sketch(text), plain_sketch(edited)]
+        assert (r.near_edited, r.near_next) == (plain_likeness(text, edited), plain_likeness(text, after))
 
 
 def test_next_documents_edges(docs_of):
@@ -169,10 +207,80 @@ def test_attributes_are_whole_pairs():
     assert page_diff.blocks('<article><p>See <a href="/hidden-gems">these places</a>.</article>') == [("See these places.", True)]
 
 
+@pytest.mark.parametrize("part", [
+    '<p class="share price">', '<p class="related-work">', '<p id="comments-on-the-law">', '<section class="widget">', '<p class="ad-hoc">',
+    '<p class="search results">', '<div id="social-history">', '<p class="notices-of-1848">', '<div class="banner">', '<p class="reply-rate">'])
+def test_names_of_subjects_hide_no_article_text(part):
+    assert page_diff.blocks(f"<article>{part}Shares rose</article>") == [("Shares rose", True)]
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="ad">', '<div class="box advert">', "<section id=comments>", '<div class="notice">', '<ul class="menu">', '<div class="Sidebar left">',
+    '<div class="cookie-notice">', "<form>", "<aside>", "<nav>", '<div role="complementary">'])
+def test_furniture_in_an_article_goes(part):
+    assert page_diff.blocks(f"<article><p>Text</p>{part}Furniture</article>") == [("Text", True)]
+
+
+class Article(HTMLParser):
+    """Block texts of the article elements, without the elements that are no text of it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.lines, self.held = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.held).split())
+        self.lines += [text] if text else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in page_diff.BLOCKS:
+            self.cut()
+        if tag in page_diff.VOID or tag in ("p", "li"):  # the pages close neither reliably, and neither holds furniture
+            return
+        gone = tag in ("nav", "aside", "footer", "form", "script", "style") or dict(attrs).get("class") in ("ad", "comments", "cookie-notice")
+        self.stack.append((tag, gone))
+
+    def handle_endtag(self, tag):
+        if tag in page_diff.BLOCKS:
+            self.cut()
+        if any(tag == t for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(gone for _, gone in self.stack):
+            self.held.append(data)
+
+
+def article_text(page):
+    parser = Article()
+    parser.feed(page or "")
+    parser.close()
+    parser.cut()
+    return "\n".join(parser.lines)
+
+
 def test_op9_query(spark, folder):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     rows = queries.op9_page_diff(spark, folder).collect()
-    assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count()
-    assert all(r.n_chars == len(r.text) and "©" not in r.text for r in rows)
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, article_text(pages[r.page_id].html), len(r.text))
+
+
+def test_page_edges(spark):
+    schema = "page_id long, url string, html string, range int, guest boolean, `order` string, host string, lines string"
+    extra = (7, True, "o", "h", "l")
+    long = "<article>" + "".join(f"<p>Line {i}</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a.org/1", long), (1, "http://a.org/1", long), (None, "http://a.org/2", "<p>No id"), (None, "http://a.org/2", "<p>No id"),
+            (4, "", ""), (5, "not a url", "<p>Some text"), (6, "http://b.org", None)]
+    frame = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    got = sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in page_diff.extract(frame).collect()), key=str)
+    text = "\n".join(f"Line {i}" for i in range(20_000))
+    assert [g for g in got if g[0] == 1] == [(1, "http://a.org/1", text, len(text))] * 2
+    assert len(got) == 7 and all(n == len(t) for _, _, t, n in got) and (6, "http://b.org", "", 0) in got
+    assert page_diff.extract(frame.where("false")).count() == 0
 
 
 def test_code_lengths_are_optimal_and_limited():
