@@ -13,6 +13,8 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moundwork.operators.isotonic import isotonic_curve
+
 # Model inputs by family, in order.
 MODEL_FEATURES = (
     "avg_innings_per_appearance", "multi_inning_rate_7d", "multi_inning_rate_14d",
@@ -114,26 +116,23 @@ class Calibration:
     by_role: dict[str, IsotonicRegressionModel] = field(default_factory=dict)
 
 
-def _isotonic(scored: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
-    """Fitted on one weighted row per distinct score."""
-    pooled = scored.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.avg(label).alias("target"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    return IsotonicRegression(featuresCol="s", labelCol="target", weightCol="weight").fit(pooled)
+def _model_of(curve: DataFrame) -> IsotonicRegressionModel:
+    """The curve as a model: both ends of every pool carry the pool's value, scores between pools are interpolated."""
+    ends = curve.select("value", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("s"))
+    weighted = ends.select("s", F.col("value").alias("target"), F.col("n").cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="s", labelCol="target", weightCol="weight").fit(weighted)
 
 
 def fit_isotonic(
     scored: DataFrame, score: str = "risk_score_raw", label: str = "y", roles: Sequence[str] = ("starter", "reliever"),
     more_than: int = 10,
 ) -> Calibration:
-    """Curves from a block that is neither trained nor tested on. The role list is fixed, so the
-    loop fits two small models."""
-    counts = {r["role"]: r["n"] for r in scored.where(F.col("role").isin(*roles)).groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
-    per_role = {
-        role: _isotonic(scored.where(F.col("role") == role), score, label)
-        for role in roles if counts.get(role, 0) > more_than
-    }
-    return Calibration(_isotonic(scored, score, label), per_role)
+    """Curves from a block that is neither trained nor tested on. The pools are made by ``isotonic_curve``; a model sees
+    them only. The role list is fixed, so the loop fits two small models."""
+    by_role = isotonic_curve(scored.where(F.col("role").isin(*roles)), score, label, ("role",))
+    counts = {r["role"]: r["n"] for r in by_role.groupBy("role").agg(F.sum("n").alias("n")).collect()}
+    per_role = {role: _model_of(by_role.where(F.col("role") == role)) for role in roles if counts.get(role, 0) > more_than}
+    return Calibration(_model_of(isotonic_curve(scored, score, label)), per_role)
 
 
 def apply_calibration(calibration: Calibration, scored: DataFrame, score: str = "risk_score_raw") -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from moundwork.operators import evaluation, labels, rolling, scoring, training
+from moundwork.operators import evaluation, isotonic, labels, rolling, scoring, training
 from moundwork.plans.aggregate_queries import FEATURES
 from moundwork.plans.label_queries import labelled
-from moundwork.plans.registry import query
+from moundwork.plans.registry import query, sql_table
 from moundwork.session import written_once
 
 TRAIN_END, CALIBRATION_END = "1999-06-30", "2000-06-30"
@@ -101,10 +101,54 @@ def _(t):
     return flat(payload(t, lambda train, held: training.fit_logistic_balanced(train)))
 
 
-@query("isotonic_calibration", "role:s samples:n raw_brier:r calibrated_brier:r")
-def _(t):
+# The max-min formula: the value at a score is the largest, over all beginnings at or below it, of the smallest mean
+# up to an end at or above it.
+sql_table("calibration_rows", f"""
+SELECT p.role, l.score AS s, l.y, l.as_of_date FROM labelled_snapshots l JOIN pitchers p ON l.pitcher_id = p.pitcher_id
+WHERE l.as_of_date > DATE '{TRAIN_END}'""", "labelled_snapshots", "pitchers")
+sql_table("isotonic_points", f"""
+SELECT curve, s, row_number() OVER w AS i, n, h, sum(n) OVER w AS cn, sum(h) OVER w AS ch
+FROM (SELECT curve, s, count(*) AS n, sum(y) AS h
+  FROM (SELECT s, y, unnest(CASE WHEN role IN ('starter', 'reliever') THEN ['all', role] ELSE ['all'] END) AS curve
+    FROM calibration_rows WHERE as_of_date <= DATE '{CALIBRATION_END}') GROUP BY ALL)
+WINDOW w AS (PARTITION BY curve ORDER BY s)""", "calibration_rows")
+sql_table("isotonic_values", """
+SELECT curve, i, max(least_mean) AS value
+FROM (SELECT a.curve, b.i, min((b.ch - a.ch + a.h)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE)
+    OVER (PARTITION BY a.curve, a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least_mean
+  FROM isotonic_points a JOIN isotonic_points b ON a.curve = b.curve AND b.i >= a.i) GROUP BY 1, 2""", "isotonic_points")
+sql_table("isotonic_fit", """
+SELECT p.curve, p.s, p.n, p.h, v.value FROM isotonic_points p JOIN isotonic_values v ON p.curve = v.curve AND p.i = v.i""",
+          "isotonic_points", "isotonic_values")
+
+
+def calibration_blocks(t):
     rows = snapshot_rows(t).join(t.pitchers.select("pitcher_id", "role"), "pitcher_id").withColumn("risk_score_raw", F.col("score"))
-    _, held, test = three_blocks(rows)
+    return three_blocks(rows)
+
+
+@query("isotonic_curve", "curve:s low:r high:r n:n hits:n value:r", """
+SELECT curve, min(s) AS low, max(s) AS high, sum(n) AS n, sum(h) AS hits, value FROM isotonic_fit GROUP BY curve, value""", "isotonic_fit")
+def _(t):
+    _, held, _ = calibration_blocks(t)
+    curves = F.when(F.col("role").isin("starter", "reliever"), F.array(F.lit("all"), F.col("role"))).otherwise(F.array(F.lit("all")))
+    return isotonic.isotonic_curve(held.withColumn("curve", F.explode(curves)), keys=("curve",))
+
+
+@query("isotonic_calibration", "role:s samples:n raw_brier:r calibrated_brier:r", f"""
+WITH known AS (SELECT curve FROM isotonic_fit GROUP BY 1 HAVING curve = 'all' OR sum(n) > 10),
+ends AS (SELECT curve, s, value, lead(s) OVER w AS next_s, lead(value) OVER w AS next_value FROM isotonic_fit
+  WINDOW w AS (PARTITION BY curve ORDER BY s)),
+test AS (SELECT role, s, y, CASE WHEN role IN (SELECT curve FROM known) THEN role ELSE 'all' END AS curve
+  FROM calibration_rows WHERE as_of_date > DATE '{CALIBRATION_END}'),
+least_ends AS (SELECT curve, arg_min(value, s) AS value FROM ends GROUP BY 1),
+judged AS (SELECT t.role, t.s, t.y, CASE WHEN e.s IS NULL THEN f.value WHEN e.next_s IS NULL OR t.s = e.s THEN e.value
+    ELSE e.value + (e.next_value - e.value) * (t.s - e.s) / (e.next_s - e.s) END AS p
+  FROM test t ASOF LEFT JOIN ends e ON t.curve = e.curve AND t.s >= e.s JOIN least_ends f ON t.curve = f.curve)
+SELECT role, count(*) AS samples, avg((s - y) * (s - y)) AS raw_brier, avg((p - y) * (p - y)) AS calibrated_brier FROM judged GROUP BY 1""",
+       "isotonic_fit calibration_rows")
+def _(t):
+    _, held, test = calibration_blocks(t)
     out = training.apply_calibration(training.fit_isotonic(held), test)
     error = lambda c: F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y")))
     return out.groupBy("role").agg(

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from moundwork.operators import evaluation, scoring, selection, training
+from moundwork.operators import evaluation, isotonic, scoring, selection, training
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +52,40 @@ def test_role_calibration_falls_back(rows):
     assert out.where("role = 'starter' and load >= 8").agg(F.min("risk_score_calibrated")).first()[0] > 0.5
 
 
+def max_min(points):
+    """Value at every score by the formula, points as score -> (n, hits)."""
+    order = sorted(points)
+
+    def mean(a, b):
+        n, hits = map(sum, zip(*(points[s] for s in order[a:b + 1])))
+        return Fraction(hits, n)
+
+    return {s: max(min(mean(a, b) for b in range(i, len(order))) for a in range(i + 1)) for i, s in enumerate(order)}
+
+
+@pytest.mark.parametrize("block,fan", [(5, 2), (40, 3), (10_000, 64)])
+def test_isotonic_pools_equal_the_formula(spark, block, fan):
+    rng = random.Random(block)
+    rows = [(rng.choice(["a", "a", "a", None]), rng.choice([0.5, round(rng.random(), 2)]), 0) for _ in range(700)]
+    rows = [(k, s, int(rng.random() < 0.2 + 0.5 * s)) for k, s, _ in rows] + [("a", None, 1), ("b", 0.3, None), ("a", 0.4, None)]
+    scored = spark.createDataFrame(rows, "role string, risk_score_raw double, y int").withColumns({"low": F.lit("x"), "block": F.lit("y"), "n": F.lit(1)})
+    curve = isotonic.isotonic_curve(scored, keys=("role",), block=block, fan=fan).collect()
+    assert {r.role for r in curve} == {"a", None}
+    for role in ("a", None):
+        points = {}
+        for k, s, y in rows:
+            if k == role and s is not None and y is not None:
+                n, hits = points.get(s, (0, 0))
+                points[s] = (n + 1, hits + y)
+        want = {}
+        for s, value in max_min(points).items():
+            low, high, n, hits = want.get(value, (s, s, 0, 0))
+            want[value] = (min(low, s), max(high, s), n + points[s][0], hits + points[s][1])
+        assert sorted((r.low, r.high, r.n, r.hits) for r in curve if r.role == role) == sorted(want.values())
+        assert all(r.value == r.hits / r.n for r in curve)
+    assert isotonic.isotonic_curve(scored.where("false")).count() == 0
+
+
 def test_oversampling_reaches_the_ratio(rows):
     skewed = rows.where("y = 0 or load = 9")
     out = {r.y: r["count"] for r in selection.oversample(skewed, "y", 0.5).groupBy("y").count().collect()}
