@@ -16,11 +16,15 @@ TREES, DEPTH = 100, 6
 
 
 def grid_rows(t):
-    """Labelled feature rows on the as-of grid, with the profile's role."""
-    grid = rolling.snapshot_grid(t.appearances, step=14)
-    features = rolling.training_features(t.appearances, t.pitches, grid, min_pitches=3)
-    flagged = labels.label_forward(features, t.injuries, (21,), day="as_of_date").withColumnRenamed("label_21d", "y")
-    return written_once(flagged.join(t.pitchers.select("pitcher_id", "role"), "pitcher_id"), "training-rows")
+    """Labelled feature rows on the as-of grid, with the profile's role: the columns that models and payload read.
+
+    Label and role join the narrow grid, so the wide rows are not moved for them.
+    """
+    grid = rolling.snapshot_grid(t.appearances, step=14).select("pitcher_id", "as_of_date", "last_game")
+    flagged = labels.label_forward(grid, t.injuries, (21,), day="as_of_date").withColumnRenamed("label_21d", "y")
+    flagged = flagged.join(t.pitchers.select("pitcher_id", "role"), "pitcher_id")
+    features = rolling.training_features(t.appearances, t.pitches, flagged, min_pitches=3, keep=("y", "role"))
+    return features.select("pitcher_id", "as_of_date", "y", "role", *training.model_columns(features))
 
 
 def snapshot_rows(t):
@@ -66,7 +70,7 @@ def _(t):
 
 def payload(t, fit):
     """Scores of the newest block by a model that ``fit(train, held)`` learns from the older two."""
-    rows = grid_rows(t)
+    rows = written_once(grid_rows(t), "training-rows")
     columns = training.model_columns(rows)
     train, held, test = three_blocks(training.assemble_features(rows, columns))
     model = fit(train, held)
