@@ -19,6 +19,7 @@ from moundwork.operators.labels import hash_order
 from moundwork.session import written_once
 
 ROWS_A_CELL = 16
+APART = "merge"  # join by sorting on the executors: the tables compress so well that their size on disk would send them through the driver
 INFINITE = float("inf")
 
 
@@ -76,7 +77,7 @@ def _nearest_points(points: DataFrame, k: int, n: int) -> DataFrame:
         for c, own in zip(names, lines):
             reach = F.sequence(F.greatest(F.lit(0), F.col(c) - ring), F.least(F.lit(len(own)), F.col(c) + ring))
             around = around.withColumn(f"own_{c}", F.col(c)).withColumn(c, F.explode(reach))
-        met = around.join(there, list(names)).withColumn("d2", _distance("point", "other_point", n))
+        met = around.join(there.hint(APART), list(names)).withColumn("d2", _distance("point", "other_point", n))
         kept = met.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k)
         edge = F.least(*[F.least(
             F.col("point")[a] - _line(own, F.col(f"own_{c}") - ring), _line(own, F.col(f"own_{c}") + ring + 1) - F.col("point")[a],
@@ -85,8 +86,8 @@ def _nearest_points(points: DataFrame, k: int, n: int) -> DataFrame:
         ends = found.groupBy("id").agg(F.max("d2").alias("worst"), F.count(F.lit(1)).alias("n"), F.min("edge").alias("edge"))
         sure = (F.col("edge") == INFINITE) | ((F.col("n") >= k) & (F.col("worst") < F.col("edge") * F.col("edge") * (1 - 1e-12)))
         sure = written_once(ends.select("id", sure.alias("sure")), "neighbours-done")
-        done.append(found.join(sure.where("sure"), "id", "left_semi").select("id", "other", "d2"))
-        open_ = written_once(open_.join(sure.where("not sure"), "id", "left_semi"), "neighbours-open")
+        done.append(found.join(sure.where("sure").hint(APART), "id", "left_semi").select("id", "other", "d2"))
+        open_ = written_once(open_.join(sure.where("not sure").hint(APART), "id", "left_semi"), "neighbours-open")
         if open_.isEmpty():
             break
         ring *= 2
@@ -108,11 +109,11 @@ def nearest_rows(rows: DataFrame, keys: Sequence[str], features: Sequence[str],
     points = few.groupBy("point").agg(F.sort_array(F.collect_list("key")).alias("members"))  # k + 1 keys at most
     points = written_once(points.select(F.col("members")[0].alias("first"), F.col("members")[0].alias("id"), "point", "members"), "points")
     near = _nearest_points(points.select("id", "first", "point"), k + 1, len(features))  # a point is its own nearest
-    listed = near.join(points.select(F.col("id").alias("other"), "members"), "other").select("id", "d2", F.explode("members").alias("neighbour"))
+    listed = near.join(points.select(F.col("id").alias("other"), "members").hint(APART), "other").select("id", "d2", F.explode("members").alias("neighbour"))
     best = Window.partitionBy("id").orderBy("d2", "neighbour")
     short = listed.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     lists = short.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d2", "neighbour"))).alias("near"))  # k + 1 rows at most
-    owners = base.join(points.select("id", "point"), "point").select("key", "id").join(lists, "id")
+    owners = base.join(points.select("id", "point").hint(APART), "point").select("key", "id").join(lists.hint(APART), "id")
     others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("key")), 1, k)
     ranked = owners.select("key", F.posexplode(others).alias("at", "found"))
     return ranked.select(
@@ -141,9 +142,9 @@ def smote(
     near = nearest_rows(minority, keys, features, k)
     lists = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))  # k rows
     digest = hash_order(seed, *keys, "copy")
-    chosen = copies.join(lists, list(keys)).withColumn("digest", digest).withColumn(
+    chosen = copies.join(lists.hint(APART), list(keys)).withColumn("digest", digest).withColumn(
         "neighbour", F.get("near", F.floor(unit(F.col("digest"), 1) * F.size("near")).cast("int"))["neighbour"])
     other = minority.select(F.struct(*keys).alias("neighbour"), F.struct(*features).alias("there"))
     far = unit(F.col("digest"), 9)
-    return chosen.join(other, "neighbour").select(
+    return chosen.join(other.hint(APART), "neighbour").select(
         *keys, "copy", "neighbour", *[(F.col(f) + far * (F.col(f"there.{f}") - F.col(f))).alias(f) for f in features])

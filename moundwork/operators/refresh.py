@@ -37,8 +37,7 @@ def window_features(daily: DataFrame) -> DataFrame:
         load[f"roll{n}d_appearances"] = F.count(F.lit(1)).over(frame)
         load[f"roll{n}d_avg_pitches_per_appearance"] = F.avg("n").over(frame)
     recent = placed.withColumns(load).select(*KEYS, F.col("n").alias("last_game_pitches"), *load)
-    # Both sides come from one line of days per pitcher, so the join needs no further exchange.
-    return rolling.pregame_from_days(daily, BEFORE).join(recent, KEYS)
+    return rolling.pregame_from_days(daily, BEFORE).join(recent.hint("merge"), KEYS)
 
 
 class FeatureStore:
@@ -61,12 +60,12 @@ class FeatureStore:
             rolling.daily_pitch_sums(pitches.where(F.col("pitcher_id").isNotNull() & F.col("game_date").isNotNull())), "batch-days")
         self._add_days(fresh, batch)
         changed = fresh.select(*KEYS)
-        near = self._days_around(changed, -LONGEST, LONGEST)
-        context = self.daily.read(self.daily.parts_of(near)).join(near, KEYS, "left_semi")
-        affected = self._days_around(changed, 0, LONGEST)
-        renewed = window_features(context).join(affected, KEYS, "left_semi")
-        months = self.features.parts_of(affected)
-        kept = self.features.read(months).join(affected, KEYS, "left_anti")
+        touched = self._touched(changed)
+        context = self.daily.read(self._months(changed, -LONGEST, LONGEST)).join(
+            changed.select("pitcher_id").distinct().hint("merge"), "pitcher_id", "left_semi")
+        renewed = self._changed_rows(window_features(context), touched, True)
+        months = self._months(changed, 0, LONGEST)
+        kept = self._changed_rows(self.features.read(months), touched, False)
         self.features.replace(kept.unionByName(renewed), months, batch, spread="pitcher_id")
 
     def _add_days(self, fresh: DataFrame, batch: str) -> None:
@@ -80,7 +79,25 @@ class FeatureStore:
         self.daily.replace(summed, months, batch, spread="pitcher_id")
 
     @staticmethod
-    def _days_around(changed: DataFrame, first: int, last: int) -> DataFrame:
-        """Every (pitcher, day) from ``first`` to ``last`` days after a changed one: a fixed number of rows each, then distinct."""
+    def _months(changed: DataFrame, first: int, last: int) -> set[str]:
+        """The months from ``first`` to ``last`` days after a changed day; the list of days is as long as the calendar."""
         days = F.sequence(F.date_add("game_date", first), F.date_add("game_date", last))
-        return changed.select("pitcher_id", F.explode(days).alias("game_date")).distinct()
+        found = changed.select("game_date").distinct().select(F.explode(days).alias("game_date"))
+        return {r[0] for r in found.select(F.expr(MONTH)).distinct().collect()}
+
+    @staticmethod
+    def _touched(changed: DataFrame) -> DataFrame:
+        """Changed days that a month of a pitcher can see: a row per (pitcher, month) with a list of at most three months' days."""
+        months = F.sequence(F.trunc("game_date", "MM"), F.date_add("game_date", LONGEST), F.expr("interval 1 month"))
+        seen = changed.select("pitcher_id", "game_date", F.explode(months).alias("_month"))
+        return seen.groupBy("pitcher_id", "_month").agg(F.collect_set("game_date").alias("_changed"))
+
+    @staticmethod
+    def _changed_rows(rows: DataFrame, touched: DataFrame, wanted: bool) -> DataFrame:
+        """Rows within ``LONGEST`` days after a changed day of their pitcher, or the others.
+
+        Joined on the executors: the lists compress so well that they would pass for small and go through the driver.
+        """
+        placed = rows.withColumn("_month", F.trunc("game_date", "MM")).join(touched.hint("merge"), ["pitcher_id", "_month"], "left")
+        hit = F.exists("_changed", lambda d: (d <= F.col("game_date")) & (d >= F.date_sub("game_date", LONGEST)))
+        return placed.where(F.coalesce(hit, F.lit(False)) == F.lit(wanted)).drop("_month", "_changed")

@@ -75,3 +75,11 @@ def test_few_rows_and_none(spark):
     assert neighbours.smote(frame.where("y = 0"), "y", ["id"], ["a", "b"]).count() == 0
     assert neighbours.nearest_rows(frame.where("false"), ["id"], ["a", "b"]).count() == 0
     assert math.isclose(neighbours.scaled(frame, ["a"]).agg(F.max(F.col("point")[0])).first()[0], 1.0)
+
+
+def test_joins_of_neighbours_stay_off_the_driver(spark):
+    rows = spark.range(3000).select("id", F.pmod(F.xxhash64("id"), F.lit(997)).cast("double").alias("a"), F.pmod(F.col("id") * 7, F.lit(31)).cast("double").alias("b"))
+    near = neighbours.nearest_rows(rows, ["id"], ["a", "b"], 3)
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

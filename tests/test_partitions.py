@@ -150,3 +150,16 @@ def test_a_run_that_dies_between_both_tables_is_finished_by_the_same_batch(spark
     store.add(nobody, "nobody")
     store.add(nobody.where("false"), "empty")
     assert rounded(store.features.read()) == features(spark, history)
+
+
+def test_feature_batches_join_on_the_executors(spark):
+    days = spark.range(3000).select((F.col("id") % 5).cast("int").alias("pitcher_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("game_date"))
+    touched = refresh.FeatureStore._touched(days)
+    rows = refresh.FeatureStore._changed_rows(days, touched, True)
+    rows.collect()
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    one = days.where("pitcher_id = 1 and game_date = date'2024-01-02'").limit(1)
+    got = refresh.FeatureStore._changed_rows(days.distinct(), refresh.FeatureStore._touched(one), True)
+    want = days.distinct().where("pitcher_id = 1 and game_date between date'2024-01-02' and date'2024-03-02'")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert refresh.FeatureStore._months(one, 0, refresh.LONGEST) == {"2024-01", "2024-02", "2024-03"}
