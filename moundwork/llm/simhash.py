@@ -40,6 +40,7 @@ SEED = 42
 ROUTED = 16_000_000  # variants that meet in one share
 SHARE = 3_000_000  # about half of what is in memory at once; a larger share is halved
 BANDS, BAND_ROWS = 24, 5  # of smallest hashes, for candidates of near-duplicates
+PARITY_WORDS = 8  # longs with the parity of a text's shingles in 512 places
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -287,22 +288,30 @@ def band_keys(docs: DataFrame, words: int, key: str = "doc_id", text: str = "tex
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``mark`` and ``shingles``, the distinct hashes of its runs of ``words`` words; one and the same hash for texts without words."""
+    """``mark`` and ``shingles``, the distinct hashes of its runs of ``words`` words; one and the same hash for texts without words.
+
+    Further ``bits``: whether the number of shingles at each of 512 places is odd. A shingle that only one of two
+    texts has turns one bit, so texts differ in at least as many shingles as bits.
+    """
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text_, words)).view(np.int64) for text_ in batch.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(text_, words)) for text_ in batch.column(1).to_pylist()]
+            sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+            odd = [np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) % 2 for x in sets]
+            bits = [np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x if len(x) else [0] for x in sets], pa.list_(pa.int64()))], ["mark", "shingles"])
+                [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["mark", "shingles", "bits"])
 
-    return texts.select("mark", "text").mapInArrow(run, "mark long, shingles array<bigint>")
+    return texts.select("mark", "text").mapInArrow(run, "mark long, shingles array<bigint>, bits array<bigint>")
 
 
 def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
     """``bucket`` and ``mark``: the rarest shingles of every text, as many as decide.
 
-    Further ``n``, the shingles of the text, ``shared``, those that some other text has, and ``place``, the bucket's place among these.
+    Further ``bits`` of ``sets``, ``n``, the shingles of the text, ``shared``, those that some other text has, and ``place``, the bucket's place among these.
 
     Texts that share ``least`` of their shingles have more than ``n - ceil(least * n)`` of each in common, so
     in any one order of all shingles their first ``n - ceil(least * n) + 1`` meet. From rare to common, texts
@@ -315,7 +324,22 @@ def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
     ranked = rows.join(often, "bucket").withColumns({
         "place": F.row_number().over(own.orderBy("times", "bucket")), "shared": F.count(F.lit(1)).over(own)})
     decisive = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    return ranked.where(F.col("place") <= decisive - (F.col("n") - F.col("shared"))).select("bucket", "mark", "n", "shared", "place")
+    rare = ranked.where(F.col("place") <= decisive - (F.col("n") - F.col("shared")))
+    return rare.join(sets.select("mark", "bits"), "mark").select("bucket", "mark", "n", "shared", "place", "bits")
+
+
+def ball_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of marks that ball hashing proposes: texts of one fingerprint and of linked ones, by one text each.
+
+    ``prints`` (a written table) are ``fingerprints``. Pairs are as many as texts at most, however large a family is.
+    """
+    marks = written_once(prints.select("mark", F.col("fp0").alias("fp")).distinct(), "marks")
+    first = written_once(marks.groupBy("fp").agg(F.min("mark").alias("first")), "fingerprints")
+    links = ball_links(first.select(F.lit(0).alias("tab"), "fp"))
+    ends = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    same = marks.join(first, "fp").where("mark <> first").select(F.col("first").alias("x"), F.col("mark").alias("y"))
+    return ends.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -334,34 +358,43 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
-def verified_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+def verified_roots(members: DataFrame, sets: DataFrame, least: float, proposed: DataFrame | None = None) -> DataFrame | None:
     """``node`` and ``root`` of all marks with a similar one; None if there are none.
 
+    The ``proposed`` pairs (a written table) are verified first, so that families they connect need no comparisons.
     ``members`` are ``rare_shingles`` of ``sets``. In every round some members of a bucket lead it: they
     are compared with all others of the bucket that are not yet in their component, and then leave it.
     Pairs that cannot reach ``least`` are left out: both follow one order, so they share at most as many
     shingles up to the bucket as the one has that has fewer there, and behind it likewise; shingles of a
-    single text never count, so members of a crowd that each have some of their own drop out. A bucket is
+    single text never count, so members of a crowd that each have some of their own drop out. Nor can they if their
+    parity bits differ in more places than the shingles of texts at ``least`` may. A bucket is
     done once the rest is one component, so a family of near copies takes one comparison a copy, and in
     the end every pair of a bucket has been compared or is connected. Leaders quadruple from round to round.
     """
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
     roots, lead = None, 1
+    own = ("bucket", "mark", "n", "shared", "place", "bits")
+    if proposed is not None:
+        tested.append(proposed)
+        links.append(written_once(similar_pairs(proposed, sets, least), "similar"))
+        roots = components(links[0])
     while True:
         live = members.withColumn("root", F.col("mark")) if roots is None else members.join(
-            roots.withColumnRenamed("node", "mark"), "mark", "left").select("bucket", "mark", "n", "shared", "place", F.coalesce("root", "mark").alias("root"))
+            roots.withColumnRenamed("node", "mark"), "mark", "left").select(*own, F.coalesce("root", "mark").alias("root"))
         crowded = live.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("all"), F.min("mark").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
         chance = F.pmod(F.xxhash64("mark", F.lit(lead)), F.lit(1 << 30)) * F.col("all") < (lead - 1) * (1 << 30)
         live = written_once(live.join(crowded.where("low < high").select("bucket", "all", "first"), "bucket").select(
-            "bucket", "mark", "n", "shared", "place", "root", ((F.col("mark") == F.col("first")) | chance).alias("leads")), "buckets")
+            *own, "root", ((F.col("mark") == F.col("first")) | chance).alias("leads")), "buckets")
         if live.isEmpty():
             return roots
         leaders = live.where("leads").select("bucket", F.col("mark").alias("leader"), F.col("root").alias("its"), *[
-            F.col(c).alias(f"its_{c}") for c in ("n", "shared", "place")])
+            F.col(c).alias(f"its_{c}") for c in ("n", "shared", "place", "bits")])
         most = F.least("place", "its_place") + F.least(F.col("shared") - F.col("place"), F.col("its_shared") - F.col("its_place"))
         enough = most * (1 + least) >= (F.col("n") + F.col("its_n")) * least - 1e-6
+        apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("its_bits")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+        enough = enough & (apart * (1 + least) <= (F.col("n") + F.col("its_n")) * (1 - least) + 1e-6)
         pairs = live.join(leaders, "bucket").where((F.col("root") != F.col("its")) & enough).select(
             F.least("mark", "leader").alias("a"), F.greatest("mark", "leader").alias("b")).distinct()
         for earlier in tested:
@@ -372,7 +405,7 @@ def verified_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFra
         for more in links[1:]:
             found = found.unionByName(more)
         roots = components(found)
-        members = live.where("not leads").select("bucket", "mark", "n", "shared", "place")
+        members = live.where("not leads").select(*own)
         lead *= 4
 
 
@@ -380,8 +413,8 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, key: str =
     """The documents with one row left of every group of near-duplicates: that with the smallest key.
 
     Groups are the components of pairs that share at least ``least`` of their distinct runs of ``words``
-    words. Bands of smallest hashes tell which texts have a partner at all, the rarest shingles of those
-    propose pairs, exact similarity decides. The row that stays is chosen by
+    words. Ball hashing of the fingerprints proposes pairs first. It finds few of the pairs near ``least``, so bands of smallest
+    hashes tell which texts have a partner at all, and the rarest shingles of those propose the rest. Exact similarity decides. The row that stays is chosen by
     key and text: of rows equal in both one stays, another text under the same key is a document of its
     own. Rows without a key have nothing to choose by: of those with equal texts one stays.
     """
@@ -391,10 +424,14 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, key: str =
     texts = bands.groupBy("mark").agg(F.min(key).alias("least"))
     members = bands.select("mark", "buckets").dropDuplicates(["mark"]).select(F.explode("buckets").alias("bucket"), "mark")
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    open_ = written_once(members.join(crowded, "bucket", "left_semi").select("mark").distinct(), "open-marks")
+    proposed = written_once(ball_pairs(written_once(fingerprints(keyed, key=key, text=text), "prints")), "ball-pairs")
+    open_ = members.join(crowded, "bucket", "left_semi").select("mark")
+    for end in ("a", "b"):
+        open_ = open_.unionByName(proposed.select(F.col(end).alias("mark")))
+    open_ = written_once(open_.distinct(), "open-marks")
     whole_texts = keyed.select(F.xxhash64(whole).alias("mark"), whole.alias("text"))
     sets = written_once(shingle_sets(whole_texts.join(open_, "mark", "left_semi").dropDuplicates(["mark"]), words), "shingle-sets")
-    roots = verified_roots(written_once(rare_shingles(sets, least), "rare-shingles"), sets, least)
+    roots = verified_roots(written_once(rare_shingles(sets, least), "rare-shingles"), sets, least, proposed)
     root = F.col("mark")
     if roots is not None:
         texts, root = texts.join(roots.withColumnRenamed("node", "mark"), "mark", "left"), F.coalesce("root", "mark")

@@ -127,3 +127,28 @@ def test_a_crowd_below_the_threshold_is_not_compared(spark):
 
     few, many = compared(600), compared(1200)
     assert few <= 600 and many <= 2 * max(few, 600)
+
+
+def test_near_duplicates_start_with_ball_hashing(spark, docs_of, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    family = [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in (5, 300, 880)]
+    docs = docs_of([*family, " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))])
+    linked, seen = [], s.ball_pairs
+    monkeypatch.setattr(s, "ball_pairs", lambda prints: linked.append(seen(prints)) or linked[-1])
+    assert sorted(r.doc_id for r in s.one_of_each(docs).collect()) == [0, 3]
+    pairs = [(r.a, r.b) for r in linked[0].collect()]
+    marks = {r.doc_id: r.mark for r in s.fingerprints(docs).collect()}
+    assert pairs and all({a, b} <= {marks[0], marks[1], marks[2]} for a, b in pairs)
+
+
+def test_parity_bits_bound_the_difference(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join([f"x{rng.randrange(10**6)}" if rng.random() < p else t for t in base]) for p in (0, 0.01, 0.1, 0.9)] + [""]
+    rows = s.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "mark long, text string"), 5).collect()
+    for a, b in itertools.combinations(rows, 2):
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a.bits, b.bits))
+        assert len(a.bits) == 8 and bits <= len(set(a.shingles) ^ set(b.shingles))
+    far = [r for r in rows if r.mark in (0, 3)]
+    assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(far[0].bits, far[1].bits)) > 100
