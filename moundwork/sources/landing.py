@@ -47,7 +47,7 @@ def feed_to_pitches(feed: DataFrame) -> DataFrame:
 
 def injury_table_rows(pages: DataFrame, min_cells: int = 4) -> DataFrame:
     """Rows of every HTML table with at least ``min_cells`` cells; each table's first row is skipped."""
-    rows = page_parts(pages).where((F.col("kind") == "row") & (F.col("row_no") >= 2) & (F.size("cells") >= min_cells))
+    rows = page_parts(pages, ("row",)).where((F.col("row_no") >= 2) & (F.size("cells") >= min_cells))
     return rows.select("page_id", "url", "table_no", "row_no", "cells")
 
 
@@ -66,7 +66,7 @@ def injury_elements(pages: DataFrame) -> DataFrame:
     """Page parts that may describe injuries: text nodes per matching word, the text of tables and of
     divs of an injury, player or status class. One pass over the pages."""
     words = F.array(*[F.lit(w) for w in PAGE_WORDS])
-    parts = page_parts(pages).where("kind <> 'row'")
+    parts = page_parts(pages, ("text", "table", "div"))
     hits = F.when(F.col("kind") == "text", F.filter(words, lambda w: F.lower("content").contains(w))).otherwise(F.array(F.lit("")))
     return parts.select("page_id", "kind", F.explode(hits).alias("word"), "content")
 
