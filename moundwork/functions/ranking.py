@@ -30,19 +30,16 @@ def bucket_count(values: int) -> int:
     return max(4, math.ceil(values / VALUES_PER_BUCKET))
 
 
-def _bucket_of(value: Column, edges: Column) -> Column:
-    """How many of the ascending ``edges`` are at or below ``value``, by halving."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+def _with_bucket(df: DataFrame, value: str, edges: Column, most: int) -> DataFrame:
+    """Add ``_bucket``: how many of the ascending ``edges`` (at most ``most``) are at or below ``value``.
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        reached = F.get(edges, mid) <= value
-        return F.when(acc["lo"] < acc["hi"], F.struct(
-            F.when(reached, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(reached, acc["hi"]).otherwise(mid).alias("hi"))).otherwise(acc)
-
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(edges) + F.lit(1.0))).cast("int") + 1)
-    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
+    By halving, one projection a step, so that a row costs a few compiled comparisons and no lambda.
+    """
+    placed = df.withColumns({"_edges": edges, "_bucket": F.lit(0)})
+    for power in reversed(range(most.bit_length())):
+        reached = F.get("_edges", F.col("_bucket") + (2**power - 1)) <= F.col(value)
+        placed = placed.withColumn("_bucket", F.col("_bucket") + F.when(reached, 2**power).otherwise(0))
+    return placed.drop("_edges")
 
 
 def value_positions(
@@ -67,15 +64,12 @@ def value_positions(
     )
     if not stored:
         counted = written_once(counted, "value-counts")
+    # A value that several keys share makes one edge, and as many fewer values lie between two edges.
+    most = bucket_count(counted.count()) - 1
     edges = (
-        counted.select(value).distinct()
-        .orderBy(F.xxhash64(value), value)
-        .limit(bucket_count(counted.count()) - 1)
-        .agg(F.array_sort(F.collect_list(value)))
+        counted.select(value).orderBy(F.xxhash64(value), value).limit(most).agg(F.array_sort(F.collect_set(value)))
     ).scalar()
-    placed = counted.withColumn("_edges", edges).withColumn(
-        "_bucket", _bucket_of(F.col(value), F.col("_edges"))
-    ).drop("_edges")
+    placed = _with_bucket(counted, value, edges, most)
     below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     shifts = placed.groupBy(*keys, "_bucket").agg(
@@ -105,6 +99,12 @@ def value_positions(
     )
 
 
+def lookup(df: DataFrame, key: str) -> Column:
+    """The few rows of ``df`` (one per key of a fixed list) as a scalar map from the key to its other columns."""
+    entry = F.struct(key, F.struct(*[c for c in df.columns if c != key]))
+    return df.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+
+
 def percentiles(
     df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
