@@ -318,10 +318,9 @@ def iqr_outliers(df: DataFrame, features: Sequence[str], reach: float = 1.5) ->
     long = unpivot(df, [], features)
     counted = written_once(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n")), "feature-counts")
     marks = _weighted_quartiles(counted)
-    low = F.col("q1") - (F.col("q3") - F.col("q1")) * reach
-    high = F.col("q3") + (F.col("q3") - F.col("q1")) * reach
-    outside = (F.col("value") < low) | (F.col("value") > high)
-    joined = counted.join(marks, "feature")
+    joined = counted.withColumn("_marks", ranking.lookup(marks, "feature")[F.col("feature")])
+    q1, q3 = F.col("_marks.q1"), F.col("_marks.q3")
+    outside = (F.col("value") < q1 - (q3 - q1) * reach) | (F.col("value") > q3 + (q3 - q1) * reach)
     return joined.groupBy("feature").agg(
         F.coalesce(F.sum(F.when(outside, F.col("_n"))), F.lit(0)).alias("outliers"), F.sum("_n").alias("rows")
     ).withColumn("outlier_pct", F.col("outliers") * 100.0 / F.col("rows"))
