@@ -431,8 +431,10 @@ def drift_psi(reference: DataFrame, current: DataFrame, features: Sequence[str],
     probs = {f"e{i}": i / parts for i in range(1, parts)}
     edges = ranking.percentiles(ref, "value", probs, ["feature"], weight="ref")
     both = ref.unionByName(_counted(current, features, "cur"), allowMissingColumns=True)
-    place = reduce(lambda a, e: a + (F.col("value") > F.col(e)).cast("int"), probs, F.lit(0))
-    bins = both.join(edges, "feature").groupBy("feature", place.alias("bin")).agg(
+    # The edges are one row per feature: looked up where the counts lie, which a join would gather by feature.
+    marked = both.withColumn("_edges", ranking.lookup(edges, "feature")[F.col("feature")]).where(F.col("_edges").isNotNull())
+    place = reduce(lambda a, e: a + (F.col("value") > F.col(f"_edges.{e}")).cast("int"), probs, F.lit(0))
+    bins = marked.groupBy("feature", place.alias("bin")).agg(
         F.coalesce(F.sum("ref"), F.lit(0)).alias("r"), F.coalesce(F.sum("cur"), F.lit(0)).alias("c")
     )
     whole = Window.partitionBy("feature")
