@@ -113,12 +113,12 @@ def pitch_with_appearance(pitches: DataFrame, appearances: DataFrame) -> DataFra
 
 def reaggregate_joined(joined: DataFrame) -> DataFrame:
     """Back to one row per game, taking each game's aggregates once despite the join's fan-out."""
+    # First as one struct: such an aggregate streams over the order the join leaves and holds no table of all games.
     return joined.groupBy(*KEYS).agg(
-        F.first("pitches_thrown").alias("pitches_thrown"),
+        F.first(F.struct("pitches_thrown", "innings_pitched")).alias("_game"),
         F.avg("avg_vel").alias("avg_vel"),
         F.avg("avg_spin").alias("avg_spin"),
-        F.first("innings_pitched").alias("innings_pitched"),
-    )
+    ).select(*KEYS, "_game.pitches_thrown", "avg_vel", "avg_spin", "_game.innings_pitched")
 
 
 def daily_totals(appearances: DataFrame) -> DataFrame:
