@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,50 @@ def test_joins_of_neighbours_stay_off_the_driver(spark):
     near.collect()
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_comparisons_grow_with_the_points(monkeypatch):
+    """Four features, the first two of them nearly constant: a grid over two features compared all pairs here."""
+    compared = []
+
+    def counted(a, b, plain=neighbours._squares):
+        compared.append(len(a) * len(b))
+        return plain(a, b)
+
+    monkeypatch.setattr(neighbours, "_squares", counted)
+    rng = np.random.default_rng(3)
+    points = rng.random((20000, 4)) * (1e-9, 1e-9, 1, 1)
+    place, other, d2 = neighbours._searched(points, points, None, 6)
+    assert sum(compared) < 1000 * len(points) and (np.bincount(place) == 6).all()
+    for i in range(0, 20000, 997):
+        every = ((points - points[i]) ** 2).sum(1)
+        assert set(other[place == i]) == set(np.lexsort((np.arange(20000), every))[:6])
+
+
+def test_points_visit_the_cells_within_their_bound():
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.random((3000, 3)), rng.integers(0, 3, (500, 3)) / 2])
+    splits = neighbours.Splits(points[::7], 37)
+    cells = splits.cell(points)
+    held = np.unique(cells)
+    splits.boxed(held, np.array([points[cells == c].min(0) for c in held]), np.array([points[cells == c].max(0) for c in held]))
+    bound = np.where(np.arange(3500) % 50 == 0, np.inf, 0.003)
+    visits = set(zip(*map(np.ndarray.tolist, splits.near(points, bound))))
+    assert all((i, c) in visits for i in range(0, 3500, 50) for c in held.tolist())
+    for i in range(1, 3500, 101):
+        inside = np.unique(cells[neighbours._squares(points[i:i + 1], points)[0] <= bound[i]])
+        assert {(i, c) for c in inside.tolist()} <= visits
+        assert sum((i, c) in visits for c in held.tolist()) < len(held)
+
+
+def test_many_visitors_are_dealt_out_and_lost_points_come_last(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS_A_CELL", 20)
+    monkeypatch.setattr(neighbours, "VISITORS_A_SHARE", 10)
+    rows = layout("even", 300, random.Random(9))
+    frame = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    assert {(r.id, r.rank, r.neighbour.id) for r in neighbours.nearest_rows(frame, ["id"], ["a", "b", "c"], 4).collect()} == brute(rows, 4)
+    odd = spark.createDataFrame([(i, float(i)) for i in range(3)] + [(7, math.inf), (8, math.inf)], "id long, a double")
+    got = {}
+    for r in neighbours.nearest_rows(odd, ["id"], ["a"], 3).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour.id)
+    assert got == {0: [1, 2, 7], 1: [0, 2, 7], 2: [0, 1, 7], 7: [0, 1, 2], 8: [0, 1, 2]}
