@@ -208,8 +208,8 @@ def _nearest_points(points: DataFrame, k: int, n: int) -> DataFrame:
         return pa.table({"id": asked.column("id").take(pa.array(hit)), "near": _lists(np.searchsorted(hit, place), len(hit), _near(points, other, d2))})
 
     def ordered(rows: DataFrame, *by: str) -> DataFrame:
-        """Cells whose points come in the order of their first members, which settles ties."""
-        return rows.repartition(*by).sortWithinPartitions(*by, F.col("members")[0])
+        """Cells whose points come in the order of their first members, which settles ties. The work follows the cells, not their bytes."""
+        return rows.repartition(math.ceil(cells / 2), *by).sortWithinPartitions(*by, F.col("members")[0])
 
     near = f"array<struct<d2: double, members: {members}>>"
     searched = written_once(ordered(placed, "cell").groupBy("cell").applyInArrow(
@@ -280,12 +280,13 @@ def smote(
 
     extra = F.floor("_f") + F.when(unit(hash_order(seed, *keys), 1) < F.col("_f") - F.floor("_f"), 1).otherwise(0)
     copies = minority.withColumn("_f", wanted).withColumn("_extra", extra.cast("int")).select("*", F.explode(F.expr("sequence(1, greatest(1, _extra))")).alias("copy")).where("copy <= _extra")
-    near = nearest_rows(minority, keys, features, k)
-    lists = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))  # k rows
+    ranked = F.transform("near", lambda x, at: F.struct((at + 1).alias("rank"), x["neighbour"].alias("neighbour")))
+    near = _near_lists(minority, keys, features, k).where(F.size("near") > 0).select(*[F.col(f"key.{c}").alias(c) for c in keys], ranked.alias("near"))
+    lists = near.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))  # k rows
     digest = hash_order(seed, *keys, "copy")
-    chosen = copies.join(lists.hint(APART), list(keys)).withColumn("digest", digest).withColumn(
-        "neighbour", F.get("near", F.floor(unit(F.col("digest"), 1) * F.size("near")).cast("int"))["neighbour"])
+    chosen = copies.join(lists.hint(APART), list(keys)).withColumn("digest", digest).select(
+        *keys, *features, "copy", F.get("near", F.floor(unit(F.col("digest"), 1) * F.size("near")).cast("int"))["neighbour"].alias("neighbour"),
+        unit(F.col("digest"), 9).alias("_far"))
     other = minority.select(F.struct(*keys).alias("neighbour"), F.struct(*features).alias("there"))
-    far = unit(F.col("digest"), 9)
     return chosen.join(other.hint(APART), "neighbour").select(
-        *keys, "copy", "neighbour", *[(F.col(f) + far * (F.col(f"there.{f}") - F.col(f))).alias(f) for f in features])
+        *keys, "copy", "neighbour", *[(F.col(f) + F.col("_far") * (F.col(f"there.{f}") - F.col(f))).alias(f) for f in features])

@@ -131,3 +131,16 @@ def test_many_visitors_are_dealt_out_and_lost_points_come_last(spark, monkeypatc
     for r in neighbours.nearest_rows(odd, ["id"], ["a"], 3).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.neighbour.id)
     assert got == {0: [1, 2, 7], 1: [0, 2, 7], 2: [0, 1, 7], 7: [0, 1, 2], 8: [0, 1, 2]}
+
+
+def test_made_rows_take_the_lists_as_they_are(spark):
+    """No list is taken apart and gathered again, and a copy travels with the share of the way, not with its digest and list."""
+    rng = random.Random(2)
+    frame = spark.createDataFrame([(i, int(i % 4 == 0), rng.random(), rng.random()) for i in range(80)], "id long, y int, a double, b double")
+    made = neighbours.smote(frame, "y", ["id"], ["a", "b"], 2.0)
+    plan = made._jdf.queryExecution().optimizedPlan()
+    assert "posexplode" not in plan.toString()
+    sent = plan.child() if plan.nodeName() == "Project" else plan
+    assert sent.nodeName() == "Join"
+    sides = [[column.split("#")[0] for column in sent.children().apply(i).output().mkString(" ").split()] for i in (0, 1)]
+    assert ["id", "a", "b", "copy", "neighbour", "_far"] in sides
