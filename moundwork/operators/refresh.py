@@ -13,7 +13,9 @@ a late pitch shows, so they are not kept here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moundwork.functions import windows as w
@@ -27,17 +29,19 @@ MONTH = "date_format(game_date, 'yyyy-MM')"
 KEYS = ["pitcher_id", "game_date"]
 
 
-def window_features(daily: DataFrame) -> DataFrame:
-    """All day-window features of every row of ``rolling.daily_pitch_sums``."""
-    placed = daily.withColumn(w.DAY_NUMBER, w.day_number())
+def window_features(daily: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """All day-window features of every row of ``rolling.daily_pitch_sums``; columns in ``also`` stay.
+
+    One line of days per pitcher carries all of them, so nothing wider than the daily sums is exchanged.
+    """
     load = {}
     for n in LOAD:
         frame = w.last_days(n)
         load[f"roll{n}d_pitch_count"] = F.sum("n").over(frame)
         load[f"roll{n}d_appearances"] = F.count(F.lit(1)).over(frame)
         load[f"roll{n}d_avg_pitches_per_appearance"] = F.avg("n").over(frame)
-    recent = placed.withColumns(load).select(*KEYS, F.col("n").alias("last_game_pitches"), *load)
-    return rolling.pregame_from_days(daily, BEFORE).join(recent.hint("merge"), KEYS)
+    placed = daily.withColumn(w.DAY_NUMBER, w.day_number()).withColumns(load).withColumn("last_game_pitches", F.col("n"))
+    return rolling.pregame_from_days(placed, BEFORE, ["last_game_pitches", *load, *also])
 
 
 class FeatureStore:
@@ -60,13 +64,11 @@ class FeatureStore:
             rolling.daily_pitch_sums(pitches.where(F.col("pitcher_id").isNotNull() & F.col("game_date").isNotNull())), "batch-days")
         self._add_days(fresh, batch)
         changed = fresh.select(*KEYS)
-        touched = self._touched(changed)
-        context = self.daily.read(self._months(changed, -LONGEST, LONGEST)).join(
-            changed.select("pitcher_id").distinct().hint("merge"), "pitcher_id", "left_semi")
-        renewed = self._changed_rows(window_features(context), touched, True)
+        context = self._marked(self.daily.read(self._months(changed, -LONGEST, LONGEST)), changed)
+        renewed = window_features(context, ["_hit"]).where("_hit").drop("_hit")
         months = self._months(changed, 0, LONGEST)
-        kept = self._changed_rows(self.features.read(months), touched, False)
-        self.features.replace(kept.unionByName(renewed), months, batch, spread="pitcher_id")
+        kept = self._changed_rows(self.features.read(months), self._touched(changed), False)
+        self.features.replace(kept.unionByName(renewed), months, batch, dealt=True)
 
     def _add_days(self, fresh: DataFrame, batch: str) -> None:
         if self.daily.has(batch):
@@ -80,11 +82,22 @@ class FeatureStore:
 
     @staticmethod
     def _months(changed: DataFrame, first: int, last: int) -> set[str]:
-        """The months from ``first`` to ``last`` days after a changed day; the list of days is as long as the calendar."""
-        days = F.sequence(F.date_add("game_date", first), F.date_add("game_date", last))
-        found = changed.select("game_date").distinct().select(F.explode(days).alias("game_date"))
+        """The months from ``first`` to ``last`` days after a changed day; a few a row, as the rows may be listed before they are distinct."""
+        months = F.sequence(F.trunc(F.date_add("game_date", first), "MM"), F.date_add("game_date", last), F.expr("interval 1 month"))
+        found = changed.select("game_date").distinct().select(F.explode(months).alias("game_date"))
         return {r[0] for r in found.select(F.expr(MONTH)).distinct().collect()}
 
+    @staticmethod
+    def _marked(days: DataFrame, changed: DataFrame) -> DataFrame:
+        """Daily rows of the pitchers with a changed day, and ``_hit``: one lies at most ``LONGEST`` days back.
+
+        Changed days stand on the line of daily rows as marks, which the frames see and the filter then drops.
+        """
+        marks = changed.select(*KEYS, F.lit(True).alias("_mark"))
+        line = days.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True).withColumn(w.DAY_NUMBER, w.day_number())
+        seen = line.withColumns({"_hit": F.max("_mark").over(w.last_days(LONGEST)), "_any": F.max("_mark").over(Window.partitionBy("pitcher_id"))})
+        return seen.where(F.col("_any") & ~F.col("_mark")).drop("_any", "_mark")
+
     @staticmethod
     def _touched(changed: DataFrame) -> DataFrame:
         """Changed days that a month of a pitcher can see: a row per (pitcher, month) with a list of at most three months' days."""

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moundwork.session import shuffles_freed
+
 
 class Files:
     """The few calls on Spark's own file systems that commits need."""
@@ -84,14 +86,19 @@ class PartitionedTable:
         """The partitions that rows belong to."""
         return {r[0] for r in rows.select(F.expr(self.part).cast("string")).distinct().collect()}
 
-    def replace(self, rows: DataFrame, parts: Iterable[str], batch: str, spread: Column | str | None = None) -> None:
-        """``rows`` become all the rows of ``parts``; ``spread`` deals a partition's rows over several files."""
+    def replace(self, rows: DataFrame, parts: Iterable[str], batch: str, spread: Column | str | None = None, dealt: bool = False) -> None:
+        """``rows`` become all the rows of ``parts``; ``spread`` deals a partition's rows over several files.
+
+        Rows that are ``dealt`` over tasks already, like those of windows, are written by these tasks without another exchange.
+        """
         if self.has(batch):
             return
         staged = f"data/{uuid.uuid4().hex}"
         keyed = rows.select(*self.schema.names, F.expr(self.part).cast("string").alias("_part"))
-        keyed = keyed.repartition("_part", *([spread] if spread is not None else []))
-        keyed.write.partitionBy("_part").parquet(f"{self.folder}/{staged}")
+        if not dealt:
+            keyed = keyed.repartition("_part", *([spread] if spread is not None else []))
+        with shuffles_freed(self.spark):
+            keyed.write.partitionBy("_part").option("compression", "zstd").parquet(f"{self.folder}/{staged}")
         self._commit(staged, set(parts), batch)
 
     def _commit(self, staged: str, parts: set[str], batch: str) -> None:

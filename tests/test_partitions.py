@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import pathlib
 import random
+import time
 
 import pytest
 from days import day
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from moundwork import schemas
 from moundwork.operators import refresh, rolling
+from moundwork.session import written_once
 from moundwork.sources import loading, partitions
 
 MONTH = "date_format(seen, 'yyyy-MM')"
@@ -163,3 +165,39 @@ def test_feature_batches_join_on_the_executors(spark):
     want = days.distinct().where("pitcher_id = 1 and game_date between date'2024-01-02' and date'2024-03-02'")
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
     assert refresh.FeatureStore._months(one, 0, refresh.LONGEST) == {"2024-01", "2024-02", "2024-03"}
+
+
+def test_features_come_from_one_exchange_of_daily_sums(spark, history):
+    daily = written_once(rolling.daily_pitch_sums(pitches(spark, history)), "test-days")
+    changed = daily.where("pitcher_id < 3 and day(game_date) = 5").select("pitcher_id", "game_date")
+    found = refresh.window_features(refresh.FeatureStore._marked(daily, changed), ["_hit"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    reached = {(r.pitcher_id, r.game_date + dt.timedelta(days=k)) for r in changed.collect() for k in range(refresh.LONGEST + 1)}
+    hit = found.where("_hit").drop("_hit")
+    assert rounded(hit) == [r for r in features(spark, history) if r[:2] in reached] and 0 < hit.count() < found.count()
+    assert {r.pitcher_id for r in found.collect()} == {1, 2}
+
+
+def test_dealt_rows_are_written_where_they_are(spark, history, tmp_path):
+    daily = rolling.daily_pitch_sums(pitches(spark, history)).repartition(5)
+    tables = [partitions.PartitionedTable(spark, str(tmp_path / name), refresh.MONTH, daily.schema) for name in ("moved", "dealt")]
+    for table, dealt in zip(tables, (False, True)):
+        table.replace(daily, table.parts_of(daily), "one", dealt=dealt)
+    assert rounded(tables[0].read()) == rounded(tables[1].read())
+    sizes = [len(list((tmp_path / name).rglob("*.parquet"))) for name in ("moved", "dealt")]
+    assert sizes[0] == len(tables[1].state()["places"]) < sizes[1]
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    before = shuffled()
+    rows = written_once(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "test-rows")
+    until = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < until:  # files are freed in the background
+        time.sleep(0.2)
+    assert not shuffled() - before and rows.count() == 700
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
